@@ -7,6 +7,9 @@ with the number of users, and a recording never holds more than ``TRACKS_PER_CLI
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,44 @@ TRACKS_PER_CLIP = 150
 CAMERAS = ("LeftFar", "LeftNear", "RightFar", "RightNear")
 
 
+# Declared schemas: no footer-inference job per read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _view(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Build a view's plan once per session and folder. Only the plan is kept, no data; views
+    that share a parent then also share its exchange at run time."""
+    plans: dict[tuple[SparkSession, str], DataFrame] = {}
+
+    @wraps(fn)
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if (spark, sf_dir) not in plans:
+            plans[spark, sf_dir] = fn(spark, sf_dir)
+        return plans[spark, sf_dir]
+
+    return build
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_view
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events numbered per (recording, object) in time order: the frame index."""
     clip = F.expr(f"bigint((day(ts) - 1) div 7 + 5 * (user_id div {TRACKS_PER_CLIP}))")
@@ -52,11 +89,13 @@ def _boxes(df: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+@_view
 def reference_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated boxes: (clip_id, track_id, frame_index, box)."""
     return _boxes(_reference(sightings(spark, sf_dir)))
 
 
+@_view
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = _reference(sightings(spark, sf_dir))
     seen = ref.where("event_id % 13 <> 0 and track_id % 17 <> 0 and not (track_id % 7 = 3 and frame_index >= 5)")
@@ -93,17 +132,20 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_view
 def predicted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracker output: split, merged, reversed, missing, duplicate and background tracks."""
     return _boxes(_predicted(spark, sf_dir), "score")
 
 
+@_view
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw detections: predicted boxes without track identity, with a detection ID."""
     df = _predicted(spark, sf_dir).withColumn("det_id", F.expr("event_id * 4 + track_id div 100000"))
     return _boxes(df, "score", "det_id").drop("track_id")
 
 
+@_view
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recording dimension: name, location, size, frame rate and metre extents."""
     frames = sightings(spark, sf_dir).groupBy("clip_id").agg((F.max("frame_index") + 1).alias("num_frames"))

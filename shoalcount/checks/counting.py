@@ -10,6 +10,7 @@ from shoalcount.functions import geometry as g
 from shoalcount.operators import boxes as bx
 from shoalcount.operators import counting as ct
 from shoalcount.operators import matching as mt
+from shoalcount.session import materialize
 
 W, H = F.lit(ad.WIDTH), F.lit(ad.HEIGHT)
 QUERIES: dict = {}
@@ -264,9 +265,14 @@ def match_tracks(s, d):
 
 
 def features(s, d):
+    """Match features and both sides' track tables.
+
+    Track tables are one row per track and used several times below, so they are stored once
+    instead of being recomputed from the boxes by every branch.
+    """
     ref, pred = ad.reference_boxes(s, d), ad.predicted_boxes(s, d)
-    rc, pc = ct.count_trajectories(ref, W, H), ct.count_trajectories(pred, W, H)
-    return mt.match_features(mt.match_tracks(ref, pred), rc, pc), rc, pc
+    rc, pc = materialize(ct.count_trajectories(ref, W, H)), materialize(ct.count_trajectories(pred, W, H))
+    return materialize(mt.match_features(mt.match_tracks(ref, pred), rc, pc)), rc, pc
 
 
 @query(FEATURES + " SELECT * FROM ro")

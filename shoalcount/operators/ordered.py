@@ -3,6 +3,9 @@
 A plain window puts a whole group into one task. Here the order is cut into ``bucket``s that
 never decrease along it: the window runs inside (keys, bucket), and a second, much smaller
 window carries bucket summaries across. The result is the same as the plain window's.
+
+Each helper evaluates its input twice (rows and bucket summaries), so pass a scan or a stored
+table, not the end of a long plan.
 """
 
 from __future__ import annotations
