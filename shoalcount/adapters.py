@@ -168,3 +168,60 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(FRAMERATE).alias("framerate"),
         *[F.lit(v).alias(n) for n, v in zip(("x_meter_start", "x_meter_stop", "y_meter_start", "y_meter_stop"), METERS)],
     )
+
+
+LOCATIONS = ("kenai-train", "kenai-val", "kenai-rightbank", "kenai-channel", "elwha", "nushagak")
+
+
+@_view
+def clip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-clip reference counts and two systems' counts, one clip per customer."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("bigint").alias("nation"))
+    locations = F.array(*[F.lit(x) for x in LOCATIONS])
+    cameras = F.array(*[F.lit(x) for x in CAMERAS])
+    c = c.withColumns(
+        {
+            "location": F.element_at(locations, (F.col("nation") % 6 + 1).cast("int")),
+            "camera": F.element_at(cameras, (F.col("k") % 4 + 1).cast("int")),
+            "num_frames": F.expr("150 + (k * 31) % 400"),
+            "framerate": F.lit(FRAMERATE),
+            "ref_right": F.expr("k % 4"),
+            "ref_left": F.expr("(k div 4) % 3"),
+        }
+    )
+    return c.withColumns(
+        {
+            "clip_name": F.format_string(
+                "%s_%s_Stratum%d_2018-06-%02d_120000_%d_%d", "location", "camera", F.col("k") % 2 + 1,
+                F.col("k") % 28 + 1, F.col("k") * 1000, F.col("k") * 1000 + F.col("num_frames"),
+            ),
+            "code": F.format_string("s%07d", "k"),
+            "a_right": F.expr("greatest(ref_right + case (k * 7) % 5 when 0 then 1 when 1 then -1 else 0 end, 0)"),
+            "a_left": F.expr("greatest(ref_left + case when k % 7 = 0 then -1 when k % 13 = 0 then 2 else 0 end, 0)"),
+            "b_right": F.expr("ref_right + case when k % 9 = 0 then 1 else 0 end"),
+            "b_left": F.expr("greatest(ref_left - case when k % 8 = 0 then 1 else 0 end, 0)"),
+        }
+    )
+
+
+@_view
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Study trials, one per clip of :func:`clip_counts`."""
+    return clip_counts(spark, sf_dir).select(
+        F.when(F.col("nation") == 0, "D1").otherwise(F.format_string("P%d", "nation")).alias("participant"),
+        (F.col("k") % 2 + 1).cast("int").alias("block"),
+        F.when(F.col("k") % 2 == 0, "manual").otherwise("assisted").alias("condition"),
+        F.col("code").alias("clip"),
+        (F.col("k") % 10 == 9).alias("practice"),
+        F.expr("15000 + (k * 7919) % 60000").alias("active_ms"),
+        F.col("b_right").alias("final_right"),
+        F.col("b_left").alias("final_left"),
+        "k",
+    )
+
+
+@_view
+def study_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clip_counts(spark, sf_dir).select(
+        F.col("code").alias("clip"), "ref_right", "ref_left", F.col("a_right").alias("auto_right"), F.col("a_left").alias("auto_left")
+    )

@@ -58,3 +58,26 @@ def track_counts(source: str, name: str) -> str:
 
 def hash32(*parts: str) -> str:
     return "('0x'||substr(md5(concat_ws(':', " + ", ".join(parts) + ")),1,8))::BIGINT"
+
+COUNTS = """
+cc0 AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS nation, (['kenai-train','kenai-val','kenai-rightbank','kenai-channel','elwha','nushagak'])[c_nationkey%6+1] AS location,
+  (['LeftFar','LeftNear','RightFar','RightNear'])[c_custkey%4+1] AS camera, 150+(c_custkey*31)%400 AS num_frames, 10.0::DOUBLE AS framerate,
+  c_custkey%4 AS ref_right, (c_custkey//4)%3 AS ref_left FROM customer),
+cc AS (SELECT *, format('{}_{}_Stratum{}_2018-06-{:02d}_120000_{}_{}', location, camera, k%2+1, k%28+1, k*1000, k*1000+num_frames) AS clip_name,
+  format('s{:07d}', k) AS code,
+  greatest(ref_right + CASE (k*7)%5 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END, 0) AS a_right,
+  greatest(ref_left + CASE WHEN k%7=0 THEN -1 WHEN k%13=0 THEN 2 ELSE 0 END, 0) AS a_left,
+  ref_right + CASE WHEN k%9=0 THEN 1 ELSE 0 END AS b_right,
+  greatest(ref_left - CASE WHEN k%8=0 THEN 1 ELSE 0 END, 0) AS b_left FROM cc0),
+ce AS (SELECT *, ref_right+ref_left AS passages, abs(a_right-ref_right)+abs(a_left-ref_left) AS err_a,
+  abs(b_right-ref_right)+abs(b_left-ref_left) AS err_b FROM cc)"""
+
+TRIALS = COUNTS + """,
+tr AS (SELECT CASE WHEN nation=0 THEN 'D1' ELSE 'P'||nation END AS participant, k%2+1 AS block,
+  CASE WHEN k%2=0 THEN 'manual' ELSE 'assisted' END AS condition, code AS clip, k%10=9 AS practice, 15000+(k*7919)%60000 AS active_ms,
+  b_right AS final_right, b_left AS final_left, k, ref_right, ref_left, a_right, a_left FROM cc),
+st AS (SELECT *, active_ms/1000.0::DOUBLE AS active_s, abs(final_right-ref_right)+abs(final_left-ref_left) AS error, ref_right+ref_left AS passages,
+  abs(a_right-ref_right)+abs(a_left-ref_left) AS auto_error,
+  greatest(abs(a_right-ref_right)-abs(final_right-ref_right),0)+greatest(abs(a_left-ref_left)-abs(final_left-ref_left),0) AS fixed,
+  greatest(abs(final_right-ref_right)-abs(a_right-ref_right),0)+greatest(abs(final_left-ref_left)-abs(a_left-ref_left),0) AS introduced
+  FROM tr WHERE NOT practice AND k%23<>0)"""

@@ -85,7 +85,7 @@ def track_features(s, d):
 
 @query(RVW + " SELECT clip_id, track_id, round(review_score,6) AS review_score, triage, reasons FROM rvw")
 def review_scores(s, d):
-    return reviewed_tracks(s, d).select(
+    return sc.review(features(s, d)).select(
         "clip_id", "track_id", F.round("review_score", 6).alias("review_score"), "triage", F.concat_ws(",", "review_reasons").alias("reasons")
     )
 
