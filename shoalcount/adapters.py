@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalcount.operators.ordered import position
+from shoalcount.operators.ordered import position, running
 
 WIDTH, HEIGHT, FRAMERATE = 640, 480, 10.0
 METERS = (0.0, 12.0, 0.0, 9.0)  # x start, x stop, y start, y stop
@@ -225,3 +225,66 @@ def study_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip_counts(spark, sf_dir).select(
         F.col("code").alias("clip"), "ref_right", "ref_left", F.col("a_right").alias("auto_right"), F.col("a_left").alias("auto_left")
     )
+
+
+@_view
+def review_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two users per job."""
+    u = table(spark, sf_dir, "events").select(F.expr("user_id div 2").alias("job_id")).distinct()
+    return u.withColumns({"num_frames": F.lit(300).cast("bigint"), "audit_windows": F.lit(4), "unflagged_frames": 100 + F.col("job_id") % 7})
+
+
+@_view
+def job_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten tracks per user, with an automatic direction and a frame span."""
+    u = table(spark, sf_dir, "events").select("user_id").distinct()
+    t = u.select(
+        F.expr("user_id div 2").alias("job_id"),
+        F.explode(F.expr("transform(sequence(0L, 9L), i -> (user_id % 2) * 10 + i)")).alias("track_id"),
+    )
+    return t.selectExpr(
+        "job_id", "track_id", "case (track_id + job_id) % 3 when 0 then 'right' when 1 then 'left' end as direction",
+        "(track_id * 37 + job_id * 11) % 200 as start_frame", "(track_id * 37 + job_id * 11) % 200 + 20 + track_id % 30 as end_frame",
+    )
+
+
+@_view
+def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review log: a reviewer per job who now and then sends stale or invalid events."""
+    e = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "user_id div 2 as job_id", "event_type",
+        "event_id % 5 <> 0 and event_id % 7 <> 0 as fine", "event_id % 7 = 0 as stale",
+    )
+    bucket, order = F.expr("event_id div 4096"), [F.col("event_id")]
+    e = running(e, ["job_id"], bucket, order, F.expr("bigint(fine)"), "before", exclusive=True)
+    added = F.when(F.col("fine") & (F.col("event_type") == "purchase"), F.col("event_id"))
+    e = running(e, ["job_id"], bucket, order, added, "last_added", fn="max", exclusive=True)
+    return e.selectExpr(
+        "job_id", "event_id", "ts",
+        "coalesce(before, 0) - if(stale, 1, 0) as base_revision",
+        """case when not fine and event_id % 4 = 2 then 'add_passage'
+                when not fine then 'accept'
+                when event_type = 'click' then 'accept'
+                when event_type = 'view' then 'reject'
+                when event_type = 'error' then 'set_direction'
+                when event_type = 'purchase' then 'add_passage'
+                when event_id % 2 = 0 and last_added is not null then 'reject'
+                when event_id % 3 = 0 then 'mark_audited'
+                else 'mark_unresolved' end as action""",
+        """case when not fine then if(event_id % 4 = 0, 999, if(event_id % 4 = 3, event_id % 20, null))
+                when event_type in ('click', 'view', 'error') then event_id % 20
+                when event_type = 'signup' and not (event_id % 2 = 0 and last_added is not null) and event_id % 3 <> 0
+                then event_id % 20 end as track_id""",
+        """case when not fine and event_id % 4 = 1 then 'p999999999'
+                when fine and event_type = 'signup' and event_id % 2 = 0 and last_added is not null
+                then concat('p', last_added) end as passage_id""",
+        """case when not fine and event_id % 4 = 2 then 'right'
+                when fine and event_type = 'error' then case event_id % 3 when 0 then 'right' when 1 then 'left' end
+                when fine and event_type = 'purchase' then if(event_id % 2 = 0, 'right', 'left') end as direction""",
+        """case when not fine and event_id % 4 = 2 then 500
+                when fine and event_type = 'purchase' then event_id % 300 end as frame_index""",
+        """int(case when not fine and event_id % 4 = 3 then 1
+                when fine and event_type = 'purchase' and event_id % 2 = 0 then event_id % 4
+                when fine and event_type = 'signup' and not (event_id % 2 = 0 and last_added is not null) and event_id % 3 = 0
+                then event_id % 4 end) as audit_window""",
+    )

@@ -81,3 +81,47 @@ st AS (SELECT *, active_ms/1000.0::DOUBLE AS active_s, abs(final_right-ref_right
   greatest(abs(a_right-ref_right)-abs(final_right-ref_right),0)+greatest(abs(a_left-ref_left)-abs(final_left-ref_left),0) AS fixed,
   greatest(abs(final_right-ref_right)-abs(a_right-ref_right),0)+greatest(abs(final_left-ref_left)-abs(a_left-ref_left),0) AS introduced
   FROM tr WHERE NOT practice AND k%23<>0)"""
+
+REVIEWS = """
+rjobs AS (SELECT DISTINCT user_id//2 AS job_id, 300 AS num_frames, 4 AS audit_windows, 100+(user_id//2)%7 AS unflagged_frames FROM events),
+jt AS (SELECT job_id, track_id, CASE (track_id+job_id)%3 WHEN 0 THEN 'right' WHEN 1 THEN 'left' END AS direction, (track_id*37+job_id*11)%200 AS start_frame,
+  (track_id*37+job_id*11)%200+20+track_id%30 AS end_frame FROM (SELECT user_id//2 AS job_id, unnest([(user_id%2)*10+i FOR i IN range(10)]) AS track_id FROM (SELECT DISTINCT user_id FROM events))),
+re0 AS (SELECT event_id, ts, user_id//2 AS job_id, event_type, event_id%5<>0 AND event_id%7<>0 AS fine, event_id%7=0 AS stale FROM events),
+re1 AS (SELECT *, coalesce(sum(fine::INT) OVER w,0) AS before, max(CASE WHEN fine AND event_type='purchase' THEN event_id END) OVER w AS la FROM re0
+  WINDOW w AS (PARTITION BY job_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+re AS (SELECT job_id, event_id, ts, before-stale::INT AS base_revision,
+  CASE WHEN NOT fine AND event_id%4=2 THEN 'add_passage' WHEN NOT fine THEN 'accept' WHEN event_type='click' THEN 'accept' WHEN event_type='view' THEN 'reject'
+   WHEN event_type='error' THEN 'set_direction' WHEN event_type='purchase' THEN 'add_passage' WHEN event_id%2=0 AND la IS NOT NULL THEN 'reject'
+   WHEN event_id%3=0 THEN 'mark_audited' ELSE 'mark_unresolved' END AS action,
+  CASE WHEN NOT fine THEN CASE event_id%4 WHEN 0 THEN 999 WHEN 3 THEN event_id%20 END WHEN event_type IN ('click','view','error') THEN event_id%20
+   WHEN event_type='signup' AND NOT (event_id%2=0 AND la IS NOT NULL) AND event_id%3<>0 THEN event_id%20 END AS track_id,
+  CASE WHEN NOT fine AND event_id%4=1 THEN 'p999999999' WHEN fine AND event_type='signup' AND event_id%2=0 AND la IS NOT NULL THEN 'p'||la END AS passage_id,
+  CASE WHEN NOT fine AND event_id%4=2 THEN 'right' WHEN fine AND event_type='error' THEN CASE event_id%3 WHEN 0 THEN 'right' WHEN 1 THEN 'left' END
+   WHEN fine AND event_type='purchase' THEN CASE WHEN event_id%2=0 THEN 'right' ELSE 'left' END END AS direction,
+  CASE WHEN NOT fine AND event_id%4=2 THEN 500 WHEN fine AND event_type='purchase' THEN event_id%300 END AS frame_index,
+  CASE WHEN NOT fine AND event_id%4=3 THEN 1 WHEN fine AND event_type='purchase' AND event_id%2=0 THEN event_id%4
+   WHEN fine AND event_type='signup' AND NOT (event_id%2=0 AND la IS NOT NULL) AND event_id%3=0 THEN event_id%4 END AS audit_window FROM re1)"""
+
+# The log walked event by event: revision and added passages carried from row to row.
+FOLD = REVIEWS + """,
+ro0 AS (SELECT re.*, jt.track_id IS NOT NULL AS known, row_number() OVER (PARTITION BY re.job_id ORDER BY event_id) AS i FROM re LEFT JOIN jt ON jt.job_id=re.job_id AND jt.track_id=re.track_id),
+ro1 AS (SELECT *, CASE WHEN audit_window IS NOT NULL AND action NOT IN ('add_passage','mark_audited') THEN 'audit_window goes with add_passage or mark_audited'
+   WHEN audit_window IS NOT NULL AND NOT (audit_window>=0 AND audit_window<4) THEN 'audit_window out of range' WHEN action='mark_audited' AND audit_window IS NULL THEN 'mark_audited needs an audit_window'
+   WHEN action='add_passage' AND (direction IS NULL OR frame_index IS NULL) THEN 'add_passage needs a direction and a frame_index'
+   WHEN action='add_passage' AND NOT (frame_index>=0 AND frame_index<300) THEN 'frame_index out of range'
+   WHEN action IN ('add_passage','mark_audited') OR passage_id IS NOT NULL THEN NULL WHEN NOT known THEN 'unknown track' END AS err FROM ro0),
+fd AS (SELECT job_id, 0::BIGINT AS i, 0::BIGINT AS rev, []::VARCHAR[] AS ps, NULL::BIGINT AS event_id, NULL::VARCHAR AS refusal FROM rjobs
+  UNION ALL SELECT n.job_id, n.i, CASE WHEN r IS NULL THEN n.rev+1 ELSE n.rev END, CASE WHEN r IS NULL AND action='add_passage' THEN list_append(ps, 'p'||n.event_id) ELSE ps END, n.event_id, r
+  FROM (SELECT o.job_id, o.i, o.event_id, o.action, fd.rev, fd.ps, CASE WHEN o.base_revision<>fd.rev THEN 'stale revision' WHEN o.err IS NOT NULL THEN o.err
+     WHEN o.action NOT IN ('add_passage','mark_audited') AND o.passage_id IS NOT NULL AND NOT list_contains(fd.ps, o.passage_id) THEN 'unknown added passage'
+     WHEN o.action NOT IN ('add_passage','mark_audited') AND o.passage_id IS NOT NULL AND o.action<>'reject' THEN 'added passages can only be rejected' END AS r
+    FROM fd JOIN ro1 o ON o.job_id=fd.job_id AND o.i=fd.i+1) n),
+ver AS (SELECT job_id, event_id, refusal IS NULL AS accepted, CASE WHEN refusal IS NULL THEN rev END AS resulting_revision, refusal FROM fd WHERE i>0),
+acc AS (SELECT re.*, resulting_revision FROM re JOIN ver USING (job_id, event_id) WHERE accepted),
+dec AS (SELECT job_id, track_id, arg_max(action, event_id) AS act, max(event_id) AS event_id FROM acc WHERE passage_id IS NULL AND action IN ('accept','reject','set_direction','mark_unresolved') GROUP BY 1,2),
+td AS (SELECT d.job_id, d.track_id, CASE act WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'set_direction' THEN 'corrected' ELSE 'unresolved' END AS state,
+  CASE act WHEN 'accept' THEN jt.direction WHEN 'set_direction' THEN acc.direction END AS direction, d.event_id FROM dec d JOIN jt USING (job_id, track_id) JOIN acc ON acc.job_id=d.job_id AND acc.event_id=d.event_id),
+ps AS (SELECT a.job_id, 'p'||a.event_id AS passage_id, a.direction, a.frame_index, a.audit_window,
+  CASE WHEN EXISTS (SELECT 1 FROM acc r WHERE r.job_id=a.job_id AND r.passage_id='p'||a.event_id AND r.action='reject') THEN 'rejected' ELSE 'added' END AS state FROM acc a WHERE a.action='add_passage'),
+oc AS (SELECT jt.job_id, jt.track_id, jt.direction, start_frame, end_frame, coalesce(state,'automatic') AS review_state,
+  CASE WHEN state IS NULL THEN jt.direction ELSE td.direction END AS final_direction FROM jt LEFT JOIN td USING (job_id, track_id))"""

@@ -12,7 +12,7 @@ from shoalcount.operators import counting as ct
 from shoalcount.operators import matching as mt
 from shoalcount.session import materialize
 
-W, H = F.lit(ad.WIDTH), F.lit(ad.HEIGHT)
+W, H = ad.WIDTH, ad.HEIGHT
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 

@@ -20,7 +20,7 @@ from shoalcount.session import materialize
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 BUDGETS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-MX, MY = F.lit(12.0 / ad.WIDTH), F.lit(9.0 / ad.HEIGHT)
+MX, MY = 12.0 / ad.WIDTH, 9.0 / ad.HEIGHT
 
 
 def query(sql: str | None = None):

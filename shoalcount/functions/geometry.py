@@ -74,6 +74,6 @@ def ramp(value: Column, zero: float, one: float) -> Column:
     return F.least(F.greatest((value - F.lit(zero)) / F.lit(one - zero), F.lit(0.0)), F.lit(1.0))
 
 
-def letterbox_scale(height: Column, width: Column, canvas_h: int, canvas_w: int) -> Column:
+def letterbox_scale(height: Column | float, width: Column | float, canvas_h: int, canvas_w: int) -> Column:
     """One scale that fits the frame into the canvas."""
-    return F.least(F.lit(float(canvas_h)) / height, F.lit(float(canvas_w)) / width)
+    return F.least(F.lit(float(canvas_h)) / F.lit(height), F.lit(float(canvas_w)) / F.lit(width))

@@ -44,12 +44,12 @@ def above(df: DataFrame, threshold: float) -> DataFrame:
     return df.where(F.col("score") >= threshold)
 
 
-def clip_boxes(df: DataFrame, width: Column, height: Column, min_px: float | None = None) -> DataFrame:
+def clip_boxes(df: DataFrame, width: Column | float, height: Column | float, min_px: float | None = None) -> DataFrame:
     """Clip to the frame; drop emptied boxes, or those under ``min_px`` on either side."""
     zero = F.lit(0.0)
 
-    def clamp(name: str, size: Column) -> Column:
-        return F.least(F.greatest(F.col(name), zero), size.cast("double"))
+    def clamp(name: str, size: Column | float) -> Column:
+        return F.least(F.greatest(F.col(name), zero), F.lit(size).cast("double"))
 
     out = df.withColumns(
         {
@@ -63,9 +63,9 @@ def clip_boxes(df: DataFrame, width: Column, height: Column, min_px: float | Non
     return out.where((w > 0) & (h > 0)) if min_px is None else out.where((w >= min_px) & (h >= min_px))
 
 
-def flip_horizontal(df: DataFrame, width: Column) -> DataFrame:
+def flip_horizontal(df: DataFrame, width: Column | float) -> DataFrame:
     """Mirror left-right; passage directions swap with it."""
-    return df.withColumns({"x_min": width - F.col("x_max"), "x_max": width - F.col("x_min")})
+    return df.withColumns({"x_min": F.lit(width) - F.col("x_max"), "x_max": F.lit(width) - F.col("x_min")})
 
 
 def scale_boxes(df: DataFrame, scale: Column) -> DataFrame:
@@ -109,7 +109,7 @@ def sample_frames(clips: DataFrame, stride: int) -> DataFrame:
     )
 
 
-def box_issue(width: Column, height: Column) -> Column:
+def box_issue(width: Column | float, height: Column | float) -> Column:
     """First quality issue of a box (the classes exclude each other), or null."""
     b = g.box()
     return (

@@ -51,14 +51,14 @@ def crowded_frames(boxes: DataFrame) -> DataFrame:
     return crowded.groupBy("clip_id", "track_id").agg(F.count(F.lit(1)).alias("crowded"))
 
 
-def path_lengths(boxes: DataFrame, mx: Column, my: Column, block: int = 1024) -> DataFrame:
+def path_lengths(boxes: DataFrame, mx: Column | float, my: Column | float, block: int = 1024) -> DataFrame:
     """Path length, net displacement (metres) and score statistics per track.
 
     A track is cut into blocks of frames. Inside a block (at most one box per frame) the steps
     are added up on a sorted array; between blocks only the first and last centres meet. So
     the boxes shuffle once, and one endless track is still many small groups.
     """
-    cx, cy = g.center_m(g.box(), mx, my)
+    cx, cy = g.center_m(g.box(), F.lit(mx), F.lit(my))
     point = F.struct(F.col("frame_index").alias("f"), cx.alias("x"), cy.alias("y"))
     keys = ["clip_id", "track_id"]
     blocks = boxes.groupBy(*keys, F.floor(F.col("frame_index") / block).alias("blk")).agg(
@@ -87,7 +87,7 @@ def path_lengths(boxes: DataFrame, mx: Column, my: Column, block: int = 1024) ->
     return out.withColumn("net_m", dist(F.col("b"), F.col("a"))).drop("a", "b")
 
 
-def track_features(boxes: DataFrame, counts: DataFrame, mx: Column, my: Column, line: float = 0.5) -> DataFrame:
+def track_features(boxes: DataFrame, counts: DataFrame, mx: Column | float, my: Column | float, line: float = 0.5) -> DataFrame:
     """Review features of every track; ``counts`` are the counting rule's rows."""
     keys = ["clip_id", "track_id"]
     out = counts.join(path_lengths(boxes, mx, my), keys).join(crowded_frames(boxes), keys, "left")
