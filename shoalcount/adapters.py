@@ -288,3 +288,54 @@ def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 when fine and event_type = 'signup' and not (event_id % 2 = 0 and last_added is not null) and event_id % 3 = 0
                 then event_id % 4 end) as audit_window""",
     )
+
+
+@_view
+def dataset_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation rows of uneven quality: one clip per supplier."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey as clip_id", "l_orderkey % 40 as track_id", "l_partkey % 120 as frame_index",
+        "double(int(l_extendedprice) % 700 - 30) as x_min", "double(l_orderkey % 500 - 10) as y_min",
+        "double(int(l_extendedprice) % 700 - 30) + l_quantity - 2 as x_max", "double(l_orderkey % 500 - 10) + l_linenumber * 5 as y_max",
+    )
+
+
+@_view
+def dataset_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as clip_id", "s_name as clip_name", "concat('loc', s_nationkey % 5) as location",
+        "100L as num_frames", "640 as width", "480 as height",
+    )
+
+
+@_view
+def service_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs table, one job per order."""
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as job_id", "o_custkey as clip_id", "o_orderpriority as pipeline_version",
+        "cast(o_orderdate as timestamp) + make_dt_interval(0, 0, 0, o_orderkey % 86400) as created_at",
+        "case o_orderstatus when 'F' then 'succeeded' when 'O' then 'queued' else if(o_orderkey % 3 = 0, 'failed', 'running') end as status",
+        "concat(o_custkey % 300, ':', o_orderpriority) as cache_key", "concat('k', o_custkey % 700) as idempotency_key",
+        "o_orderkey % 4 as attempts", "3 as max_attempts", "3600 + (o_orderkey % 50) * 3600 as deadline_seconds",
+        "if(o_orderkey % 6 = 0, o_orderkey - 1, null) as cached_from", "5 + (o_orderkey * 37) % 3000 as seconds", "o_totalprice",
+    )
+    return o.selectExpr(
+        "*", "created_at + make_dt_interval(0, 0, 1, 0) as started_at", "created_at + make_dt_interval(0, 2, 0, 0) as lease_expires_at",
+        "created_at + make_dt_interval(0, 0, 0, seconds) as finished_at",
+    )
+
+
+@_view
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest-shaped rows, one clip per customer."""
+    m = clip_counts(spark, sf_dir).selectExpr(
+        "location", "clip_name", "k", "num_frames",
+        "case when location in ('kenai-train') then 'train' when location = 'kenai-val' then 'val' else 'test' end as official_split",
+        "case when k % 11 = 0 then 'quarantined' when k % 7 = 0 then 'warning' else 'ok' end as status",
+        "k % 13 <> 0 as frames_validated", "0L as frame_start", "num_frames as frame_stop", "k % 50 as boxes",
+        "location = 'kenai-train' and k % 5 = 0 as held",
+    )
+    return m.selectExpr(
+        "location", "clip_name", "official_split", "if(held, 'holdout', official_split) as partition", "official_split <> 'test' and not held as tuning_allowed",
+        "status", "status <> 'quarantined' as usable", "frames_validated", "num_frames", "frame_start", "frame_stop", "boxes",
+    )

@@ -125,3 +125,22 @@ ps AS (SELECT a.job_id, 'p'||a.event_id AS passage_id, a.direction, a.frame_inde
   CASE WHEN EXISTS (SELECT 1 FROM acc r WHERE r.job_id=a.job_id AND r.passage_id='p'||a.event_id AND r.action='reject') THEN 'rejected' ELSE 'added' END AS state FROM acc a WHERE a.action='add_passage'),
 oc AS (SELECT jt.job_id, jt.track_id, jt.direction, start_frame, end_frame, coalesce(state,'automatic') AS review_state,
   CASE WHEN state IS NULL THEN jt.direction ELSE td.direction END AS final_direction FROM jt LEFT JOIN td USING (job_id, track_id))"""
+
+DATASET = """
+db AS (SELECT l_suppkey AS clip_id, l_orderkey%40 AS track_id, l_partkey%120 AS frame_index, (trunc(l_extendedprice)::BIGINT%700-30)::DOUBLE AS x_min,
+  (l_orderkey%500-10)::DOUBLE AS y_min, (trunc(l_extendedprice)::BIGINT%700-30)::DOUBLE+l_quantity-2 AS x_max, (l_orderkey%500-10)::DOUBLE+l_linenumber*5 AS y_max FROM lineitem),
+dc AS (SELECT s_suppkey AS clip_id, s_name AS clip_name, 'loc'||(s_nationkey%5) AS location, 100 AS num_frames FROM supplier)"""
+
+JOBS = """
+jb0 AS (SELECT o_orderkey AS job_id, o_custkey AS clip_id, o_orderpriority AS pipeline_version, o_orderdate + to_seconds(o_orderkey%86400) AS created_at,
+  CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'queued' ELSE CASE WHEN o_orderkey%3=0 THEN 'failed' ELSE 'running' END END AS status,
+  (o_custkey%300)||':'||o_orderpriority AS cache_key, 'k'||(o_custkey%700) AS idempotency_key, o_orderkey%4 AS attempts, 3 AS max_attempts,
+  3600+(o_orderkey%50)*3600 AS deadline_seconds, CASE WHEN o_orderkey%6=0 THEN o_orderkey-1 END AS cached_from, 5+(o_orderkey*37)%3000 AS seconds, o_totalprice FROM orders),
+jb AS (SELECT *, created_at + to_minutes(1) AS started_at, created_at + to_hours(2) AS lease_expires_at, created_at + to_seconds(seconds) AS finished_at FROM jb0)"""
+
+MANIFEST = COUNTS + """,
+mf0 AS (SELECT location, clip_name, k, num_frames, CASE WHEN location='kenai-train' THEN 'train' WHEN location='kenai-val' THEN 'val' ELSE 'test' END AS official_split,
+  CASE WHEN k%11=0 THEN 'quarantined' WHEN k%7=0 THEN 'warning' ELSE 'ok' END AS status, k%13<>0 AS frames_validated, 0 AS frame_start, num_frames AS frame_stop, k%50 AS boxes,
+  location='kenai-train' AND k%5=0 AS held FROM cc),
+mf AS (SELECT location, clip_name, official_split, CASE WHEN held THEN 'holdout' ELSE official_split END AS partition, official_split<>'test' AND NOT held AS tuning_allowed,
+  status, status<>'quarantined' AS usable, frames_validated, num_frames, frame_start, frame_stop, boxes FROM mf0)"""
