@@ -339,3 +339,16 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "location", "clip_name", "official_split", "if(held, 'holdout', official_split) as partition", "official_split <> 'test' and not held as tuning_allowed",
         "status", "status <> 'quarantined' as usable", "frames_validated", "num_frames", "frame_start", "frame_stop", "boxes",
     )
+
+
+GRID = 8
+
+
+@_view
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 x 8 byte frames from the embeddings, one clip per label."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "bigint(label) as clip_id", "embedding")
+    e = position(e, ["clip_id"], F.expr("vec_id div 256"), [F.col("vec_id")], "frame_index")
+    return e.select("clip_id", "frame_index", F.posexplode("embedding").alias("i", "e")).selectExpr(
+        "clip_id", "frame_index", f"i div {GRID} as y", f"i % {GRID} as x", "int(greatest(least(128 + floor(double(e) * 500), 255), 0)) as value"
+    ).withColumns({"y": F.col("y").cast("int"), "x": F.col("x").cast("int")})

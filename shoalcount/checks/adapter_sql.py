@@ -144,3 +144,7 @@ mf0 AS (SELECT location, clip_name, k, num_frames, CASE WHEN location='kenai-tra
   location='kenai-train' AND k%5=0 AS held FROM cc),
 mf AS (SELECT location, clip_name, official_split, CASE WHEN held THEN 'holdout' ELSE official_split END AS partition, official_split<>'test' AND NOT held AS tuning_allowed,
   status, status<>'quarantined' AS usable, frames_validated, num_frames, frame_start, frame_stop, boxes FROM mf0)"""
+
+CELLS = """
+em AS (SELECT label AS clip_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS frame_index, embedding FROM embeddings),
+cells AS (SELECT clip_id, frame_index, i//8 AS y, i%8 AS x, greatest(least(128+floor(embedding[i+1]::DOUBLE*500),255),0)::INT AS value FROM em, range(64) z(i))"""

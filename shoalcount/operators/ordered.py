@@ -126,3 +126,12 @@ def global_running_sum(
     ranged = df.withColumn("__v", value).repartitionByRange(n, *order)
     fixed = materialize(ranged.withColumn(_B, F.spark_partition_id()))
     return running(fixed, [], F.col(_B), order, F.col("__v"), name).drop("__v")
+
+
+def segment_starts(df: DataFrame, keys: Sequence[str], index: str, gap: Column | int, bucket_size: int = 1024) -> DataFrame:
+    """Distinct (keys, index) with ``segment``: the first index of its run of gaps <= ``gap``."""
+    points = materialize(df.select(*keys, index).distinct())
+    bucket, order = F.floor(F.col(index) / bucket_size), [F.col(index)]
+    p = previous(points, keys, bucket, order, [index])
+    fresh = F.col(f"prev_{index}").isNull() | (F.col(index) - F.col(f"prev_{index}") > F.lit(gap))
+    return running(p, keys, bucket, order, F.when(fresh, F.col(index)), "segment", fn="max").select(*keys, index, "segment")
