@@ -30,7 +30,7 @@ def dense_index(df: DataFrame, keys: Sequence[str], item: str, name: str = "j")
 def resample(
     df: DataFrame, keys: Sequence[str], item: str, values: Sequence[str], resamples: int, seed: int, salt: Sequence[str] = ()
 ) -> DataFrame:
-    """Sums of ``values`` per (keys, b) over as many draws with replacement as the group has rows.
+    """Sums of ``values`` per (keys, draw) over as many draws with replacement as the group has rows.
 
     ``salt`` names columns that go into the hash, so groups draw differently.
     """
@@ -38,10 +38,10 @@ def resample(
     indexed = materialize(dense_index(df.select(*keys, item, *values), keys, item))
     sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     slots = indexed.select(*keys, "j").join(sizes, keys)
-    slots = slots.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    pick = hash32(F.lit(seed), *[F.col(c) for c in salt], F.col("b"), F.col("j")) % F.col("__n")
-    drawn = slots.select(*keys, "b", pick.alias("j")).join(indexed, [*keys, "j"])
-    return drawn.groupBy(*keys, "b").agg(*[F.sum(v).alias(v) for v in values], F.count(F.lit(1)).alias("drawn"))
+    slots = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    pick = hash32(F.lit(seed), *[F.col(c) for c in salt], F.col("draw"), F.col("j")) % F.col("__n")
+    drawn = slots.select(*keys, "draw", pick.alias("j")).join(indexed, [*keys, "j"])
+    return drawn.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values], F.count(F.lit(1)).alias("drawn"))
 
 
 def interval(value: str, name: str, confidence: float = 0.95, digits: int = 9) -> list[Column]:
@@ -86,13 +86,13 @@ def paired_bootstrap(
 def location_bootstrap(
     counts: DataFrame, systems: Sequence[str], item: str = "clip_name", resamples: int = 10_000, seed: int = 0
 ) -> DataFrame:
-    """Per (location, b): every system's nMAE under a resample stratified by location.
+    """Per (location, draw): every system's nMAE under a resample stratified by location.
 
     ``counts`` has location, ``passages`` and ``err_<system>`` per clip.
     """
     values = ["passages", *[f"err_{s}" for s in systems]]
     sums = resample(counts, ["location"], item, values, resamples, seed, salt=["location"])
-    return sums.select("location", "b", *[ratio(F.col(f"err_{s}"), F.col("passages")).alias(s) for s in systems])
+    return sums.select("location", "draw", *[ratio(F.col(f"err_{s}"), F.col("passages")).alias(s) for s in systems])
 
 
 def location_intervals(samples: DataFrame, systems: Sequence[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def location_intervals(samples: DataFrame, systems: Sequence[str]) -> DataFrame:
 
 def macro_intervals(samples: DataFrame, systems: Sequence[str], baseline: str) -> DataFrame:
     """Intervals of the macro average and of ``baseline`` minus each other system; one row."""
-    macro = samples.groupBy("b").agg(*[F.avg(s).alias(s) for s in systems])
+    macro = samples.groupBy("draw").agg(*[F.avg(s).alias(s) for s in systems])
     others = [s for s in systems if s != baseline]
     macro = macro.withColumns({f"d_{s}": F.col(baseline) - F.col(s) for s in others})
     return macro.agg(

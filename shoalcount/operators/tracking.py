@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shoalcount.functions import geometry as g
 from shoalcount.operators.ordered import position, segment_starts
+from shoalcount.session import materialize
 
 KEYS = ["variant", "clip_id", "segment"]
 OUT = "variant string, clip_id long, segment long, frame_index long, det_id long, local_id long"
@@ -299,9 +300,10 @@ def track(detections: DataFrame, configs: Sequence[KalmanConfig | ByteTrackConfi
         *KEYS, "frame_index", "det_id", cx.alias("cx"), cy.alias("cy"), *g.EDGES, "score"
     )
     ordered = ready.repartition(*KEYS).sortWithinPartitions(*KEYS, "frame_index", "det_id")
-    labelled = ordered.mapInPandas(_runner(by_name), OUT).where("local_id > 0")
+    # Stored once: the labels are read for the track lengths and again for the rows.
+    labelled = materialize(ordered.mapInPandas(_runner(by_name), OUT).where("local_id > 0"))
     kept = F.element_at(F.create_map(*[x for c in configs for x in (F.lit(c.name), F.lit(c.keep))]), F.col("variant"))
-    long_enough = labelled.groupBy(*KEYS, "local_id").agg(F.count(F.lit(1)).alias("n"), F.min("frame_index").alias("first")).where(F.col("n") >= kept)
+    long_enough = labelled.groupBy(*KEYS, "local_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= kept)
     numbered = renumber(long_enough)
     named = labelled.join(numbered, [*KEYS, "local_id"]).drop("segment", "local_id")
     return named.join(detections, ["clip_id", "frame_index", "det_id"])
@@ -309,11 +311,8 @@ def track(detections: DataFrame, configs: Sequence[KalmanConfig | ByteTrackConfi
 
 def renumber(tracks: DataFrame) -> DataFrame:
     """Track numbers 1..n per (variant, recording) in order of creation."""
-    from shoalcount.session import materialize
-
-    t = materialize(tracks.select(*KEYS, "local_id", "first"))
     order = [F.col("segment"), F.col("local_id")]
-    placed = position(t, ["variant", "clip_id"], F.floor(F.col("segment") / 256), order, "track_id")
+    placed = position(tracks.select(*KEYS, "local_id"), ["variant", "clip_id"], F.floor(F.col("segment") / 256), order, "track_id")
     return placed.select(*KEYS, "local_id", (F.col("track_id") + 1).alias("track_id"))
 
 

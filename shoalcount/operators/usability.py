@@ -82,7 +82,7 @@ def participant_intervals(trials: DataFrame, resamples: int, seed: int = 0) -> D
     """Intervals from resampling each participant's clips within each condition."""
     t = trials.withColumn("one", F.lit(1))
     sums = resample(t, ["participant", "condition"], "clip", _SUMS, resamples, seed, salt=["participant", "condition"])
-    per = _wide(sums, ["participant", "b"]).select(
+    per = _wide(sums, ["participant", "draw"]).select(
         "participant", _time_ratio().alias("ratio"),
         (ratio(F.col("assisted_error"), F.col("assisted_passages")) - ratio(F.col("manual_error"), F.col("manual_passages"))).alias("diff"),
     )
@@ -110,18 +110,18 @@ def group_intervals(trials: DataFrame, resamples: int, seed: int = 0) -> DataFra
     t = trials.where(~F.col("participant").startswith(DEVELOPER_PREFIX)).withColumn("one", F.lit(1)).withColumn("g", F.lit(0))
     people = materialize(dense_index(t.select("g", "participant").distinct(), ["g"], "participant", "k"))
     size = people.groupBy("g").agg(F.count(F.lit(1)).alias("np"))
-    slots = people.select("g", "k").join(size, "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    chosen = slots.select("g", "b", F.col("k").alias("slot"), (hash32(F.lit(seed), F.col("b"), F.col("k")) % F.col("np")).alias("k"))
-    chosen = chosen.join(people, ["g", "k"]).select("b", "slot", "participant")
+    slots = people.select("g", "k").join(size, "g").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    chosen = slots.select("g", "draw", F.col("k").alias("slot"), (hash32(F.lit(seed), F.col("draw"), F.col("k")) % F.col("np")).alias("k"))
+    chosen = chosen.join(people, ["g", "k"]).select("draw", "slot", "participant")
 
     keys = ["participant", "condition"]
     clips = materialize(dense_index(t.select(*keys, "clip", *_SUMS), keys, "clip"))
     sizes = clips.groupBy(*keys).agg(F.count(F.lit(1)).alias("nc"))
     draws = chosen.join(clips.select(*keys, "j").join(sizes, keys), "participant")
-    pick = hash32(F.lit(seed), F.col("b"), F.col("slot"), F.col("condition"), F.col("j")) % F.col("nc")
-    drawn = draws.select("b", "slot", *keys, pick.alias("j")).join(clips, [*keys, "j"])
-    per = _wide(drawn, ["b", "slot"])
-    sample = per.groupBy("b").agg(
+    pick = hash32(F.lit(seed), F.col("draw"), F.col("slot"), F.col("condition"), F.col("j")) % F.col("nc")
+    drawn = draws.select("draw", "slot", *keys, pick.alias("j")).join(clips, [*keys, "j"])
+    per = _wide(drawn, ["draw", "slot"])
+    sample = per.groupBy("draw").agg(
         F.exp(F.avg(F.log(_time_ratio()))).alias("ratio"),
         (ratio(F.sum("assisted_error"), F.sum("assisted_passages")) - ratio(F.sum("manual_error"), F.sum("manual_passages"))).alias("diff"),
     )
