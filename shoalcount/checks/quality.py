@@ -476,7 +476,7 @@ def sustained_alerts(s, d):
 
 
 @query("""WITH w AS (SELECT event_type, value, ts, unnest(range(6)) AS i FROM events), x AS (SELECT event_type, value, time_bucket(INTERVAL 5 MINUTE, ts)-to_minutes(5*i) AS st FROM w)
-  SELECT strftime(st,'%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, count(*) FILTER (event_type='error') AS failures, round(avg(value),6) AS mean_value FROM x GROUP BY 1""")
+  SELECT strftime(st,'%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, count(*) FILTER (event_type='error') AS failures, sum(value::DECIMAL(28,6))::DOUBLE/count(*) AS mean_value FROM x GROUP BY 1""")
 def windowed_failures(s, d):
     e = ad.table(s, d, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     out = ops.windowed_rates(e, "ts", F.col("event_type") == "error", F.col("value"), "30 minutes", "5 minutes")

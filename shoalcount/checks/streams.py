@@ -45,7 +45,7 @@ def stream_review_acceptance(s, d):
 
 
 @query("""WITH w AS (SELECT event_type, value, ts, unnest(range(6)) AS i FROM events), x AS (SELECT event_type, value, time_bucket(INTERVAL 5 MINUTE, ts)-to_minutes(5*i) AS st FROM w)
-  SELECT strftime(st,'%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, count(*) FILTER (event_type='error') AS failures, round(avg(value),6) AS mean_value FROM x GROUP BY st
+  SELECT strftime(st,'%Y-%m-%d %H:%M:%S') AS start, count(*) AS events, count(*) FILTER (event_type='error') AS failures, sum(value::DECIMAL(28,6))::DOUBLE/count(*) AS mean_value FROM x GROUP BY st
   HAVING st + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def stream_failure_windows(s, d):
     out = sj.run_available(

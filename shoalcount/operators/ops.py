@@ -143,7 +143,12 @@ def sustained(samples: DataFrame, key: str, at: str, condition: Column, seconds:
 
 
 def windowed_rates(events: DataFrame, at: str, failed: Column, value: Column, length: str, slide: str, *group: str) -> DataFrame:
-    """Events, failures and mean value per sliding event-time window (batch or stream)."""
+    """Events, failures and mean value per sliding event-time window (batch or stream).
+
+    The mean comes from an exact decimal sum, so it does not depend on the order of addition.
+    """
+    n = F.count(F.lit(1))
     return events.groupBy(F.window(at, length, slide), *group).agg(
-        F.count(F.lit(1)).alias("events"), F.count(F.when(failed, 1)).alias("failures"), F.round(F.avg(value), 6).alias("mean_value")
+        n.alias("events"), F.count(F.when(failed, 1)).alias("failures"),
+        (F.sum(value.cast("decimal(28,6)")).cast("double") / n).alias("mean_value"),
     )

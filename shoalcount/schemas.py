@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
+    "boolean": T.BooleanType(), "date": T.DateType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
 def _s(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from 'name type' pairs; needs no running session, unlike the DDL parser."""
+    pairs = (part.split() for part in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 BOXES = _s("clip_id bigint, track_id bigint, frame_index bigint, x_min double, y_min double, x_max double, y_max double, score double")
@@ -18,7 +26,7 @@ TRACKS = _s(
 )
 MANIFEST = _s(
     "location string, clip_name string, recording_id string, recording_date date, recording_frame_start bigint,"
-    " recording_frame_stop bigint, official_split string, `partition` string, tuning_allowed boolean, status string,"
+    " recording_frame_stop bigint, official_split string, partition string, tuning_allowed boolean, status string,"
     " usable boolean, quarantine_reasons array<string>, warning_codes array<string>, frames_validated boolean,"
     " num_frames bigint, frame_start bigint, frame_stop bigint, width bigint, height bigint, framerate double,"
     " boxes bigint, tracks bigint, gt_sha256 string"
