@@ -10,6 +10,7 @@ from shoalcount.checks.reviewlog import FOLD
 from shoalcount.functions.register import register as register_functions
 from shoalcount.operators import reviews as rv
 from shoalcount.operators import tracking as tk
+from shoalcount.session import scratch_dir
 from shoalcount.streaming import jobs as sj
 
 QUERIES: dict = {}
@@ -33,7 +34,7 @@ def event_stream(s, d):
 
 def staged(s, df, name):
     """A batch table written out and opened as a stream."""
-    path = sj.scratch(s, name)
+    path = scratch_dir(s, name)
     df.write.parquet(path)
     return s.readStream.schema(df.schema).parquet(path)
 

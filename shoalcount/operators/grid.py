@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalcount.session import materialize
+from shoalcount.session import materialize, materialize_counted
 
 FRAME = ["clip_id", "frame_index"]
 PIXEL = ["clip_id", "frame_index", "y", "x"]
@@ -203,9 +203,10 @@ def label_components(mask: DataFrame, width: int) -> DataFrame:
             F.min("label").alias("near")
         )
         low = labels.join(seen, [*FRAME, "node"], "left").select(*FRAME, "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        low = materialize(low)
         jump = low.select(*FRAME, F.col("node").alias("label"), F.col("label").alias("via"))
-        nxt = materialize(low.join(jump, [*FRAME, "label"], "left").select(*FRAME, "node", "old", F.least("label", "via").alias("label")))
-        changed = nxt.where("label <> old").limit(1).count()
+        step = low.join(jump, [*FRAME, "label"], "left").select(*FRAME, "node", "old", F.least("label", "via").alias("label"))
+        nxt, changed = materialize_counted(step, F.col("label") != F.col("old"))
         labels = nxt.drop("old")
         if not changed:
             return cells.join(labels, [*FRAME, "node"]).select(*PIXEL, "label")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalcount.functions import geometry as g
-from shoalcount.session import materialize
+from shoalcount.session import materialize, materialize_counted
 
 CELL_PX = 64
 CELL_MAX = 63  # cells are clamped to [-1, CELL_MAX], so one box covers a bounded number of them
@@ -176,13 +176,20 @@ def direction_confusion(features: DataFrame, ref_counts: DataFrame, pred_counts:
 # --- greedy one-to-one matching and suppression -------------------------------------------
 
 
-def _until_settled(state: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows: Column) -> DataFrame:
-    """Apply ``step`` until no row is open. Each round is checkpointed; rows never return to
-    the driver, only the count of open ones does."""
+def _until_settled(live: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Repeat ``step`` on the rows it leaves ``open`` and return the rows it settled.
+
+    Each round is stored; only the number of open rows, counted while writing, reaches the
+    driver.
+    """
+    settled = None
     while True:
-        state = materialize(step(state))
-        if state.where(open_rows).limit(1).count() == 0:
-            return state
+        stored, left = materialize_counted(step(live), F.col("open"))
+        done = stored.where("not open").drop("open")
+        settled = done if settled is None else settled.unionByName(done)
+        if left == 0:
+            return settled
+        live = stored.where("open").drop("open")
 
 
 def greedy_match(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[Column]) -> DataFrame:
@@ -197,16 +204,14 @@ def greedy_match(pairs: DataFrame, group: Sequence[str], left: str, right: str,
     def round_(df: DataFrame) -> DataFrame:
         rank_l = F.row_number().over(Window.partitionBy(*l_key).orderBy(*order))
         rank_r = F.row_number().over(Window.partitionBy(*r_key).orderBy(*order))
-        live = df.where("open").withColumn("__rl", rank_l).withColumn("__rr", rank_r)
+        live = df.withColumn("__rl", rank_l).withColumn("__rr", rank_r)
         live = live.withColumn("__take", (F.col("__rl") == 1) & (F.col("__rr") == 1))
         live = live.withColumn("__bl", F.max("__take").over(Window.partitionBy(*l_key)))
         live = live.withColumn("__br", F.max("__take").over(Window.partitionBy(*r_key)))
         live = live.where(F.col("__take") | ~(F.col("__bl") | F.col("__br")))
-        live = live.withColumn("open", ~F.col("__take")).select(*df.columns)
-        return df.where("not open").unionByName(live)
+        return live.select(*df.columns, (~F.col("__take")).alias("open"))
 
-    settled = _until_settled(pairs.withColumn("open", F.lit(True)), round_, F.col("open"))
-    return settled.drop("open")
+    return _until_settled(pairs, round_)
 
 
 def suppress_overlaps(
@@ -234,11 +239,9 @@ def suppress_overlaps(
     edges = near_pairs(slim, slim, frame).where(stronger & test).select(
         *frame, F.col(f"a_{det}").alias("strong"), F.col(f"b_{det}").alias("weak")
     )
-    # state: edges with the verdict on their weak end once known
     key = lambda c: [*frame, c]
 
-    def round_(df: DataFrame) -> DataFrame:
-        live = df.where("open")
+    def round_(live: DataFrame) -> DataFrame:
         weak_ends = live.select(*frame, F.col("weak").alias("node")).distinct()
         # strong ends that are nobody's weak end are kept now
         kept = live.select(*frame, F.col("strong").alias("node")).distinct().join(weak_ends, key("node"), "left_anti")
@@ -248,9 +251,9 @@ def suppress_overlaps(
         rest = live.join(dropped.withColumnRenamed("node", "weak"), key("weak"), "left_anti").join(
             dropped.withColumnRenamed("node", "strong"), key("strong"), "left_anti"
         )
-        return df.where("not open").unionByName(lost).unionByName(rest)
+        return lost.unionByName(rest.withColumn("open", F.lit(True)))
 
-    settled = _until_settled(edges.withColumn("open", F.lit(True)), round_, F.col("open"))
+    settled = _until_settled(materialize(edges), round_)
     dropped = settled.select(*frame, F.col("weak").alias(det)).distinct()
     return boxes.join(dropped, [*frame, det], "left_anti")
 

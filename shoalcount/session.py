@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "shoalcount", master: str | None = None, partitions: int | None = None):
@@ -13,6 +15,7 @@ def build_session(app: str = "shoalcount", master: str | None = None, partitions
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -24,14 +27,35 @@ def build_session(app: str = "shoalcount", master: str | None = None, partitions
     return builder.getOrCreate()
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared ``spark.checkpoint.dir``.
+
+    A folder of this machine is used only where none is set, as in tests.
+    """
+    global _local_dir
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        _local_dir = _local_dir or tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+        base = _local_dir
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_local_dir: str | None = None
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+    """Store a table in the shared folder and return it as read back.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a scratch folder is used only where
-    none is set (tests on one machine). Losing an executor afterwards re-reads the files.
+    Cuts lineage, survives lost executors, and gives later plans columnar reads, column
+    pruning and real sizes to choose joins by.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and how many rows meet ``condition``, counted while writing."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+    return stored, int(seen.get["n"])

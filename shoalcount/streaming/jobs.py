@@ -7,8 +7,6 @@ in the same order, every job here gives what its batch twin gives.
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -20,12 +18,7 @@ from shoalcount.functions import geometry as g
 from shoalcount.operators import tracking as tk
 from shoalcount.operators.ops import windowed_rates
 from shoalcount.operators.reviews import VERDICT_SCHEMA, step
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder (a local one only in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from shoalcount.session import scratch_dir
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -39,7 +32,7 @@ def read_stream(spark: SparkSession, folder: str, schema: str, glob: str | None
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process everything available, then read the results back from files."""
-    spark, out = stream.sparkSession, scratch(stream.sparkSession, "stream")
+    spark, out = stream.sparkSession, scratch_dir(stream.sparkSession, "stream")
     schema = stream.schema
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{out}/data").outputMode("append")
