@@ -19,6 +19,8 @@ def build_session(app: str = "shoalcount", master: str | None = None, partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # no Python call-site capture per column: plans with many expressions build faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
