@@ -481,3 +481,25 @@ def windowed_failures(s, d):
     e = ad.table(s, d, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     out = ops.windowed_rates(e, "ts", F.col("event_type") == "error", F.col("value"), "30 minutes", "5 minutes")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "failures", "mean_value")
+
+
+@query("WITH " + q.COUNTS + " SELECT k AS report_id, clip_name, ref_right, ref_left, a_right AS auto_right, a_left AS auto_left, num_frames FROM cc")
+def report_candidates(s, d):
+    clip = lambda p: F.format_string(
+        '[{"clip_name":"%s","reference":[%d,%d],"predicted":[%d,%d]}]', "clip_name", "ref_right", "ref_left", f"{p}_right", f"{p}_left"
+    )
+    text = F.concat(
+        F.lit('{"best":{"epoch":3,"threshold":0.2},"results":[{"epoch":3,"threshold":0.3,"clips":'), clip("b"),
+        F.lit('},{"epoch":3,"threshold":0.2,"clips":'), clip("a"), F.lit("}]}"),
+    )
+    c = ad.clip_counts(s, d)
+    return rp.candidates_from_report(c.select(F.col("k").alias("report_id"), text.alias("text")), c).drop("framerate")
+
+
+@query("""SELECT c_custkey AS plan_id, 'R1' AS reviewer, CASE WHEN c_custkey%2=0 THEN 'n'||c_custkey ELSE 'o'||c_custkey END AS code FROM customer
+  UNION ALL SELECT c_custkey, 'R2', 'x' FROM customer WHERE c_custkey%2=1""")
+def plan_assignments(s, d):
+    text = F.expr(
+        """concat('{"assignments":{"R1":["o', c_custkey, '"],"R2":["x"]}', if(c_custkey % 2 = 0, concat(',"amendments":[{"assignments":{}},{"assignments":{"R1":["n', c_custkey, '"]}}]'), ''), '}')"""
+    )
+    return rp.assignments(ad.table(s, d, "customer").select(F.col("c_custkey").alias("plan_id"), text.alias("text")))
