@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import exact_dedup, sharding, simhash
+from shoalcount.llm import bpe, exact_dedup, sharding, simhash
 
 
 def _table(spark, sf_dir, name):
@@ -16,6 +16,10 @@ def op2_sharding(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_bpe(spark, sf_dir):
+    return bpe.encode(_table(spark, sf_dir, "documents"), bpe.production_file())
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.decide(_table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
@@ -25,7 +29,7 @@ def op10_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op5_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_bpe, op5_exact_dedup, op10_simhash)}
 
 ORACLE = {
     "op5_exact_dedup": """
