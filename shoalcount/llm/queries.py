@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import bpe, exact_dedup, sharding, simhash
+from shoalcount.llm import bpe, exact_dedup, langid, sharding, simhash
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,12 @@ def op3_bpe(spark, sf_dir):
     return bpe.encode(_table(spark, sf_dir, "documents"), bpe.production_file())
 
 
+def op4_langid(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    away = langid.held_out(F.col("doc_id"))
+    return langid.predict(docs, langid.train(docs.where(~away)), held_out=away)
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.decide(_table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
@@ -29,7 +35,7 @@ def op10_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_bpe, op5_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op10_simhash)}
 
 ORACLE = {
     "op5_exact_dedup": """
