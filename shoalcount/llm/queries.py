@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import bpe, exact_dedup, langid, sharding, simhash
+from shoalcount.llm import bpe, exact_dedup, langid, quality_lm, sharding, simhash
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_lm(spark, sf_dir):
+    return quality_lm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark, sf_dir):
     placed = sharding.assign(_table(spark, sf_dir, "documents"), sharding.uniform_tree())
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -35,7 +39,7 @@ def op10_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op10_simhash)}
 
 ORACLE = {
     "op5_exact_dedup": """
