@@ -161,10 +161,10 @@ def model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         types = types.unionByName(more)
     types = materialize(types)
     of = [F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     discounts = types.groupBy("lang", "n").agg(*of).select(
         "lang", "n",
-        *[F.coalesce(F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(0.0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))), F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)],
+        *[F.coalesce(F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(0.0), k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))), F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)],
     )
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     cut = types.join(discounts, ["lang", "n"]).select("lang", "n", "gram", F.shiftright("gram", 8).alias("context"), "c", d.alias("d"))
@@ -227,9 +227,9 @@ def classify(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> D
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"))
     trusted = materialize(marks.where("q = 1").select("doc_id"))
     aside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0
-    scored = materialize(perplexities(docs, materialize(trusted.where(~aside))).withColumn("nats", F.when(F.col("n_bytes") > 0, -F.col("log_prob") / F.col("n_bytes"))))
+    scored = materialize(perplexities(docs, materialize(trusted.where(~aside))).withColumn("nats", F.try_divide(-F.col("log_prob"), F.col("n_bytes"))))
     known = materialize(scored.where("n_bytes > 0").join(trusted.where(aside), "doc_id"))
-    scale = F.sqrt(1 + limits.scatter / F.col("n_bytes"))
+    scale = F.sqrt(1 + limits.scatter / F.greatest("n_bytes", F.lit(1)))
     middle = materialize(_quantiles(known, "nats", {"mid": 0.5}))
     distances = known.join(middle, "lang").withColumn("away", (F.col("nats") - F.col("mid")) / scale)
     ranges = middle.join(_quantiles(distances, "away", {"reach": limits.quantile}), "lang")
