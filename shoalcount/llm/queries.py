@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import ann, bpe, exact_dedup, langid, quality_lm, sharding, simhash
+from shoalcount.llm import ann, bpe, exact_dedup, langid, quality_lm, sharding, simhash, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.decide(_table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
 
 
+def op6_url_filter(spark, sf_dir):
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 def op8_ann(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -43,7 +47,7 @@ def op10_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op8_ann, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op8_ann, op10_simhash)}
 
 ORACLE = {
     "op5_exact_dedup": """
