@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import ann, bpe, exact_dedup, langid, quality_lm, sharding, simhash, url_filter
+from shoalcount.llm import ann, bpe, exact_dedup, langid, mixing, quality_lm, sharding, simhash, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -38,6 +38,11 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op7_mixing(spark, sf_dir):
+    plan = mixing.schedule(_table(spark, sf_dir, "documents"), power=0.5, block_rows=32, slots=1000)
+    return plan.select("doc_id", "source", "weight", "block", "slot", "position")
+
+
 def op8_ann(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -47,9 +52,38 @@ def op10_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op8_ann, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op10_simhash)}
 
 ORACLE = {
+    "op7_mixing": """
+    WITH RECURSIVE sized AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
+    weighted AS (
+        SELECT source, greatest(1, CAST(floor(1000 * sqrt(n) / (SELECT sum(sqrt(n)) FROM sized) + 0.5) AS BIGINT)) AS weight,
+               row_number() OVER (ORDER BY source) AS i
+        FROM sized
+    ), w AS (SELECT list(weight ORDER BY i) AS ws, list(source ORDER BY i) AS names, CAST(sum(weight) AS BIGINT) AS total, count(*) AS m FROM weighted),
+    run AS (
+        SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS done FROM w
+        UNION ALL
+        SELECT t + 1, best, list_transform(done, lambda d, i: d + CASE WHEN i = best THEN 1 ELSE 0 END)
+        FROM (
+            SELECT t, done, total, list_min(list_filter(list_transform(done, lambda d, i: CASE
+                       WHEN d < ws[i] AND (d * total) // ws[i] <= t + 1 THEN (((d + 1) * total + ws[i] - 1) // ws[i]) * 10000 + i ELSE NULL END),
+                       lambda x: x IS NOT NULL)) % 10000 AS best
+            FROM run, w WHERE t + 1 < total
+        )
+    ), pattern AS (
+        SELECT t AS place, names[pick] AS source, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn, ws[pick] AS weight, total
+        FROM run, w WHERE t >= 0
+    ), ranked AS (
+        SELECT doc_id, coalesce(source, '') AS source,
+               row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT), doc_id) - 1 AS r
+        FROM documents
+    ), placed AS (
+        SELECT r.doc_id, r.source, p.weight, r.r // 32 AS block, ((r.r // 32) // p.weight) * p.total + p.place AS slot, r.r % 32 AS inside
+        FROM ranked r JOIN pattern p ON p.source = r.source AND p.turn = (r.r // 32) % p.weight
+    )
+    SELECT doc_id, source, weight, block, slot, row_number() OVER (ORDER BY slot, inside) - 1 AS position FROM placed""",
     "op5_exact_dedup": """
     WITH d AS (
         SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
