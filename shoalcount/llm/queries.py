@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import ann, bpe, exact_dedup, langid, mixing, quality_lm, sharding, simhash, url_filter
+from shoalcount.llm import ann, bpe, exact_dedup, langid, mixing, pii, quality_lm, sharding, simhash, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -47,12 +47,17 @@ def op8_ann(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_pii(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs)).drop("found")
+
+
 def op10_simhash(spark, sf_dir):
     rows = simhash.classify(_table(spark, sf_dir, "documents"), words=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op9_pii, op10_simhash)}
 
 ORACLE = {
     "op7_mixing": """
