@@ -20,16 +20,23 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalcount.llm.util import blocked, hinted, without
 from shoalcount.session import materialize
 
-ORDER = 5
+ORDER = 4
 
 #: Documents in a block, and text bytes handled at a time inside a task.
-BLOCK_ROWS, STEP = 4096, 1 << 21
+BLOCK_ROWS, STEP = 16_384, 1 << 21
+
+#: Text bytes that travel compressed together.
+PARCEL = 1 << 18
+
+#: No discount is smaller, so that every byte keeps some probability.
+LEAST_DISCOUNT = 0.05
 
 #: One trusted document in so many is kept from the counts to set the thresholds.
 HELD_OUT = 4
@@ -111,35 +118,51 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, answers first: sums of log probabilities per document."""
-    block, langs, grams, values, index = None, {}, [], [], None
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a block, some hundred KB of text to a row, compressed."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-        edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
-        for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(blocks)]])):
+        raw, starts = _span(batch.column("text"))
+        blocks = batch.column("block").to_numpy()
+        ids, langs = batch.column("doc_id"), batch.column("lang")
+        cuts, at = [0], 0
+        for i in range(1, len(blocks) + 1):
+            if i == len(blocks) or blocks[i] != blocks[at] or starts[i + 1] - starts[at] > PARCEL:
+                cuts.append(i)
+                at = i
+        for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 continue
-            part = batch.slice(a, b - a)
-            if blocks[a] != block:
-                block, langs, grams, values, index = blocks[a], {}, [], [], None
-            if kinds[a] == 0:
-                for lang, g, v in zip(part.column("lang").to_pylist(), part.column("grams"), part.column("values")):
-                    code = langs.setdefault(lang, len(langs))
-                    grams.append(g.values.to_numpy() | code << 8 * ORDER)
-                    values.append(v.values.to_numpy())
+            data = [int(blocks[a]), ids[a:b].to_pylist(), langs[a:b].to_pylist(), np.diff(starts[a : b + 1]).tolist(), squeeze(raw[starts[a] : starts[b]].tobytes())]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(data, kinds)], names=["block", "doc_ids", "langs", "sizes", "data"])
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, answers before parcels: sums of log probabilities per document."""
+    block, codes, grams, values, index, held = None, {}, [], [], None, None
+    open_up = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i, (at, kind) in enumerate(zip(batch.column("block").to_pylist(), batch.column("kind").to_pylist())):
+            if at != block:
+                block, codes, grams, values, index = at, {}, [], [], None
+            if kind == 0:
+                code = codes.setdefault(batch.column("lang")[i].as_py(), len(codes))
+                grams.append(batch.column("grams")[i].values.to_numpy() | code << 8 * ORDER)
+                values.append(batch.column("values")[i].values.to_numpy())
                 continue
             if index is None and grams:
                 index, held = pd.Index(np.concatenate(grams)), np.concatenate(values)
-            codes = np.array([langs.get(x, -1) for x in part.column("lang").to_pylist()], np.int64) << 8 * ORDER
-            raw, starts = _span(part.column("text"))
-            sums = np.zeros(len(part))
-            for keys, owner in _grams(raw, starts):
-                at = index.get_indexer(keys | codes[owner])
-                if (at < 0).any():
+            langs, sizes = batch.column("langs")[i].as_py(), batch.column("sizes")[i].values.to_numpy()
+            raw = np.frombuffer(open_up(batch.column("data")[i].as_py()), np.uint8) if sizes.any() else np.zeros(0, np.uint8)
+            high = np.array([codes.get(x, -1) for x in langs], np.int64) << 8 * ORDER
+            sums = np.zeros(len(langs))
+            for keys, owner in _grams(raw, np.concatenate([[0], np.cumsum(sizes)])):
+                found = index.get_indexer(keys | high[owner])
+                if (found < 0).any():
                     raise ValueError("a block's answers lack an n-gram of its texts")
-                sums += np.bincount(owner, held[at], len(part))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(np.diff(starts)), pa.array(sums)], names=["doc_id", "lang", "n_bytes", "log_prob"])
+                sums += np.bincount(owner, held[found], len(langs))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_ids")[i].values), pa.array(langs, pa.string()), pa.array(sizes), pa.array(sums)], names=["doc_id", "lang", "n_bytes", "log_prob"])
 
 
 def model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +171,7 @@ def model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     p_n = term of the n-gram (0 if unseen) + weight of its context (1 if unseen) x p_(n-1);
     p_0 is uniform over bytes. The highest order has raw counts, the lower ones the number of
     different bytes seen before the n-gram. Discounts follow the counts of counts; where these
-    are too thin to define one, half of the count it applies to is taken.
+    are too thin to define one, half of the count it applies to is taken; LEAST_DISCOUNT at least.
     """
     level = counts.select("lang", "gram", "c")
     levels = []
@@ -164,7 +187,7 @@ def model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     discounts = types.groupBy("lang", "n").agg(*of).select(
         "lang", "n",
-        *[F.coalesce(F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(0.0), k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))), F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)],
+        *[F.coalesce(F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(LEAST_DISCOUNT), k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))), F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)],
     )
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     cut = types.join(discounts, ["lang", "n"]).select("lang", "n", "gram", F.shiftright("gram", 8).alias("context"), "c", d.alias("d"))
@@ -199,9 +222,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     both = materialize(requests.groupBy("lang", "gram").agg(F.sum("n").alias("c")))
     values = materialize(log_probabilities(both.select("lang", "gram"), *model_tables(both.where("c > 0"))))
     packed = requests.join(values, ["lang", "gram"]).groupBy("block", "lang").agg(F.collect_list(F.struct("gram", "value")).alias("g"))  # no more than a block's bytes
-    answers = packed.select("block", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), "lang", F.lit("").alias("text"), F.col("g.gram").alias("grams"), F.col("g.value").alias("values"))
-    none = F.array().cast("array<bigint>").alias("grams"), F.array().cast("array<double>").alias("values")
-    met = answers.unionByName(rows.select("block", F.lit(1).alias("kind"), "doc_id", "lang", "text", *none))
+    kinds = "block bigint, doc_ids array<bigint>, langs array<string>, sizes array<bigint>, data binary"
+    parcels = rows.select("block", "doc_id", "lang", "text").mapInArrow(_parcels, kinds).withColumn("kind", F.lit(1))
+    answers = packed.select("block", F.lit(0).alias("kind"), "lang", F.col("g.gram").alias("grams"), F.col("g.value").alias("values"))
+    met = answers.unionByName(parcels, allowMissingColumns=True)
     return met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_scores, "doc_id bigint, lang string, n_bytes bigint, log_prob double")
 
 

@@ -23,7 +23,7 @@ def plain_model(texts, order=quality_lm.ORDER):
     for n in range(1, order + 1):
         of = Counter(grams[n].values())
         y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else 0
-        d = {k: max(0.0, k - (k + 1) * y * of[k + 1] / of[k]) if of[k] and of[k + 1] else k / 2 for k in (1, 2, 3)}
+        d = {k: max(quality_lm.LEAST_DISCOUNT, k - (k + 1) * y * of[k + 1] / of[k]) if of[k] and of[k + 1] else k / 2 for k in (1, 2, 3)}
         total, mass = defaultdict(int), defaultdict(float)
         for g, c in grams[n].items():
             total[g[:-1]] += c
@@ -55,7 +55,7 @@ def test_matches_plain_model(spark):
 
 def test_probabilities_sum_to_one():
     log_p = plain_model(["abracadabra abracadabra", "cadabra"])
-    assert math.isclose(sum(math.exp(log_p(b"adab" + bytes([c]))) for c in range(256)), 1, rel_tol=1e-9)
+    assert math.isclose(sum(math.exp(log_p(b"adab"[-quality_lm.ORDER + 1 :] + bytes([c]))) for c in range(256)), 1, rel_tol=1e-9)
 
 
 def test_labelled_junk_goes_and_clean_text_stays(spark):
