@@ -446,7 +446,7 @@ def matched_sets(s, d):
     pairs = placed.groupBy("key").agg(
         F.max(F.when(F.col("place") == 0, item)).alias("x0"), F.max(F.when(F.col("place") == 1, item)).alias("x1")
     )
-    best = ds.match_sets(pairs, strata=12)
+    best = ds.match_sets(pairs)
     return best.select(F.array_join("names", ",").alias("names"), F.round("score", 6).alias("score"), "d_pass", "d_err")
 
 

@@ -161,9 +161,18 @@ def skipped_members(s, d):
     return selected_members(s, d).groupBy(F.coalesce("skipped", F.lit("selected")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + q.DET + """, v AS (SELECT clip_id, frame_index, det_id, round(score, 1) AS v FROM det) SELECT clip_id, frame_index, sha256(string_agg(v::VARCHAR, ',' ORDER BY det_id)) AS sha256 FROM v GROUP BY 1,2""")
+PRINTS = "WITH " + q.DET + """, r AS (SELECT clip_id, frame_index, round(x_min,1) AS a, round(y_min,1) AS b, round(x_max,1) AS c, round(y_max,1) AS e, round(score,1) AS f FROM det),
+  fr AS (SELECT clip_id, frame_index, sha256(string_agg(concat_ws(':', a, b, c, e, f), ',' ORDER BY a, b, c, e, f)) AS sha256 FROM r GROUP BY 1,2)"""
+
+
+@query(PRINTS + " SELECT clip_id, frame_index, sha256 FROM fr")
 def detection_fingerprints(s, d):
-    return fi.text_fingerprint(ad.detections(s, d), ["clip_id", "frame_index"], F.col("score"), ["det_id"], decimals=1)
+    return fi.detection_digests(ad.detections(s, d), decimals=1)[0]
+
+
+@query(PRINTS + " SELECT clip_id, sha256(string_agg(frame_index||'='||sha256, ',' ORDER BY frame_index)) AS sha256 FROM fr GROUP BY 1")
+def clip_fingerprints(s, d):
+    return fi.detection_digests(ad.detections(s, d), decimals=1)[1]
 
 
 # --- reports and plans ---------------------------------------------------------------------
@@ -184,16 +193,18 @@ def report_clip_counts(s, d):
     return rp.clip_counts(reports, epoch=2, threshold=0.2)
 
 
-@query("""SELECT event_id AS id, 'event.props.k' AS key, props->>'$.k' AS value FROM events UNION ALL SELECT event_id, 'event.type', event_type FROM events UNION ALL SELECT event_id, 'list', '[1,2]' FROM events""")
+@query("""SELECT event_id AS id, 'event.props.k' AS key, props->>'$.k' AS value FROM events UNION ALL SELECT event_id, 'event.type', event_type FROM events UNION ALL SELECT event_id, 'list', '[1,2]' FROM events
+  UNION ALL SELECT event_id, 'a.b.c.d.e.f', event_id::VARCHAR FROM events UNION ALL SELECT event_id, 'a.text', '{'||event_type FROM events UNION ALL SELECT event_id, 'a.b.none', 'None' FROM events UNION ALL SELECT event_id, 'a.b.even', CASE WHEN event_id%2=0 THEN 'True' ELSE 'False' END FROM events""")
 def flattened_configs(s, d):
-    text = F.concat(F.lit('{"event":{"props":'), "props", F.lit(',"type":"'), "event_type", F.lit('"},"list":[1,2]}'))
+    deep = F.format_string('"a":{"b":{"c":{"d":{"e":{"f":%d}}},"none":null,"even":%s},"text":"{%s"}', "event_id", (F.col("event_id") % 2 == 0).cast("string"), "event_type")
+    text = F.concat(F.lit('{"event":{"props":'), "props", F.lit(',"type":"'), "event_type", F.lit('"},"list":[1,2],'), deep, F.lit("}"))
     return rp.flatten_config(ad.table(s, d, "events").select(F.col("event_id").alias("id"), text.alias("text")))
 
 
 @query("""SELECT 'loss' AS key, event_id*1.0 AS value, event_id AS step FROM events UNION ALL SELECT 'k', (props->>'$.k')::DOUBLE, event_id FROM events UNION ALL SELECT 'head_only', (event_id%2=0)::INT::DOUBLE, event_id FROM events""")
 def training_metrics(s, d):
     line = F.concat(
-        F.lit('{"iteration":'), F.col("event_id").cast("string"), F.lit(',"loss":'), F.col("event_id").cast("string"), F.lit('.0,"note":"x","k":'),
+        F.lit('{"iteration":'), F.col("event_id").cast("string"), F.lit(',"loss":'), F.col("event_id").cast("string"), F.lit('.0,"note":"7","flag":"true","none":null,"k":'),
         F.get_json_object("props", "$.k"), F.lit(',"head_only":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}"),
     )
     return rp.metric_rows(ad.table(s, d, "events").select(line.alias("line")))
@@ -274,12 +285,11 @@ def subset_rows_not_in_full(s, d):
 
 
 STATUS = ISS + """, sts AS (SELECT dc.clip_id, location, CASE WHEN bool_or(code<>'box_partially_outside_image') THEN 'quarantined' WHEN count(code)>0 THEN 'warning' ELSE 'ok' END AS status,
-  coalesce(string_agg(code, ',' ORDER BY code) FILTER (code<>'box_partially_outside_image'), '') AS reasons FROM dc LEFT JOIN (SELECT * FROM iss WHERE clip_id%4=0 OR (clip_id%4=1 AND code='box_partially_outside_image')) i ON i.clip_id=dc.clip_id GROUP BY 1,2)"""
+  coalesce(string_agg(code, ',' ORDER BY code) FILTER (code<>'box_partially_outside_image'), '') AS reasons FROM dc LEFT JOIN iss i ON i.clip_id=dc.clip_id GROUP BY 1,2)"""
 
 
 def statuses(s, d):
-    i = issues(s, d).where("clip_id % 4 = 0 or (clip_id % 4 = 1 and code = 'box_partially_outside_image')")
-    return ql.clip_status(ad.dataset_clips(s, d), i)
+    return ql.clip_status(ad.dataset_clips(s, d), issues(s, d))
 
 
 @query(STATUS + " SELECT clip_id, location, status, reasons FROM sts")
@@ -418,12 +428,12 @@ def job_problems(s, d):
     return ops.job_problems(ad.service_jobs(s, d), now())
 
 
-@query("WITH " + q.JOBS + """ SELECT c_custkey AS clip_id FROM customer WHERE c_custkey%4<>0 AND c_custkey%5<>0 AND c_custkey NOT IN (SELECT clip_id FROM jb WHERE status IN ('queued','running') AND job_id%40=0)""")
+@query("WITH " + q.JOBS + """ SELECT c_custkey AS clip_id FROM customer WHERE c_custkey%4<>0 AND c_custkey%5<>0 AND c_custkey NOT IN (SELECT clip_id FROM jb WHERE status IN ('queued','running'))""")
 def expired_uploads(s, d):
     c = ad.table(s, d, "customer").selectExpr(
         "c_custkey as clip_id", "if(c_custkey % 4 = 0, timestamp'2030-01-01', timestamp'2001-01-01') as expires_at", "if(c_custkey % 5 = 0, timestamp'2001-02-01', null) as deleted_at"
     )
-    return ops.expired_uploads(c, ad.service_jobs(s, d).where("job_id % 40 = 0"), now()).select("clip_id")
+    return ops.expired_uploads(c, ad.service_jobs(s, d), now()).select("clip_id")
 
 
 @query("WITH " + q.JOBS + """, f AS (SELECT cache_key, arg_min(job_id, (created_at, job_id)) AS cached_from FROM jb WHERE status='succeeded' AND cached_from IS NULL GROUP BY 1)

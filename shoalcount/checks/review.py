@@ -130,20 +130,20 @@ def next_unreviewed(s, d):
 
 # --- intervals -----------------------------------------------------------------------------
 
-FLAGGED = """flg AS (SELECT l_suppkey AS clip_id, (l_partkey*3)%6000 AS first, (l_partkey*3)%6000+l_quantity::BIGINT AS last FROM lineitem
-  WHERE l_linenumber=1 AND l_returnflag='R'), cl AS (SELECT s_suppkey AS clip_id, s_name AS clip_name, 6000 AS num_frames FROM supplier)"""
+FLAGGED = """flg AS (SELECT l_suppkey AS clip_id, (l_partkey*3+l_orderkey*7)%60000 AS first, (l_partkey*3+l_orderkey*7)%60000+l_quantity::BIGINT AS last FROM lineitem),
+  cl AS (SELECT s_suppkey AS clip_id, s_name AS clip_name, 60000 AS num_frames FROM supplier)"""
 FREE = "WITH " + FLAGGED + """,
-w AS (SELECT clip_id, greatest(0, first-10) AS lo, least(6000, last+11) AS hi FROM flg),
+w AS (SELECT clip_id, greatest(0, first-10) AS lo, least(60000, last+11) AS hi FROM flg),
 p AS (SELECT *, max(hi) OVER (PARTITION BY clip_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM w),
 fr AS (SELECT clip_id, coalesce(prev,0) AS start_frame, lo AS stop_frame FROM p WHERE lo>coalesce(prev,0)
-  UNION ALL SELECT cl.clip_id, coalesce(max(hi),0), 6000 FROM cl LEFT JOIN w USING (clip_id) GROUP BY 1 HAVING coalesce(max(hi),0)<6000)"""
+  UNION ALL SELECT cl.clip_id, coalesce(max(hi),0), 60000 FROM cl LEFT JOIN w USING (clip_id) GROUP BY 1 HAVING coalesce(max(hi),0)<60000)"""
 
 
 def flagged_intervals(s, d):
-    flagged = ad.table(s, d, "lineitem").where("l_linenumber = 1 and l_returnflag = 'R'").selectExpr(
-        "l_suppkey as clip_id", "(l_partkey * 3) % 6000 as first", "(l_partkey * 3) % 6000 + bigint(l_quantity) as last"
+    flagged = ad.table(s, d, "lineitem").selectExpr(
+        "l_suppkey as clip_id", "(l_partkey * 3 + l_orderkey * 7) % 60000 as first", "(l_partkey * 3 + l_orderkey * 7) % 60000 + bigint(l_quantity) as last"
     )
-    clips = ad.table(s, d, "supplier").selectExpr("s_suppkey as clip_id", "s_name as clip_name", "6000L as num_frames")
+    clips = ad.table(s, d, "supplier").selectExpr("s_suppkey as clip_id", "s_name as clip_name", "60000L as num_frames")
     return clips, flagged
 
 
@@ -183,11 +183,11 @@ def counted_nearby(s, d):
 
 
 @query(PT + """, u AS (SELECT a.clip_id, EXISTS (SELECT 1 FROM pt b WHERE b.clip_id=a.clip_id AND b.direction IS NOT NULL
-    AND b.start_frame<=a.end_frame+1 AND a.start_frame<=b.end_frame+1 AND b.start_frame>=3) AS near FROM pt a WHERE direction IS NULL)
+    AND b.start_frame<=a.end_frame+1 AND a.start_frame<=b.end_frame+1) AS near FROM pt a WHERE direction IS NULL)
   SELECT clip_id, count(*) AS uncounted_tracks, count(*) FILTER (near) AS with_question FROM u GROUP BY ROLLUP(clip_id)""")
 def question_rate(s, d):
     t = materialize(cc.pred_tracks(s, d))
-    flagged = iv.has_nearby(t.where("direction is null"), t.where("direction is not null and start_frame >= 3"), 1)
+    flagged = iv.has_nearby(t.where("direction is null"), t.where("direction is not null"), 1)
     return flagged.rollup("clip_id").agg(
         F.count(F.lit(1)).alias("uncounted_tracks"), F.count(F.when(F.col("nearby"), 1)).alias("with_question")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,15 @@ def hash32(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_bucket(hashed: Column, spark: SparkSession) -> Column:
+    """A bucket of a 32-bit hash that never decreases with it; as many as the session shuffles into.
+
+    Positions taken over such buckets do not depend on how many there are.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return F.floor(hashed * parts / float(2**32))
+
+
 def seed64(text: Column) -> Column:
     """First 8 bytes of the SHA-256 as an unsigned integer."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")

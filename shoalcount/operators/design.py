@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalcount.functions.hashing import hash32
+from shoalcount.functions.hashing import hash32, hash_bucket
 from shoalcount.functions.names import camera
 from shoalcount.operators.ordered import position
+from shoalcount.session import materialize
 
 # Passage bins of the review sample and of the usability study.
 SAMPLE_BINS = ((0, 0), (1, 2), (3, 4), (5, 10_000))
@@ -69,10 +70,10 @@ def allocate(sizes: DataFrame, n: int) -> DataFrame:
     return out.select("stratum", "size", "take")
 
 
-def hash_order(df: DataFrame, keys: Sequence[str], item: str, seed: int, name: str, bits: int = 8) -> DataFrame:
+def hash_order(df: DataFrame, keys: Sequence[str], item: str, seed: int, name: str) -> DataFrame:
     """0-based position per key group in a replayable random order."""
     h = df.withColumn("__h", hash32(F.lit(seed), F.col(item)))
-    return position(h, keys, F.shiftright("__h", 32 - bits), [F.col("__h"), F.col(item)], name).drop("__h")
+    return position(h, keys, hash_bucket(F.col("__h"), df.sparkSession), [F.col("__h"), F.col(item)], name).drop("__h")
 
 
 def stratified_sample(pool: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -97,7 +98,7 @@ def neutral_codes(items: DataFrame, item: str, seed: int, prefix: str = "t") ->
 
 def epoch_order(samples: DataFrame, item: str, seed: int, epoch: int, start: int = 0) -> DataFrame:
     """The epoch's permutation from position ``start`` on."""
-    placed = hash_order(samples, [], item, seed * 100_003 + epoch, "place", bits=12)
+    placed = hash_order(samples, [], item, seed * 100_003 + epoch, "place")
     return placed.where(F.col("place") >= start)
 
 
@@ -113,18 +114,22 @@ def latin_square(participants: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(table), "row").drop("row")  # eight fixed rows
 
 
-def match_sets(pairs: DataFrame, strata: int) -> DataFrame:
-    """The most balanced split of stratum pairs into two sets; one row per clip of set 1.
+def match_sets(pairs: DataFrame) -> DataFrame:
+    """The most balanced split of stratum pairs into two sets: names of set 1 and the gaps left.
 
     ``pairs`` has one row per stratum: key, and for its clips ``x0``/``x1`` a struct (name,
-    passages, seconds, error). All 2^(strata-1) splits are scored by aggregation.
+    passages, seconds, error). With n strata all 2^(n-1) splits are scored by aggregation.
+    Without a stratum, with a stratum that lacks a clip, or when no split meets the tolerances,
+    the job raises.
     """
-    if not 1 <= strata <= 16:
-        raise ValueError("between 1 and 16 strata")
+    pairs = materialize(pairs)
+    n, whole = pairs.agg(F.count(F.lit(1)), F.count(F.when(F.col("x0").isNotNull() & F.col("x1").isNotNull(), 1))).first()
+    if n == 0 or whole < n:
+        raise ValueError(f"{whole} of {n} strata have two clips")
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key")) - 1
-    splits = pairs.withColumn("bit", rank).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2 ** (strata - 1) - 1))))
+    splits = pairs.withColumn("bit", rank).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2 ** (n - 1) - 1).cast("bigint"))))
     # the first stratum's first clip is always in set 1; the others follow the bits of i
-    flip = F.expr(f"if(bit = 0, 0, shiftright(i, {strata} - 1 - bit) & 1)")
+    flip = F.when(F.col("bit") == 0, 0).otherwise(F.getbit("i", F.lit(n - 1) - F.col("bit")))
     a = F.when(flip == 0, F.col("x0")).otherwise(F.col("x1"))
     b = F.when(flip == 0, F.col("x1")).otherwise(F.col("x0"))
     s = splits.withColumn("a", a).withColumn("b", b)
@@ -138,7 +143,9 @@ def match_sets(pairs: DataFrame, strata: int) -> DataFrame:
     ok = scored.where((F.col("d_pass") <= 2) & (F.col("d_sec") <= limit) & (F.col("d_err") <= 2))
     score = F.round(F.col("d_pass") / 2 + F.col("d_sec") / limit + F.col("d_err") / 2, 9)
     best = ok.agg(F.min_by(F.struct("names", score.alias("score"), "d_pass", "d_sec", "d_err"), F.struct(score.alias("s"), "names")).alias("r"))
-    return best.select("r.*").where("names is not null")
+    kind = "struct<names:array<string>,score:double,d_pass:bigint,d_sec:double,d_err:bigint>"
+    none = F.raise_error(F.lit("no split keeps the sets within the tolerances")).cast(kind)
+    return best.select(F.coalesce(F.col("r").cast(kind), none).alias("r")).select("r.*")
 
 
 def plan_day_chunks(days: DataFrame, bytes_per_frame: float, budget_bytes: float, key: str = "location") -> DataFrame:

@@ -11,7 +11,6 @@ from shoalcount.functions import geometry as g
 from shoalcount.session import materialize, materialize_counted
 
 CELL_PX = 64
-CELL_MAX = 63  # cells are clamped to [-1, CELL_MAX], so one box covers a bounded number of them
 
 REFERENCE_OUTCOMES = (
     "counted", "wrong_direction", "missed_fish", "merged_track", "split_track", "ambiguous_start_end", "partial_track",
@@ -21,7 +20,7 @@ DIRECTIONS = ("right", "left", "none")
 
 
 def _cell(value: Column, cell: int) -> Column:
-    return F.least(F.greatest(F.floor(value / F.lit(float(cell))), F.lit(-1)), F.lit(CELL_MAX)).cast("int")
+    return F.floor(value / F.lit(float(cell)))
 
 
 def _gridded(df: DataFrame, prefix: str, cell: int, pad: float) -> DataFrame:
@@ -35,7 +34,7 @@ def near_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], cell: int =
 
     Boxes are spread over the grid cells they cover and joined on (frame, cell), so a crowded
     frame is split over its cells instead of being paired with itself. A pair is kept only in
-    the cell of its intersection's upper-left corner. ``pad`` widens both boxes, for distance
+    the cell of its intersection's upper-left corner. A box takes as many cells as it covers. ``pad`` widens both boxes, for distance
     rather than overlap conditions.
     """
 

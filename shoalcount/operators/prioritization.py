@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalcount.functions.hashing import hash32
+from shoalcount.functions.hashing import hash32, hash_bucket
 from shoalcount.operators.ordered import global_running_sum, running
 
 COST = "decimal(18,6)"  # exact sums, so a budget boundary does not depend on addition order
@@ -83,7 +83,7 @@ def random_order_curve(
     copies = items.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     copies = copies.withColumn("h", hash32(F.lit(seed), F.col("r"), F.col("clip_id"), F.col("track_id")))
     order = [F.col("h"), F.col("clip_id"), F.col("track_id")]
-    walked = running(copies, ["r"], F.shiftright("h", 24), order, F.col("cost_s"), "cum")
+    walked = running(copies, ["r"], hash_bucket(F.col("h"), items.sparkSession), order, F.col("cost_s"), "cum")
     first = (
         walked.select("r", "clip_id", "track_id", "cum").join(revealed, ["clip_id", "track_id"])
         .groupBy("r", "error_id").agg(F.min("cum").alias("seen_at"))

@@ -12,19 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalcount.functions.hashing import hash32
+from shoalcount.functions.hashing import hash32, hash_bucket
 from shoalcount.operators.counting import ratio
 from shoalcount.operators.ordered import position
 from shoalcount.session import materialize
 
-INDEX_BITS = 8
-
 
 def dense_index(df: DataFrame, keys: Sequence[str], item: str, name: str = "j") -> DataFrame:
     """0-based index per key group in hash order of ``item`` (even buckets, no hot task)."""
     hashed = df.withColumn("__h", hash32(F.col(item)))
     order = [F.col("__h"), F.col(item)]
-    return position(hashed, keys, F.shiftright("__h", 32 - INDEX_BITS), order, name).drop("__h")
+    return position(hashed, keys, hash_bucket(F.col("__h"), df.sparkSession), order, name).drop("__h")
 
 
 def resample(

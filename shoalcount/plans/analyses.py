@@ -244,10 +244,10 @@ def validate_dataset(boxes: DataFrame, clips: DataFrame, on_disk: DataFrame, pre
 
 
 def host_parity(a: DataFrame, b: DataFrame, max_px: float = 5.0) -> Tables:
-    """Two hosts' detections of the same clips: fingerprints, matches, differences."""
+    """Two hosts' detections of the same clips: whether boxes and scores agree to two digits, matches, differences."""
     frames = ["clip_id", "frame_index"]
-    digest = lambda df, name: fi.text_fingerprint(df, frames, F.col("score"), ["det_id"], decimals=2).withColumnRenamed("sha256", name)
-    same = digest(a, "a").join(digest(b, "b"), frames, "full").groupBy("clip_id").agg(F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("identical"))
+    digest = lambda df, name: fi.detection_digests(df, decimals=2)[1].withColumnRenamed("sha256", name)
+    same = digest(a, "a").join(digest(b, "b"), "clip_id", "full").select("clip_id", F.col("a").eqNullSafe(F.col("b")).alias("identical"))
     m = materialize(mt.match_hosts(a, b, max_px))
     diffs = m.groupBy("clip_id").agg(
         F.count(F.lit(1)).alias("matched"), F.percentile("score_difference", F.lit(0.5)).alias("score_median"),

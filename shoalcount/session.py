@@ -32,11 +32,14 @@ def build_session(app: str = "shoalcount", master: str | None = None, partitions
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    A folder of this machine is used only where none is set, as in tests.
+    A folder of this machine is used only where none is set and all tasks run on this machine,
+    as in tests; on a cluster a missing setting is refused.
     """
     global _local_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _local_dir = _local_dir or tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         base = _local_dir
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

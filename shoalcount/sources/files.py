@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def select_members(members: DataFrame, prefix: str, known: DataFrame, selected:
 
     ``known`` (clip_name) and ``selected`` (clip_name, location) meet the members in equi joins.
     """
-    body = F.regexp_extract("name", f"^{prefix}([^/]+){suffix}$".replace(".jpg", r"\.jpg"), 1)
+    body = F.regexp_extract("name", f"^{re.escape(prefix)}([^/]+){re.escape(suffix)}$", 1)
     clip, frame = F.regexp_extract(body, r"^(.+)_(\d+)$", 1), F.regexp_extract(body, r"^(.+)_(\d+)$", 2)
     m = members.withColumns({"clip_name": F.when(clip != "", clip), "frame_index": frame.try_cast("bigint")})
     m = m.join(known.select("clip_name", F.lit(True).alias("__known")).distinct(), "clip_name", "left")
@@ -91,11 +93,19 @@ def select_members(members: DataFrame, prefix: str, known: DataFrame, selected:
     return m.withColumn("skipped", reason).drop("__known")
 
 
-def text_fingerprint(rows: DataFrame, keys: list[str], value: Column, order: list[str], decimals: int | None = None) -> DataFrame:
-    """SHA-256 per key over its values in order, exact or rounded.
+def detection_digests(rows: DataFrame, decimals: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """SHA-256 per frame (clip_id, frame_index) and per clip over boxes and scores, exact or rounded.
 
-    One row per frame is hashed first; a clip's digest is the hash of its frame digests.
+    A frame's detections are taken in the order of their values, so their numbering does not
+    matter; a clip's digest is the hash of its frames' numbers and digests in order.
     """
-    v = value if decimals is None else F.round(value, decimals)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, v.cast("string").alias("v")))), lambda x: x["v"]), ",")
-    return rows.groupBy(*keys).agg(F.sha2(text, 256).alias("sha256"))
+    v = {c: F.col(c) if decimals is None else F.round(c, decimals) for c in (*_BOX, "score")}
+    entries = F.array_sort(F.collect_list(F.struct(*[x.alias(c) for c, x in v.items()])))  # one frame's detections
+    text = F.array_join(F.transform(entries, lambda e: F.concat_ws(":", *[e[c].cast("string") for c in v])), ",")
+    frames = rows.groupBy("clip_id", "frame_index").agg(F.sha2(text, 256).alias("sha256"))
+    lines = F.array_sort(F.collect_list(F.struct("frame_index", "sha256")))  # one recording's frames
+    joined = F.array_join(F.transform(lines, lambda e: F.concat_ws("=", e["frame_index"].cast("string"), e["sha256"])), ",")
+    return frames, frames.groupBy("clip_id").agg(F.sha2(joined, 256).alias("sha256"))
+
+
+_BOX = ("x_min", "y_min", "x_max", "y_max")
