@@ -56,12 +56,15 @@ def error_examples(s, d):
     return an.error_analysis(ad.clips(s, d), ad.reference_boxes(s, d), ad.predicted_boxes(s, d), *SIZE)["examples"]
 
 
-@query()
+@query(cc.FEATURES + rc.FEAT_BODY + rc.REV + f""", od AS (SELECT i.clip_id, i.track_id, sum(cost_s) OVER (ORDER BY
+    round(r.review_score, 9) NULLS LAST, i.clip_id, i.track_id ROWS UNBOUNDED PRECEDING) AS cum FROM itm i JOIN rvw r USING (clip_id, track_id)),
+  fst AS (SELECT error_id, min(cum) AS c FROM od JOIN rev USING (clip_id, track_id) GROUP BY 1)""" + rc.CURVE)
 def score_only_curve(s, d):
     t = an.review_prioritisation(
-        ad.clips(s, d), ad.reference_boxes(s, d), ad.predicted_boxes(s, d), *SIZE, *METRES, ad.FRAMERATE, rc.BUDGETS, repeats=5
+        ad.clips(s, d), ad.reference_boxes(s, d), ad.predicted_boxes(s, d), *SIZE, *METRES, ad.FRAMERATE, rc.BUDGETS, repeats=200
     )
-    return t["score_only"]
+    r = lambda c: F.round(c, 9).alias(c)
+    return t["score_only"].select(F.col("budget").cast("double").alias("budget"), r("all_errors"), r("reachable_errors"))
 
 
 @query()
@@ -99,3 +102,76 @@ def host_parity(s, d):
     moved, lost = "if(clip_id % 7 = 0 and frame_index % 16 = 0, 500, 0)", "clip_id % 11 = 0 and det_id % 19 = 0"
     b = a.where(f"not ({lost})").withColumns({"x_min": F.expr(f"x_min + {moved}"), "score": F.expr("score + if(clip_id % 5 = 0, 0.02D, 0D)")})
     return an.host_parity(a, b)["fingerprints"]
+
+
+# --- the remaining analyses, each by the twin of the operator that makes the table ----------
+
+
+def _reviewed(s, d):
+    lab = ev.labels(s, d)
+    counts = ev.reviewed_clip_counts(s, d, lab).join(ad.table(s, d, "nation").select(F.lit(1).alias("ref_right"), F.lit(1).alias("ref_left")).distinct())
+    tracks = cc.pred_tracks(s, d).select("clip_id", "track_id", "direction", "start_frame", "end_frame", "start_u", "end_u")
+    events = ad.table(s, d, "events").selectExpr("user_id % 20 as clip", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") as created_at", "event_type as reason")
+    return an.reviewed_sample(lab.drop("start_frame", "end_frame", "start_u", "end_u"), counts, tracks, events)
+
+
+@query(ev.ORACLE["triage_table"])
+def reviewed_sample_triage(s, d):
+    return _reviewed(s, d)["triage"]
+
+
+@query(ev.ORACLE["reviewer_kappa"])
+def reviewed_sample_agreement(s, d):
+    return _reviewed(s, d)["agreement"]
+
+
+@query(ev.CHG + " SELECT rv, count(*) AS changes, sum(counted_tracks_nearby) AS nearby, count(*) FILTER (crosses_line_alone) AS alone FROM ch GROUP BY 1")
+def reviewed_sample_changes(s, d):
+    return _reviewed(s, d)["changes"].groupBy("rv").agg(
+        F.count(F.lit(1)).alias("changes"), F.sum("counted_tracks_nearby").alias("nearby"), F.count(F.when(F.col("crosses_line_alone"), 1)).alias("alone")
+    )
+
+
+@query(ev.CHG + """ SELECT rv, count(*) FILTER (verdict='counted' AND NOT crosses_line_alone AND counted_tracks_nearby>0) AS fragment_counts FROM ch GROUP BY 1""")
+def retest_fragments(s, d):
+    t = _reviewed(s, d)
+    events = ad.table(s, d, "events").selectExpr("user_id % 20 as clip", "event_type as reason")
+    return an.retest(t["clips"].withColumn("complete", F.lit(True)), t["changes"], events)["reviewers"].select("rv", "fragment_counts")
+
+
+@query(ev.ORACLE["group_results"])
+def usability_group(s, d):
+    t = ad.trials(s, d)
+    forms = t.select("participant", "condition", F.sequence(F.lit(1), F.lit(10)).alias("sus"), F.sequence(F.lit(1), F.lit(6)).alias("tlx"))
+    actions = t.select("participant", F.lit(False).alias("practice"), F.lit("accept").alias("action"), F.lit("right").alias("automatic_direction"))
+    out = an.usability(t, ad.study_plan(s, d), t.where("k % 23 = 0"), forms, actions)["group"]
+    nine = [F.round(c, 9).alias(c) for c in ("time_ratio_geometric_mean", "nmae_manual", "nmae_assisted", "nmae_difference")]
+    return out.select("participants", *nine, "target_met")
+
+
+@query(ev.ORACLE["study_eligible"])
+def study_design_pool(s, d):
+    people = ad.trials(s, d).select("participant").distinct()
+    t = an.study_design(ad.clip_counts(s, d), ev.citing_documents(s, d), ev.DOC, people, 20)
+    return t["eligible"].select("clip_name", "num_frames", "ref_right", "ref_left")
+
+
+def _operations(s, d):
+    e = ad.table(s, d, "events").select((F.col("user_id") % 7).alias("pipeline"), F.col("user_id").alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    beats = e.select("worker_id", F.col("ts").alias("heartbeat_at"))
+    return an.operations(ad.service_jobs(s, d), beats, e.select(F.col("event_type").alias("series"), "ts", "value"), qc.now())
+
+
+@query(qc.ORACLE["backlog"])
+def operations_backlog(s, d):
+    return _operations(s, d)["backlog"].select("pipeline_version", "job_id", "age_seconds", "rank")
+
+
+@query(qc.ORACLE["job_gauges"])
+def operations_gauges(s, d):
+    return _operations(s, d)["gauges"]
+
+
+@query(qc.ORACLE["duration_histogram"])
+def operations_durations(s, d):
+    return _operations(s, d)["durations"]

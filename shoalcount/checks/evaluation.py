@@ -19,7 +19,7 @@ from shoalcount.session import materialize
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-B = 100  # resamples in the checks; the operators default to 10,000
+B = 10_000  # resamples, as in published intervals
 
 
 def query(sql: str | None = None):
@@ -219,7 +219,7 @@ CHG = LABELS + """, nb AS (SELECT a.clip_id, a.track_id, count(*) AS n FROM pt a
 
 def changes(s, d):
     t = materialize(cc.pred_tracks(s, d))
-    near = iv.nearby_pairs(t, t.where("direction is not null"), 10)
+    near = iv.nearby_counts(t, t.where("direction is not null"), 10, F.col("direction").isNotNull(), "counted_tracks_nearby")
     lab = labels(s, d).select("rv", "clip_id", "track_id", "automatic", "state", "final")
     return lb.describe_changes(lab, t, near)
 
@@ -312,10 +312,11 @@ def participant_intervals(s, d):
 
 @query("WITH " + q.TRIALS + f""", w AS (SELECT participant, {WIDE.replace('sum(one)', 'count(*)')} FROM st WHERE participant NOT LIKE 'D%' GROUP BY 1)
   SELECT count(*) AS participants, round(exp(avg(ln(ratio))),9) AS time_ratio_geometric_mean, round(sum(me)/nullif(sum(mp),0),9) AS nmae_manual,
-  round(sum(ae)/nullif(sum(ap),0),9) AS nmae_assisted, round(sum(ae)/nullif(sum(ap),0)-sum(me)/nullif(sum(mp),0),9) AS nmae_difference FROM w HAVING count(*)>=3""")
+  round(sum(ae)/nullif(sum(ap),0),9) AS nmae_assisted, round(sum(ae)/nullif(sum(ap),0)-sum(me)/nullif(sum(mp),0),9) AS nmae_difference,
+  1-exp(avg(ln(ratio)))>=0.3::DOUBLE AND sum(ae)/nullif(sum(ap),0)-sum(me)/nullif(sum(mp),0)<=0 AS target_met FROM w HAVING count(*)>=3""")
 def group_results(s, d):
     return us.group_results(scored(s, d)).select(
-        "participants", *[F.round(c, 9).alias(c) for c in ("time_ratio_geometric_mean", "nmae_manual", "nmae_assisted", "nmae_difference")]
+        "participants", *[F.round(c, 9).alias(c) for c in ("time_ratio_geometric_mean", "nmae_manual", "nmae_assisted", "nmae_difference")], "target_met"
     )
 
 
@@ -409,11 +410,15 @@ def latin_square(s, d):
 DOC = r"((?:kenai-train|kenai-val|kenai-rightbank|kenai-channel|elwha|nushagak)_[A-Za-z]+_Stratum\d_\d{4}-\d{2}-\d{2}_\d{6}_\d+_\d+)"
 
 
-def documented(s, d):
+def citing_documents(s, d):
     """The documents, each citing one clip: its text followed by the name."""
     docs, c = ad.table(s, d, "documents"), ad.clip_counts(s, d).select("k", "clip_name")
-    cited = docs.join(c, docs.doc_id * 5 == c.k, "left").select(F.concat_ws(" ", "text", F.concat("clip_name", F.lit("."))).alias("text"))
-    return ds.documented_names(cited, c.select(F.col("clip_name").alias("name")), DOC)
+    return docs.join(c, docs.doc_id * 5 == c.k, "left").select(F.concat_ws(" ", "text", F.concat("clip_name", F.lit("."))).alias("text"))
+
+
+def documented(s, d):
+    names = ad.clip_counts(s, d).select(F.col("clip_name").alias("name"))
+    return ds.documented_names(citing_documents(s, d), names, DOC)
 
 
 @query("WITH " + q.COUNTS + " SELECT clip_name AS name FROM cc JOIN documents ON doc_id*5=k")

@@ -175,11 +175,11 @@ def frame_runs(s, d):
 PT = "WITH " + q.PRED + q.track_counts("pred", "pt")
 
 
-@query(PT + """ SELECT a.clip_id, a.track_id, b.track_id AS other_id FROM pt a JOIN pt b ON a.clip_id=b.clip_id AND a.track_id<>b.track_id
-  AND b.direction IS NOT NULL AND b.start_frame<=a.end_frame+2 AND a.start_frame<=b.end_frame+2 WHERE a.direction IS NULL""")
+@query(PT + """ SELECT a.clip_id, a.track_id, count(b.track_id) AS nearby FROM pt a LEFT JOIN pt b ON a.clip_id=b.clip_id AND a.track_id<>b.track_id
+  AND b.direction IS NOT NULL AND b.start_frame<=a.end_frame+2 AND a.start_frame<=b.end_frame+2 GROUP BY 1,2""")
 def counted_nearby(s, d):
     t = materialize(cc.pred_tracks(s, d))
-    return iv.nearby_pairs(t.where("direction is null"), t.where("direction is not null"), 2)
+    return iv.nearby_counts(t, t.where("direction is not null"), 2, F.col("direction").isNotNull()).select("clip_id", "track_id", "nearby")
 
 
 @query(PT + """, u AS (SELECT a.clip_id, EXISTS (SELECT 1 FROM pt b WHERE b.clip_id=a.clip_id AND b.direction IS NOT NULL
@@ -253,7 +253,7 @@ def found_curve(s, d):
     return out.select(F.col("budget").cast("double").alias("budget"), r("all_errors"), r("reachable_errors"))
 
 
-@query(cc.FEATURES + REV + f""", cp AS (SELECT i.*, r, {q.hash32("'0'", "r::VARCHAR", "clip_id::VARCHAR", "track_id::VARCHAR")} AS h FROM itm i, range(20) x(r)),
+@query(cc.FEATURES + REV + f""", cp AS (SELECT i.*, r, {q.hash32("'0'", "r::VARCHAR", "clip_id::VARCHAR", "track_id::VARCHAR")} AS h FROM itm i, range(200) x(r)),
   od AS (SELECT r, clip_id, track_id, sum(cost_s) OVER (PARTITION BY r ORDER BY h, clip_id, track_id ROWS UNBOUNDED PRECEDING) AS cum FROM cp),
   fst AS (SELECT r, error_id, min(cum) AS c FROM od JOIN rev USING (clip_id, track_id) GROUP BY 1,2),
   per AS (SELECT r, budget, count(error_id) FILTER (c<=budget*t)/(max(rch)+max(un))::DOUBLE AS a, count(error_id) FILTER (c<=budget*t)/max(rch)::DOUBLE AS b
@@ -261,5 +261,5 @@ def found_curve(s, d):
   SELECT budget::DOUBLE AS budget, round(avg(a),9) AS all_errors, round(avg(b),9) AS reachable_errors FROM per GROUP BY 1""")
 def random_order_curve(s, d):
     pc, _, revealed, missing = error_sets(s, d)
-    out = pr.random_order_curve(pr.queue_items(pc, F.lit(ad.FRAMERATE)), revealed, missing, BUDGETS, repeats=20)
+    out = pr.random_order_curve(pr.queue_items(pc, F.lit(ad.FRAMERATE)), revealed, missing, BUDGETS, repeats=200)
     return out.withColumn("budget", F.col("budget").cast("double"))

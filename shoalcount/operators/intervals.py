@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalcount.operators.ordered import running
+from shoalcount.session import materialize
 
 BIN = 64
 
@@ -37,6 +38,25 @@ def nearby_pairs(tracks: DataFrame, others: DataFrame, gap: int, key: str = "cli
     return pairs.select(key, "track_id", "other_id")
 
 
+def nearby_counts(probes: DataFrame, others: DataFrame, gap: int, own: Column, name: str = "nearby", key: str = "clip_id") -> DataFrame:
+    """``probes`` with the number of ``others`` that overlap them or come within ``gap`` frames.
+
+    Those that have begun by a track's end + gap, less those that ended before its start - gap:
+    two running sums, no pairs. ``own`` tells whether the track itself is among the others.
+    """
+    def upto(rows: DataFrame, at: Column, of: Column, strict: bool, column: str) -> DataFrame:
+        o = others.select(key, of.alias("__at"), F.lit(1).alias("__one"), F.lit(int(strict)).alias("__kind"))
+        p = rows.withColumns({"__at": at, "__one": F.lit(0), "__kind": F.lit(int(not strict))})
+        both = materialize(p.withColumn("__probe", F.lit(True)).unionByName(o.withColumn("__probe", F.lit(False)), allowMissingColumns=True))
+        walked = running(both, [key], F.floor(F.col("__at") / 1024), [F.col("__at"), F.col("__kind")], F.col("__one"), column)
+        return walked.where("__probe").select(*rows.columns, column)
+
+    begun = upto(probes, F.col("end_frame") + gap, F.col("start_frame"), False, "__begun")
+    done = upto(begun, F.col("start_frame") - gap, F.col("end_frame"), True, "__done")
+    count = F.col("__begun") - F.col("__done") - own.cast("int")
+    return done.withColumn(name, count.cast("bigint")).select(*probes.columns, name)
+
+
 def has_nearby(probes: DataFrame, others: DataFrame, gap: int, keys: Sequence[str] = ("clip_id",)) -> DataFrame:
     """``probes`` with a flag ``nearby``: does any of ``others`` come within ``gap`` frames?
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoalcount.functions.hashing import hash32, hash_bucket
 from shoalcount.operators.ordered import global_running_sum, running
+from shoalcount.operators.stats import numbered
 
 COST = "decimal(18,6)"  # exact sums, so a budget boundary does not depend on addition order
 
@@ -80,7 +81,7 @@ def random_order_curve(
     items: DataFrame, revealed: DataFrame, missing: DataFrame, budgets: Sequence[float], repeats: int, seed: int = 0
 ) -> DataFrame:
     """The same curve averaged over ``repeats`` replayable random orders."""
-    copies = items.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    copies = numbered(items, "r", repeats, 5)
     copies = copies.withColumn("h", hash32(F.lit(seed), F.col("r"), F.col("clip_id"), F.col("track_id")))
     order = [F.col("h"), F.col("clip_id"), F.col("track_id")]
     walked = running(copies, ["r"], hash_bucket(F.col("h"), items.sparkSession), order, F.col("cost_s"), "cum")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shoalcount.functions import geometry as g
 from shoalcount.operators.matching import near_pairs
-from shoalcount.operators.ordered import position
+from shoalcount.operators.ordered import position, running
 
 # Component names in their declared order, and the floor used in the mean.
 COMPONENTS = ("detection", "duration", "continuity", "motion", "separation", "line_distance")
@@ -193,9 +193,13 @@ def next_unreviewed(ranked: DataFrame, current: DataFrame, keys: Sequence[str] =
     ``current`` has (keys, track_id); ``ranked`` has queue_rank and review_state.
     """
     keys = list(keys)
-    size = ranked.groupBy(*keys).agg((F.max("queue_rank") + 1).alias("__n"))
-    at = current.join(ranked.select(*keys, "track_id", F.col("queue_rank").alias("__at")), [*keys, "track_id"])
-    at = at.select(*keys, F.col("track_id").alias("after_track"), "__at").join(size, keys)
-    open_ = ranked.where(F.col("review_state") == "automatic").join(at, keys)
-    step = F.pmod(F.col("queue_rank") - F.col("__at") - 1, F.col("__n"))
-    return open_.groupBy(*keys, "after_track").agg(F.min_by("track_id", step).alias("next_track"))
+    open_ = F.col("review_state") == "automatic"
+    order = ranked.select(*keys, "track_id", "queue_rank", (-F.col("queue_rank")).alias("__neg"), open_.alias("__open"))
+    # from the last rank backwards, the latest open one seen is the next one ahead
+    ahead = running(
+        order, keys, F.floor(F.col("__neg") / 1024), [F.col("__neg")], F.when(F.col("__open"), F.col("__neg")), "__ahead", fn="max", exclusive=True
+    )
+    first = order.where("__open").groupBy(*keys).agg(F.min("queue_rank").alias("__first"))
+    at = current.join(ahead.select(*keys, "track_id", "__ahead"), [*keys, "track_id"]).join(first, keys)
+    at = at.select(*keys, F.col("track_id").alias("after_track"), F.coalesce(-F.col("__ahead"), F.col("__first")).alias("queue_rank"))
+    return at.join(order.select(*keys, "queue_rank", F.col("track_id").alias("next_track")), [*keys, "queue_rank"]).select(*keys, "after_track", "next_track")

@@ -25,6 +25,15 @@ def dense_index(df: DataFrame, keys: Sequence[str], item: str, name: str = "j")
     return position(hashed, keys, hash_bucket(F.col("__h"), df.sparkSession), order, name).drop("__h")
 
 
+def numbered(rows: DataFrame, name: str, n: int, step: int = 100) -> DataFrame:
+    """Each row n times, numbered from 0. A stretch of numbers is dealt out before it opens up,
+    so that few rows with many copies each still spread over all tasks."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = rows.withColumn("__first", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))))
+    dealt = first.repartition(parts, *rows.columns, "__first")
+    return dealt.withColumn(name, F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + step - 1, F.lit(n - 1))))).drop("__first")
+
+
 def resample(
     df: DataFrame, keys: Sequence[str], item: str, values: Sequence[str], resamples: int, seed: int, salt: Sequence[str] = ()
 ) -> DataFrame:
@@ -36,7 +45,7 @@ def resample(
     indexed = materialize(dense_index(df.select(*keys, item, *values), keys, item))
     sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     slots = indexed.select(*keys, "j").join(sizes, keys)
-    slots = slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    slots = numbered(slots, "draw", resamples)
     pick = hash32(F.lit(seed), *[F.col(c) for c in salt], F.col("draw"), F.col("j")) % F.col("__n")
     drawn = slots.select(*keys, "draw", pick.alias("j")).join(indexed, [*keys, "j"])
     return drawn.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values], F.count(F.lit(1)).alias("drawn"))

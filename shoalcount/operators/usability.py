@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoalcount.functions.hashing import hash32
 from shoalcount.operators.counting import ratio
-from shoalcount.operators.stats import dense_index, interval, resample
+from shoalcount.operators.stats import dense_index, interval, numbered, resample
 from shoalcount.session import materialize
 
 TARGET_SAVING = 0.30
@@ -91,17 +91,22 @@ def participant_intervals(trials: DataFrame, resamples: int, seed: int = 0) -> D
 
 def group_results(trials: DataFrame) -> DataFrame:
     """Geometric mean of the independent participants' ratios and the pooled nMAE; no row with
-    fewer than three of them."""
+    fewer than three of them. A participant without trials in a condition raises."""
     people = trials.where(~F.col("participant").startswith(DEVELOPER_PREFIX))
     per = _wide(people.withColumn("one", F.lit(1)), ["participant"])
+    lacking = F.raise_error(F.concat(F.col("participant"), F.lit(" has no trial in a condition")))
+    whole = F.col("manual_one").isNotNull() & F.col("assisted_one").isNotNull()
+    per = per.withColumn("participant", F.when(whole, F.col("participant")).otherwise(lacking.cast("string")))
     out = per.agg(
+        F.count("participant").alias("__people"),
         F.count(F.lit(1)).alias("participants"),
         F.exp(F.avg(F.log(_time_ratio()))).alias("time_ratio_geometric_mean"),
         *[ratio(F.sum(f"{c}_error"), F.sum(f"{c}_passages")).alias(f"nmae_{c}") for c in CONDITIONS],
     )
-    return out.where(F.col("participants") >= MIN_GROUP).withColumn(
-        "nmae_difference", F.col("nmae_assisted") - F.col("nmae_manual")
-    )
+    out = out.where((F.col("participants") >= MIN_GROUP) & (F.col("__people") > 0)).drop("__people")
+    out = out.withColumn("nmae_difference", F.col("nmae_assisted") - F.col("nmae_manual"))
+    met = (1 - F.col("time_ratio_geometric_mean") >= TARGET_SAVING) & (F.col("nmae_difference") <= 0)
+    return out.withColumn("target_met", F.coalesce(met, F.lit(False)))
 
 
 def group_intervals(trials: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
@@ -110,7 +115,7 @@ def group_intervals(trials: DataFrame, resamples: int, seed: int = 0) -> DataFra
     t = trials.where(~F.col("participant").startswith(DEVELOPER_PREFIX)).withColumn("one", F.lit(1)).withColumn("g", F.lit(0))
     people = materialize(dense_index(t.select("g", "participant").distinct(), ["g"], "participant", "k"))
     size = people.groupBy("g").agg(F.count(F.lit(1)).alias("np"))
-    slots = people.select("g", "k").join(size, "g").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    slots = numbered(people.select("g", "k").join(size, "g"), "draw", resamples)
     chosen = slots.select("g", "draw", F.col("k").alias("slot"), (hash32(F.lit(seed), F.col("draw"), F.col("k")) % F.col("np")).alias("k"))
     chosen = chosen.join(people, ["g", "k"]).select("draw", "slot", "participant")
 

@@ -180,7 +180,7 @@ def reviewed_sample(labels: DataFrame, counts: DataFrame, tracks: DataFrame, eve
 
     ``labels``: reviewer (``rv``), clip_id, track_id, triage, automatic, state, final.
     """
-    near = materialize(iv.nearby_pairs(tracks, tracks.where("direction is not null"), 10))
+    near = materialize(iv.nearby_counts(tracks, tracks.where("direction is not null"), 10, F.col("direction").isNotNull(), "counted_tracks_nearby"))
     summary = lb.clip_summary(labels, counts, ["rv", "clip_id"])
     return {
         "clips": summary,
