@@ -1,10 +1,16 @@
 """The analyses no registered query runs: they plan, run and have sane results."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from shoalcount import adapters as ad
+from shoalcount import session
 from shoalcount.checks import evaluation as ev
 from shoalcount.checks import quality as qc
+from shoalcount.operators import design as ds
+from shoalcount.operators import intervals as iv
 from shoalcount.plans import analyses as an
 from shoalcount.session import materialize
 
@@ -42,3 +48,36 @@ def test_operations(spark, sf):
     assert t["workers"].first()["live_workers"] == 1
     assert t["gauges"].first()["queue_depth"] == jobs.where("status = 'queued'").count()
     assert t["backlog_alert"].count() >= 0
+
+
+def test_matched_sets_count_their_strata_and_raise(spark):
+    item = "struct<name:string,passages:bigint,seconds:double,error:bigint>"
+    rows = [(f"k{i}", (f"a{i}", 1 + i % 2, 20.0, 0), (f"b{i}", 1 + (i + 1) % 2, 20.0, 0)) for i in range(5)]
+    best = ds.match_sets(spark.createDataFrame(rows, f"key string, x0 {item}, x1 {item}")).first()
+    assert len(best["names"]) == 5 and best["d_pass"] <= 1
+    far = [("k0", ("a", 50, 20.0, 0), ("b", 1, 20.0, 0))]
+    with pytest.raises(Exception, match="tolerances"):
+        ds.match_sets(spark.createDataFrame(far, f"key string, x0 {item}, x1 {item}")).collect()
+    with pytest.raises(ValueError, match="0 of 1 strata"):
+        ds.match_sets(spark.createDataFrame([("k0", ("a", 5, 20.0, 0), None)], f"key string, x0 {item}, x1 {item}"))
+
+
+def test_neighbour_counts_match_pairs(spark):
+    rng = random.Random(3)
+    rows = [("c", i, s, s + rng.randint(0, 300), "right" if i % 3 else None) for i, s in enumerate(rng.randint(0, 5000) for _ in range(200))]
+    tracks = spark.createDataFrame(rows, "clip_id string, track_id long, start_frame long, end_frame long, direction string")
+    counted = tracks.where("direction is not null")
+    got = {r["track_id"]: r["nearby"] for r in iv.nearby_counts(tracks, counted, 7, F.col("direction").isNotNull()).collect()}
+    want = {a[1]: sum(b[4] is not None and b[1] != a[1] and b[2] <= a[3] + 7 and b[3] >= a[2] - 7 for b in rows) for a in rows}
+    assert got == want
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Session, "x")

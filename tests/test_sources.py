@@ -158,3 +158,36 @@ def test_audit_windows_avoid_flagged_footage(spark):
     assert sum(b - a for a, b in one) >= 0.1 * 679 and all(b - a == 50 for a, b in one)
     assert all(any(lo <= a and b <= hi for lo, hi in ((0, 90), (411, 1000))) for a, b in one)
     assert all(x[1] <= y[0] for x, y in zip(one, one[1:]))
+
+
+def test_config_is_flattened_by_type_to_any_depth(spark):
+    text = '{"a":{"b":{"c":{"d":{"e":{"f":1.5}}}},"s":"{x","n":null,"t":true,"l":[1,{"q":2}],"k":"{\\"z\\":1}"},"x":"7","e":{}}'
+    docs = spark.createDataFrame([(1, text), (2, "{}")], "id int, text string")
+    got = {(r["id"], r["key"]): r["value"] for r in reports.flatten_config(docs).collect()}
+    assert got == {
+        (1, "a.b.c.d.e.f"): "1.5", (1, "a.s"): "{x", (1, "a.n"): "None", (1, "a.t"): "True", (1, "a.l"): '[1,{"q":2}]',
+        (1, "a.k"): '{"z":1}', (1, "x"): "7",
+    }
+
+
+def test_metrics_take_numbers_and_booleans_only(spark):
+    line = '{"iteration":3,"loss":1.5,"n":2,"b":true,"t":"7","u":"true","z":null,"l":[1]}'
+    rows = reports.metric_rows(spark.createDataFrame([(line,)], "line string")).collect()
+    assert {(r["key"], r["value"], r["step"]) for r in rows} == {("loss", 1.5, 3), ("n", 2.0, 3), ("b", 1.0, 3)}
+
+
+def test_evaluation_metrics_and_best(spark):
+    text = '{"best":{"epoch":2,"threshold":0.2},"results":[{"epoch":1,"threshold":0.25,"macro_nmae":0.5},{"epoch":2,"threshold":0.2,"macro_nmae":0.25,"missed_passages":3}]}'
+    rows = reports.evaluation_metrics(spark.createDataFrame([(1, text)], "report_id int, text string")).collect()
+    assert {(r["key"], r["value"], r["epoch"]) for r in rows} == {
+        ("nmae/t0.25", 0.5, 1), ("nmae/t0.20", 0.25, 2), ("missed/t0.20", 3.0, 2), ("best/nmae", 0.25, 2), ("best/missed", 3.0, 2),
+    }
+
+
+def test_digests_see_boxes(spark):
+    rows = [("c", 0, 1, 0.0, 0.0, 5.0, 5.0, 0.5), ("c", 1, 2, 1.0, 1.0, 6.0, 6.0, 0.5)]
+    schema = "clip_id string, frame_index long, det_id long, x_min double, y_min double, x_max double, y_max double, score double"
+    one = files.detection_digests(spark.createDataFrame(rows, schema), 2)[1].first()["sha256"]
+    renumbered = files.detection_digests(spark.createDataFrame([r[:2] + (9 - r[2],) + r[3:] for r in rows], schema), 2)[1].first()["sha256"]
+    moved = files.detection_digests(spark.createDataFrame([rows[0], rows[1][:3] + (2.0,) + rows[1][4:]], schema), 2)[1].first()["sha256"]
+    assert one == renumbered and one != moved
