@@ -144,7 +144,7 @@ def usability_group(s, d):
     t = ad.trials(s, d)
     forms = t.select("participant", "condition", F.sequence(F.lit(1), F.lit(10)).alias("sus"), F.sequence(F.lit(1), F.lit(6)).alias("tlx"))
     actions = t.select("participant", F.lit(False).alias("practice"), F.lit("accept").alias("action"), F.lit("right").alias("automatic_direction"))
-    out = an.usability(t, ad.study_plan(s, d), t.where("k % 23 = 0"), forms, actions)["group"]
+    out = an.usability(t, ad.study_plan(s, d), t.where("k % 23 = 0"), forms, actions, strict=False)["group"]
     nine = [F.round(c, 9).alias(c) for c in ("time_ratio_geometric_mean", "nmae_manual", "nmae_assisted", "nmae_difference")]
     return out.select("participants", *nine, "target_met")
 

@@ -315,7 +315,7 @@ def participant_intervals(s, d):
   round(sum(ae)/nullif(sum(ap),0),9) AS nmae_assisted, round(sum(ae)/nullif(sum(ap),0)-sum(me)/nullif(sum(mp),0),9) AS nmae_difference,
   1-exp(avg(ln(ratio)))>=0.3::DOUBLE AND sum(ae)/nullif(sum(ap),0)-sum(me)/nullif(sum(mp),0)<=0 AS target_met FROM w HAVING count(*)>=3""")
 def group_results(s, d):
-    return us.group_results(scored(s, d)).select(
+    return us.group_results(scored(s, d), strict=False).select(
         "participants", *[F.round(c, 9).alias(c) for c in ("time_ratio_geometric_mean", "nmae_manual", "nmae_assisted", "nmae_difference")], "target_met"
     )
 

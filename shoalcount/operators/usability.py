@@ -89,13 +89,14 @@ def participant_intervals(trials: DataFrame, resamples: int, seed: int = 0) -> D
     return per.groupBy("participant").agg(*interval("ratio", "time_ratio"), *interval("diff", "nmae_difference"))
 
 
-def group_results(trials: DataFrame) -> DataFrame:
+def group_results(trials: DataFrame, strict: bool = True) -> DataFrame:
     """Geometric mean of the independent participants' ratios and the pooled nMAE; no row with
-    fewer than three of them. A participant without trials in a condition raises."""
+    fewer than three of them. A participant without trials in a condition raises; not ``strict``,
+    such a person has no time ratio and only adds to the pooled counts."""
     people = trials.where(~F.col("participant").startswith(DEVELOPER_PREFIX))
     per = _wide(people.withColumn("one", F.lit(1)), ["participant"])
     lacking = F.raise_error(F.concat(F.col("participant"), F.lit(" has no trial in a condition")))
-    whole = F.col("manual_one").isNotNull() & F.col("assisted_one").isNotNull()
+    whole = F.lit(not strict) | (F.col("manual_one").isNotNull() & F.col("assisted_one").isNotNull())
     per = per.withColumn("participant", F.when(whole, F.col("participant")).otherwise(lacking.cast("string")))
     out = per.agg(
         F.count("participant").alias("__people"),

@@ -214,12 +214,12 @@ def retest(summary: DataFrame, changes: DataFrame, events: DataFrame) -> Tables:
     }
 
 
-def usability(trials: DataFrame, plan: DataFrame, excluded: DataFrame, questionnaires: DataFrame, actions: DataFrame, resamples: int = 10_000, seed: int = 0) -> Tables:
+def usability(trials: DataFrame, plan: DataFrame, excluded: DataFrame, questionnaires: DataFrame, actions: DataFrame, resamples: int = 10_000, seed: int = 0, strict: bool = True) -> Tables:
     scored = materialize(us.scored_trials(trials, plan, excluded))
     forms = questionnaires.select("participant", "condition", us.sus_score(F.col("sus")).alias("sus"), us.tlx_raw(F.col("tlx")).alias("tlx_raw"))
     return {
         "participants": us.participant_results(scored).join(us.participant_intervals(scored, resamples, seed), "participant"),
-        "group": us.group_results(scored),
+        "group": us.group_results(scored, strict),
         "group_intervals": us.group_intervals(scored, resamples, seed),
         "questionnaires": forms,
         "review_actions": us.review_actions(actions),
