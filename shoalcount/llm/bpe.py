@@ -26,7 +26,7 @@ PATTERN = (
 )
 
 #: Words held encoded at a time in one task; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 #: Documents whose distinct new words go into one trie.
 GROUP = 256

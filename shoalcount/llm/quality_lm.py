@@ -30,7 +30,7 @@ from shoalcount.session import materialize
 ORDER = 4
 
 #: Documents in a block, and text bytes handled at a time inside a task.
-BLOCK_ROWS, STEP = 16_384, 1 << 21
+BLOCK_ROWS, STEP = 16_384, 1 << 18
 
 #: Text bytes that travel compressed together.
 PARCEL = 1 << 18
