@@ -44,7 +44,7 @@ def audit_windows(clips: DataFrame, flagged: DataFrame, window: int, fraction: f
     only those. The seed is the SHA-256 of the clip's name.
     """
     if window < 1 or not 0 < fraction <= 1:
-        raise ValueError("invalid audit parameters")
+        raise ValueError(f"no audit with window {window}, fraction {fraction}, margin {margin}")
     runs = free_runs(clips, flagged, margin).join(clips.select("clip_id", "clip_name"), "clip_id")
 
     def per_clip(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -18,6 +18,7 @@ from shoalcount.session import materialize, materialize_counted
 
 FRAME = ["clip_id", "frame_index"]
 PIXEL = ["clip_id", "frame_index", "y", "x"]
+# The scale of a median deviation and the detector's defaults.
 MAD_SCALE = 1.4826
 
 

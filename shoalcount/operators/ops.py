@@ -132,9 +132,12 @@ def range_delta(samples: DataFrame, key: str, at: str, value: str, seconds: int
 
 
 def sustained(samples: DataFrame, key: str, at: str, condition: Column, seconds: int) -> DataFrame:
-    """Stretches of consecutive samples over which a condition holds for at least ``seconds``."""
-    bucket, order = F.floor(F.unix_seconds(at) / 86400), [F.col(at)]
-    s = samples.select(key, at, condition.alias("on"))
+    """Stretches of consecutive samples over which a condition holds for at least ``seconds``.
+
+    Of samples at one time, those that do not meet it come first.
+    """
+    bucket, order = F.floor(F.unix_seconds(at) / 86400), [F.col(at), F.col("on")]
+    s = samples.select(key, at, F.coalesce(condition, F.lit(False)).alias("on"))
     p = previous(s, [key], bucket, order, ["on"])
     p = p.withColumn("new", F.when(F.col("on") & ~F.coalesce("prev_on", F.lit(False)), 1).otherwise(0))
     r = running(p, [key], bucket, order, F.col("new"), "run").where("on")

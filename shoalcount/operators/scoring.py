@@ -13,6 +13,7 @@ from shoalcount.operators.matching import near_pairs
 from shoalcount.operators.ordered import position, running
 
 # Component names in their declared order, and the floor used in the mean.
+# Score components, bounds, ranks and calibrated defaults.
 COMPONENTS = ("detection", "duration", "continuity", "motion", "separation", "line_distance")
 COMPONENT_FLOOR = 0.01
 CROWDING_IOU = 0.1

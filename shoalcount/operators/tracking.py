@@ -24,6 +24,7 @@ KEYS = ["variant", "clip_id", "segment"]
 OUT = "variant string, clip_id long, segment long, frame_index long, det_id long, local_id long"
 
 
+# The defaults of both trackers.
 @dataclass(frozen=True)
 class KalmanConfig:
     name: str = "current"
@@ -59,7 +60,7 @@ class ByteTrackConfig:
 
     def __post_init__(self) -> None:
         if self.low_threshold > self.high_threshold:
-            raise ValueError("low_threshold must not exceed high_threshold")
+            raise ValueError(f"{self.low_threshold} as the low threshold is above the high one")
 
     @property
     def patience(self) -> int:

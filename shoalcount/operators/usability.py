@@ -10,6 +10,7 @@ from shoalcount.operators.counting import ratio
 from shoalcount.operators.stats import dense_index, interval, numbered, resample
 from shoalcount.session import materialize
 
+# The study's targets and names.
 TARGET_SAVING = 0.30
 MIN_GROUP = 3
 DEVELOPER_PREFIX = "D"

@@ -80,18 +80,18 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def select_rows(manifest: DataFrame, partitions: list[str], limit: int | None = None) -> DataFrame:
-    """Usable, validated rows. Test is refused, holdout comes alone, and a row that may not be
-    tuned on raises."""
+    """Usable, validated rows, with ``limit`` the first by location and name. Test is refused,
+    holdout comes alone, and a row that may not be tuned on raises."""
     if "test" in partitions:
-        raise ValueError("the test partition cannot be run for development or tuning")
+        raise ValueError("test rows are kept out of tuning")
     holdout = "holdout" in partitions
     if holdout and partitions != ["holdout"]:
-        raise ValueError("the holdout partition can only be selected on its own")
+        raise ValueError("holdout goes with no other partition")
     rows = manifest.where(F.col("partition").isin(*partitions) & F.col("usable") & F.col("frames_validated"))
     bad = F.col("official_split") != "train" if holdout else ~F.col("tuning_allowed")
-    guard = F.when(bad, F.raise_error(F.lit("selected rows include clips that are not allowed")).cast("string"))
+    guard = F.when(bad, F.raise_error(F.lit("a selected row may not be tuned on")).cast("string"))
     rows = rows.withColumn("clip_name", F.coalesce(guard, F.col("clip_name")))
-    return rows.limit(limit) if limit else rows
+    return rows.orderBy("location", "clip_name").limit(limit) if limit else rows
 
 
 def release_rows(manifest: DataFrame, partition: str, location: str) -> DataFrame:
