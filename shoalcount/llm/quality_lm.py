@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shoalcount.llm.util import blocked, hinted, without
 from shoalcount.session import materialize
 
-ORDER = 4
+ORDER = 5
 
 #: Documents in a block, and text bytes handled at a time inside a task.
 BLOCK_ROWS, STEP = 16_384, 1 << 18

@@ -81,3 +81,10 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], LABELS)
     assert quality_lm.classify(docs, none).where("kept").count() == len(rows)
     assert quality_lm.classify(docs.where(F.lit(False)), labels).count() == 0
+
+
+def test_four_bytes_of_context_count(spark):
+    docs = spark.createDataFrame([(0, "1abcX 2abcY " * 50, "en", "k", "b"), (1, "1abcX", "en", "k", "b"), (2, "1abcY", "en", "k", "b")], DOCS)
+    trusted = spark.createDataFrame([(0,)], "doc_id bigint")
+    got = {r["doc_id"]: r["log_prob"] for r in quality_lm.perplexities(docs, trusted).collect()}
+    assert got[1] > got[2] + 1  # "abc" alone leaves X and Y equally likely
