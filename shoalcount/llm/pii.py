@@ -4,7 +4,9 @@ Nodes of the field are mentions: what the patterns found (their labels are obser
 look-alikes (tokens with an @, runs of seven or more digits) whose label is open. Neighbours
 in a document are linked in a chain; equal or similar mentions are linked however far apart
 and share a potential. Loopy belief propagation gives each open mention its label; it becomes
-a span if one kind is nearly certain. Potentials are estimated from counts over the corpus.
+a span if one kind is nearly certain. Potentials are ratios of counts over the corpus, so
+copies of the corpus leave them as they are. Open mentions are unlabelled: one that shares its
+key with found mentions of one kind is counted as that kind, others as none of the kinds.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ LABELS = (*KINDS, "O")
 #: Belief above which an open mention becomes a span; rounds of message passing at most.
 CERTAIN, ROUNDS = 0.9, 30
 
+#: Share of a shape's distribution that comes from found mentions with like features; least
+#: rate at which mentions with the same key are taken to differ. Neither depends on corpus size.
+PRIOR, LEAST_CONFLICT = 0.02, 1e-4
+
 # Possessive and anchored forms of the fixed patterns: the same matches in linear time.
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -141,6 +147,20 @@ def skip_links(nodes: list[Mention]) -> list[tuple[int, int]]:
     return out
 
 
+def _features(shape: str) -> str:
+    """What the variants of a kind share: groups and + are left out, for addresses all but the @."""
+    return "at" if shape.startswith("at") else re.sub(r"g[0-9]+p[01]", "", shape)
+
+
+def expected_labels(nodes: list[Mention]) -> list[str]:
+    """Found labels; an open mention takes the kind of the found ones with its key, if they are of one kind."""
+    kinds: dict[str, set[str]] = {}
+    for m in nodes:
+        if m.key and m.label != "O":
+            kinds.setdefault(m.key, set()).add(m.label)
+    return [next(iter(kinds[m.key])) if m.label == "O" and len(kinds.get(m.key, ())) == 1 else m.label for m in nodes]
+
+
 class Field(NamedTuple):
     """Log potentials: by shape and label, by labels of neighbours, for equal labels across a skip link."""
 
@@ -197,15 +217,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (what, n) of shapes by label, of neighbouring labels, of labels across skip links."""
+    """Counts (what, n): features of found mentions, shapes of open ones, neighbours, links between found mentions."""
     for batch in batches:
         seen: Counter[str] = Counter()
         for value in batch.column("text"):
             text = value.as_py() or ""
             nodes = mentions(text, base_spans(text))
-            seen.update(f"shape|{m.shape}|{m.label}" for m in nodes)
-            seen.update(f"chain|{x.label}|{y.label}" for x, y in zip(nodes, nodes[1:]))
-            seen.update("skip|same" if nodes[i].label == nodes[j].label else "skip|other" for i, j in skip_links(nodes))
+            labels = expected_labels(nodes)
+            seen.update(f"open|{m.shape}|{k}" if m.label == "O" else f"found|{_features(m.shape)}|{k}" for m, k in zip(nodes, labels))
+            seen.update(f"chain|{x}|{y}" for x, y in zip(labels, labels[1:]))
+            seen.update("skip|same" if nodes[i].label == nodes[j].label else "skip|other" for i, j in skip_links(nodes) if "O" not in (nodes[i].label, nodes[j].label))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["what", "n"])
 
 
@@ -213,21 +234,29 @@ def train(docs: DataFrame) -> Field:
     """Potentials from counts over all texts. Shapes are few by construction (under 2,000)."""
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_observe, "what string, n bigint").groupBy("what").agg(F.sum("n").alias("n"))
     counts = {r["what"]: r["n"] for r in counted.collect()}
-    overall = np.ones(len(LABELS))
-    by_shape: dict[str, np.ndarray] = {}
+    opened: dict[str, np.ndarray] = {}
+    found: dict[str, np.ndarray] = {}
     chain = np.zeros((len(LABELS), len(LABELS)))
     for what, n in counts.items():
         kind, *rest = what.split("|")
-        if kind == "shape":
-            by_shape.setdefault(rest[0], np.zeros(len(LABELS)))[LABELS.index(rest[1])] += n
-            overall[LABELS.index(rest[1])] += n
+        if kind in ("open", "found"):
+            (opened if kind == "open" else found).setdefault(rest[0], np.zeros(len(LABELS)))[LABELS.index(rest[1])] += n
         elif kind == "chain":
             chain[LABELS.index(rest[0]), LABELS.index(rest[1])] += n
-    share = overall / overall.sum()
-    shapes = {s: np.log((c + share) / (c.sum() + 1)) for s, c in by_shape.items()}
+    none = np.eye(len(LABELS))[-1]
+    overall = sum(found.values(), np.zeros(len(LABELS)))
+
+    def potential(c: np.ndarray, like: np.ndarray) -> np.ndarray:
+        """Log shares of counts, mixed with the kinds of found mentions and as much of none."""
+        shares = like / max(like.sum(), 1) + 1e-6
+        return np.log((1 - PRIOR) * c / c.sum() + PRIOR / 2 * (shares / shares.sum() + none))
+
+    shapes = {s: potential(c, found.get(_features(s), overall)) for s, c in opened.items()}
     expected = chain.sum(axis=1, keepdims=True) * chain.sum(axis=0, keepdims=True) / max(chain.sum(), 1)
-    skip = math.log((counts.get("skip|same", 0) + 1) / (counts.get("skip|other", 0) + 1))
-    return Field(shapes, np.log(share), np.log((chain + 1) / (expected + 1)), max(0.0, skip))
+    ratio = np.divide(chain, expected, out=np.ones_like(chain), where=expected > 0)
+    same, other = counts.get("skip|same", 0), counts.get("skip|other", 0)
+    conflict = max(LEAST_CONFLICT, other / (same + other)) if same else 0.5
+    return Field(shapes, potential(none, overall), np.log((1 - PRIOR) * ratio + PRIOR), max(0.0, math.log((1 - conflict) / conflict) if conflict < 1 else 0.0))
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

@@ -85,3 +85,15 @@ def test_odd_rows(spark):
     out = pii.find(docs, pii.train(docs)).collect()
     assert len(out) == len(rows) and {r["doc_id"]: r["spans"] for r in out} == {1: "", 2: "", None: "email:0:5", 3: "ip:0:7", 4: "", 5: ""}
     assert pii.find(docs.where(F.lit(False)), pii.train(docs.where(F.lit(False)))).count() == 0
+
+
+def test_copies_of_the_corpus_leave_spans_unchanged(spark):
+    line = "call +1 (239) 555-8522 or write ann.lee@mail.example.com today. "
+    rows = [(i, line + f"number 83{i:03}72{i:04} again ann.lee@mail.example.com and +1 (239) 555-{1000 + i}", "s", "n") for i in range(60)]
+    rows += [(100, line + "text " * 50 + "later 1-239-555-8522", "s", "n"), (101, "no one 1-239-555-8522 here", "s", "n")]
+    docs = spark.createDataFrame(rows, DOCS)
+    spans = []
+    for copies in (1, 200):
+        field = pii.train(docs.crossJoin(spark.range(copies)).drop("id"))
+        spans.append({r["doc_id"]: r["spans"] for r in pii.find(docs, field).collect()})
+    assert spans[0] == spans[1] and "phone:320:334" in spans[1][100] and spans[1][101] == ""
