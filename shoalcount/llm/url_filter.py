@@ -1,8 +1,8 @@
 """URL filtering: allow and block rules, and gradient-boosted trees for what no rule covers.
 
 The trees see lexical features only and learn from labelled URLs. Suffix statistics are the
-block rates of a host's last labels and a path's first part among the training rows, smoothed;
-a training row gets the rate of the folds it is not in.
+block rates of a host's last labels and a path's first part among all labelled rows, smoothed;
+a training row gets the rate of the folds it is not in. Only the fit of the trees takes a sample.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ TRAIN_ROWS = 200_000
 
 FEATURES = ("url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "entropy", "parameters", "hyphens", "tail1_rate", "tail2_rate", "first_rate")
 
-#: Folds of the training rows for the suffix statistics.
+#: Folds of the labelled rows for the suffix statistics.
 FOLDS = 5
 
 #: Prior weight of the overall block rate in a suffix's rate.
@@ -130,19 +130,23 @@ def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], base: float) -> Da
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlModel:
-    """Fit on split URLs with ``label`` (1 block, 0 allow), a hash-ordered sample of at most about ``rows``.
+    """Fit on split URLs with ``label`` (1 block, 0 allow), a sample by hash of page_id and URL of about ``rows`` at most.
 
-    With no labelled rows, or one kind only, there are no trees and the base rate decides.
+    Rates of suffixes and the base rate are of all labelled rows. With no labelled rows, or one
+    kind only, there are no trees and the base rate decides.
     """
-    n = labelled.count()
-    share = min(1.0, rows / max(n, 1))
-    picked = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
-    picked = materialize(lexical(picked.select("page_id", "url", "host", "path", F.col("label").cast("int").alias("label"), F.pmod(F.hash("url"), F.lit(FOLDS)).alias("fold")))).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
-    total = picked.agg(F.count(F.lit(1)), F.sum("label")).first()
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold")
+    known = labelled.select("page_id", "url", "host", "path", F.col("label").cast("int").alias("label"))
+    keys = ("tail1", "tail2", "first")
+    groups = materialize(lexical(known).groupBy(*keys, fold).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("seen")))
+    total = groups.agg(F.sum("seen"), F.sum("blocked")).first()
     base = (total[1] or 0) / total[0] if total[0] else 0.0
-    rates = {k: materialize(picked.groupBy(F.col(k).alias("key"), "fold").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("seen"))) for k in ("tail1", "tail2", "first")}
+    rates = {k: materialize(groups.groupBy(F.col(k).alias("key"), "fold").agg(F.sum("blocked").alias("blocked"), F.sum("seen").alias("seen"))) for k in keys}
     if not 0 < base < 1:
         return UrlModel(None, base, rates)
+    share = min(1.0, rows / total[0])
+    drawn = F.pmod(F.xxhash64(F.lit("fit"), "page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20))  # splits repeated URLs
+    picked = materialize(lexical(known.where(drawn) if share < 1 else known).select("*", fold))
     held = materialize(_with_rates(picked, rates, base).select("label", *FEATURES))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(held)
     boosted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=64)

@@ -53,3 +53,15 @@ def test_odd_urls(spark):
             assert (r["host"], r["path"], r["rule"]) == plain(urls[r["page_id"]])[:3], urls[r["page_id"]][:40]
     assert url_filter.judge(pages.where(F.lit(False))).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages.where("url is null")).collect()} == {"allow"}
+
+
+def test_rates_are_of_all_labelled_rows_and_the_sample_keeps_its_bound(spark, monkeypatch):
+    rows = [(i, f"http://a{i % 40}.org/p{i}", None, "h", "r") if i % 3 else (i, "http://hot.org/x", None, "h", "r") for i in range(3000)]
+    known = url_filter.split_urls(spark.createDataFrame(rows, PAGES)).withColumn("label", (F.col("page_id") % 2).cast("int"))
+    fitted = []
+    fit = url_filter.GBTClassifier.fit
+    monkeypatch.setattr(url_filter.GBTClassifier, "fit", lambda self, data, *a: fitted.append(data.count()) or fit(self, data, *a))
+    model = url_filter.train(known, rows=300, trees=1, depth=2)
+    for table in model.rates.values():
+        assert table.agg(F.sum("seen"), F.sum("blocked")).first() == (3000, 1500)
+    assert model.base == 0.5 and 200 < fitted[0] < 400
