@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import ann, bpe, exact_dedup, langid, mixing, pii, quality_lm, sharding, simhash, url_filter
+from shoalcount.llm import ann, bpe, exact_dedup, langid, lexical, mixing, pii, quality_lm, sharding, simhash, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -57,7 +57,11 @@ def op10_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op9_pii, op10_simhash)}
+def op13_lexical(spark, sf_dir):
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op9_pii, op10_simhash, op13_lexical)}
 
 ORACLE = {
     "op7_mixing": """
@@ -89,6 +93,27 @@ ORACLE = {
         FROM ranked r JOIN pattern p ON p.source = r.source AND p.turn = (r.r // 32) % p.weight
     )
     SELECT doc_id, source, weight, block, slot, row_number() OVER (ORDER BY slot, inside) - 1 AS position FROM placed""",
+    "op13_lexical": r"""
+    WITH words AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+        FROM documents
+    ), d AS (SELECT r, doc_id, len(ws) AS n, ws FROM words WHERE len(ws) > 0),
+    totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ), tf AS (
+        SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(ws) AS term FROM d)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+    ), w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, big_n),
+    part AS (
+        SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))) AS part FROM tf JOIN w USING (term), totals
+    ), scored AS (
+        SELECT item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM part JOIN asked USING (term) GROUP BY item_id, r, doc_id HAVING sum(part) > 0
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
     "op5_exact_dedup": """
     WITH d AS (
         SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
