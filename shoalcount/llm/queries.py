@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import ann, bpe, exact_dedup, langid, lexical, mixing, pii, quality_lm, sharding, simhash, url_filter
+from shoalcount.llm import ann, bpe, chat, exact_dedup, langid, lexical, mixing, pii, quality_lm, sharding, simhash, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -57,11 +57,19 @@ def op10_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_chat(spark, sf_dir):
+    added = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digests(_table(spark, sf_dir, "conversations").select(*added.columns).unionByName(added))
+
+
 def op13_lexical(spark, sf_dir):
     return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op9_pii, op10_simhash, op13_lexical)}
+QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op9_pii, op10_simhash, op12_chat, op13_lexical)}
 
 ORACLE = {
     "op7_mixing": """
@@ -93,6 +101,20 @@ ORACLE = {
         FROM ranked r JOIN pattern p ON p.source = r.source AND p.turn = (r.r // 32) % p.weight
     )
     SELECT doc_id, source, weight, block, slot, row_number() OVER (ORDER BY slot, inside) - 1 AS position FROM placed""",
+    "op12_chat": r"""
+    WITH t AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), e AS (
+        SELECT *, length(regexp_replace(text, '(<(\\*)(/?s>))|(\[(\\*)(/?(INST|SYS|OUT|ROLE)\]|SAYS\]))', '_\0', 'g'))
+                  + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 18 WHEN 'assistant' THEN 17 ELSE length(coalesce(role, '')) + 23 END AS shown
+        FROM t
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(shown) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id""",
     "op13_lexical": r"""
     WITH words AS (
         SELECT row_number() OVER () AS r, doc_id,

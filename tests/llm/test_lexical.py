@@ -78,7 +78,24 @@ def test_odd_rows_and_blocks(spark, monkeypatch):
     want = brute(docs, items)
     assert got(lexical.rank(table, asked)) == want
     assert got(lexical.rank(table, asked, k=3)) == brute(docs, items, 3)
-    for name, value in (("BLOCK_TERMS", 60), ("SLICE", 7), ("HELD", 50), ("CELLS", 500)):
-        monkeypatch.setattr(lexical, name, value)
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 60)
     assert got(lexical.rank(table, asked)) == want
     assert got(lexical.rank(table.where(F.lit(False)), asked)) == [] == got(lexical.rank(table, asked.where(F.lit(False))))
+
+
+def test_slices_and_thinning(monkeypatch):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["a", "B", "é", " ", "-", "7"]) for _ in range(3000))
+    want = Counter(t.encode() for t in terms(text))
+    monkeypatch.setattr(lexical, "SLICE", 7)
+    assert lexical.term_counts(text.encode()) == want
+    monkeypatch.setattr(lexical, "HELD", 30)
+    best, rows = lexical._Best(4, 5), []
+    for _ in range(40):
+        totals = np.array([[rng.randrange(4) for _ in range(6)] for _ in range(4)], np.int64)
+        docs, null = (np.array([rng.randrange(n) for _ in range(6)], np.int64) for n in (90, 2))
+        best.add(totals, docs * (1 - null), null)
+        rows += [(i, -totals[i, d], null[d], docs[d] * (1 - null[d])) for i in range(4) for d in range(6) if totals[i, d]]
+    best.thin()
+    item, score, docs, null = best.rows
+    assert sorted(zip(item, -score, null, docs)) == [r for i in range(4) for r in sorted(x for x in rows if x[0] == i)[:5]]
