@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoalcount.llm import ann, bpe, chat, exact_dedup, langid, lexical, mixing, pii, quality_lm, sharding, simhash, url_filter
+from shoalcount.llm import ann, bpe, chat, exact_dedup, hard_negatives, langid, lexical, mixing, pii, quality_lm, sharding, simhash, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -57,6 +57,11 @@ def op10_simhash(spark, sf_dir):
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark, sf_dir):
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 50 == 0)
+
+
 def op12_chat(spark, sf_dir):
     added = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
@@ -69,7 +74,7 @@ def op13_lexical(spark, sf_dir):
     return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op9_pii, op10_simhash, op12_chat, op13_lexical)}
+QUERIES = {f.__name__: f for f in (op1_quality_lm, op2_sharding, op3_bpe, op4_langid, op5_exact_dedup, op6_url_filter, op7_mixing, op8_ann, op9_pii, op10_simhash, op11_hard_negatives, op12_chat, op13_lexical)}
 
 ORACLE = {
     "op7_mixing": """
