@@ -83,7 +83,7 @@ st AS (SELECT *, active_ms/1000.0::DOUBLE AS active_s, abs(final_right-ref_right
   FROM tr WHERE NOT practice AND k%23<>0)"""
 
 REVIEWS = """
-rjobs AS (SELECT DISTINCT user_id//2 AS job_id, 300 AS num_frames, 4 AS audit_windows, 100+(user_id//2)%7 AS unflagged_frames FROM events),
+rjobs AS (SELECT DISTINCT user_id//2 AS job_id, 300 AS num_frames, 4 AS audit_windows, 100+(user_id//2)%7 AS unflagged_frames FROM events WHERE (user_id//2)%31<>30),
 jt AS (SELECT job_id, track_id, CASE (track_id+job_id)%3 WHEN 0 THEN 'right' WHEN 1 THEN 'left' END AS direction, (track_id*37+job_id*11)%200 AS start_frame,
   (track_id*37+job_id*11)%200+20+track_id%30 AS end_frame FROM (SELECT user_id//2 AS job_id, unnest([(user_id%2)*10+i FOR i IN range(10)]) AS track_id FROM (SELECT DISTINCT user_id FROM events))),
 re0 AS (SELECT event_id, ts, user_id//2 AS job_id, event_type, event_id%5<>0 AND event_id%7<>0 AS fine, event_id%7=0 AS stale FROM events),
@@ -116,7 +116,8 @@ fd AS (SELECT job_id, 0::BIGINT AS i, 0::BIGINT AS rev, []::VARCHAR[] AS ps, NUL
      WHEN o.action NOT IN ('add_passage','mark_audited') AND o.passage_id IS NOT NULL AND NOT list_contains(fd.ps, o.passage_id) THEN 'unknown added passage'
      WHEN o.action NOT IN ('add_passage','mark_audited') AND o.passage_id IS NOT NULL AND o.action<>'reject' THEN 'added passages can only be rejected' END AS r
     FROM fd JOIN ro1 o ON o.job_id=fd.job_id AND o.i=fd.i+1) n),
-ver AS (SELECT job_id, event_id, refusal IS NULL AS accepted, CASE WHEN refusal IS NULL THEN rev END AS resulting_revision, refusal FROM fd WHERE i>0),
+ver AS (SELECT job_id, event_id, refusal IS NULL AS accepted, CASE WHEN refusal IS NULL THEN rev END AS resulting_revision, refusal FROM fd WHERE i>0
+  UNION ALL SELECT job_id, event_id, false, NULL, 'job has no result to review' FROM ro0 WHERE job_id%31=30),
 acc AS (SELECT re.*, resulting_revision FROM re JOIN ver USING (job_id, event_id) WHERE accepted),
 dec AS (SELECT job_id, track_id, arg_max(action, event_id) AS act, max(event_id) AS event_id FROM acc WHERE passage_id IS NULL AND action IN ('accept','reject','set_direction','mark_unresolved') GROUP BY 1,2),
 td AS (SELECT d.job_id, d.track_id, CASE act WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'set_direction' THEN 'corrected' ELSE 'unresolved' END AS state,

@@ -177,7 +177,7 @@ def report_header(s, d):
 
 
 @query(COUNTS + """, h AS (SELECT job_id, count(*) AS events, max(resulting_revision) AS rev FROM acc GROUP BY 1), p AS (SELECT job_id, count(*) AS n FROM ps GROUP BY 1)
-  SELECT job_id, "right"+"left" AS passages, tracks, coalesce(n,0) AS added, events FROM rc LEFT JOIN h USING (job_id) LEFT JOIN p USING (job_id)""")
+  SELECT job_id, "right"+"left" AS passages, tracks, coalesce(n,0) AS added, events FROM rc JOIN rjobs USING (job_id) LEFT JOIN h USING (job_id) LEFT JOIN p USING (job_id)""")
 def job_reports(s, d):
     """Nested reports, written as JSON and read back: totals per document."""
     acc, outcomes, added = state(s, d)

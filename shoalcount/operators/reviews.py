@@ -1,23 +1,22 @@
 """The review log: acceptance of events, decisions, counts at a revision, reports.
 
-Acceptance depends on what was accepted before, so it is a fold over each job's events in
-arrival order. Everything that does not depend on earlier acceptance is checked first in
-column expressions; the fold carries only a revision number and the added passages, and
-streams over sorted partitions, so a long log never has to fit in memory. Decisions are then
-ordinary aggregates over the accepted events.
+Everything that does not depend on earlier acceptance is checked first in column expressions;
+``settlement`` then finds the accepted events of whole logs by joins on (job, revision), and
+``step`` says the same of one event after another for a stream. Decisions are ordinary
+aggregates over the accepted events.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalcount.operators.counting import ratio, river_direction
 from shoalcount.operators.intervals import nearby_pairs
 from shoalcount.operators.ordered import previous
+from shoalcount.operators.settlement import ONLY_REJECTED, STALE, UNKNOWN_JOB, UNKNOWN_PASSAGE, settle
 
 PAYLOAD = "action string, track_id bigint, passage_id string, direction string, frame_index bigint, audit_window int, reason string"
 ACTIONS = ("accept", "reject", "set_direction", "mark_unresolved", "add_passage", "mark_audited")
@@ -32,11 +31,12 @@ def parse_payload(json_text: Column) -> Column:
 
 def static_error() -> Column:
     """Why an event is invalid whatever was accepted before, or null. Expects the payload's
-    columns and ``num_frames``, ``audit_windows``, ``known_track``."""
+    columns and ``known_job``, ``num_frames``, ``audit_windows``, ``known_track``."""
     action, window = F.col("action"), F.col("audit_window")
     on_window = action.isin("add_passage", "mark_audited")
     return (
-        F.when(window.isNotNull() & ~on_window, "audit_window goes with add_passage or mark_audited")
+        F.when(F.col("known_job").isNull(), UNKNOWN_JOB)
+        .when(window.isNotNull() & ~on_window, "audit_window goes with add_passage or mark_audited")
         .when(window.isNotNull() & ~((window >= 0) & (window < F.col("audit_windows"))), "audit_window out of range")
         .when((action == "mark_audited") & window.isNull(), "mark_audited needs an audit_window")
         .when(
@@ -54,47 +54,34 @@ def static_error() -> Column:
 
 
 def prepare(events: DataFrame, tracks: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Events with their static verdict: only what the fold needs."""
+    """Events with their static verdict: only what acceptance needs. Events of an unknown job stay, as refused."""
     known = tracks.select("job_id", "track_id", F.lit(True).alias("known_track"))
-    e = events.join(known, ["job_id", "track_id"], "left").join(jobs.select("job_id", "num_frames", "audit_windows"), "job_id")
+    there = jobs.select("job_id", "num_frames", "audit_windows", F.lit(True).alias("known_job"))
+    e = events.join(known, ["job_id", "track_id"], "left").join(there, "job_id", "left")
     return e.select("job_id", "event_id", "base_revision", "action", "passage_id", static_error().alias("error"))
 
 
 def step(revision: int, passages: set[str], event_id: int, base: int, action: str, passage: str | None, error: str | None):
     """(refusal or None) for the next event of a job; updates ``passages``."""
+    if error == UNKNOWN_JOB:
+        return error
     if base != revision:
-        return "stale revision"
+        return STALE
     if error is not None:
         return error
     if action == "add_passage":
         passages.add(f"p{event_id}")
     elif action != "mark_audited" and passage is not None:
         if passage not in passages:
-            return "unknown added passage"
+            return UNKNOWN_PASSAGE
         if action != "reject":
-            return "added passages can only be rejected"
+            return ONLY_REJECTED
     return None
 
 
-def _fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    job, revision, passages = None, 0, set()
-    for pdf in batches:
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        out = []
-        for j, event_id, base, action, passage, error in pdf.itertuples(index=False):
-            if j != job:
-                job, revision, passages = j, 0, set()
-            refusal = step(revision, passages, event_id, base, action, passage, error)
-            revision += refusal is None
-            out.append((j, event_id, refusal is None, revision if refusal is None else None, refusal))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "accepted", "resulting_revision", "refusal"])
-
-
 def fold_reviews(events: DataFrame, tracks: DataFrame, jobs: DataFrame) -> DataFrame:
     """Per event: accepted and its revision, or the reason it was refused."""
-    ready = prepare(events, tracks, jobs)
-    ordered = ready.repartition("job_id").sortWithinPartitions("job_id", "event_id")
-    return ordered.mapInPandas(_fold, VERDICT_SCHEMA)
+    return settle(prepare(events, tracks, jobs))
 
 
 def accepted_events(events: DataFrame, verdicts: DataFrame) -> DataFrame:
