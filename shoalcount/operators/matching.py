@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,28 +177,78 @@ def direction_confusion(features: DataFrame, ref_counts: DataFrame, pred_counts:
 # --- greedy one-to-one matching and suppression -------------------------------------------
 
 
-def _until_settled(live: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Repeat ``step`` on the rows it leaves ``open`` and return the rows it settled.
+#: A group (frame) of up to so many pairs is walked in order by one task, as a stream.
+WALKED_PAIRS = 1_000_000
 
-    Each round is stored; only the number of open rows, counted while writing, reaches the
-    driver.
+
+def _settle(
+    pairs: DataFrame, group: Sequence[str], walk: Callable[[DataFrame], DataFrame], step: Callable[[DataFrame], DataFrame], limit: int | None = None
+) -> DataFrame:
+    """Greedy choice over pairs in groups: ``walk`` settles groups of bounded size, one pass in order each.
+
+    Larger groups are never gathered: ``step`` settles in parallel what can be settled at once
+    and says what is left ``open``, until that is small enough to be walked. Only counts reach
+    the driver.
     """
-    settled = None
-    while True:
-        stored, left = materialize_counted(step(live), F.col("open"))
-        done = stored.where("not open").drop("open")
-        settled = done if settled is None else settled.unionByName(done)
-        if left == 0:
-            return settled
-        live = stored.where("open").drop("open")
+    limit = WALKED_PAIRS if limit is None else limit
+    live, n = materialize_counted(pairs, F.lit(True))
+    parts = []
+    while n > limit:
+        large, k = materialize_counted(live.groupBy(*group).count().where(F.col("count") > limit).select(*group), F.lit(True))
+        if not k:
+            break
+        parts.append(walk(live.join(large, list(group), "left_anti")))
+        stepped, n = materialize_counted(step(live.join(large, list(group), "left_semi")), F.col("open"))
+        parts.append(stepped.where("not open").drop("open"))
+        live = stepped.where("open").drop("open")
+    parts.append(walk(live))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _in_order(group: Sequence[str], choose: Callable[[set, tuple], bool], ends: Sequence[str]):
+    """Keep the rows that ``choose`` takes, given what its group took before; rows come sorted by group.
+
+    Held at a time: the identifiers one group has used up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, set()
+        for b in batches:
+            keys = zip(*[b.column(c).to_pylist() for c in group])
+            taken = []
+            for i, (key, pair) in enumerate(zip(keys, zip(*[b.column(c).to_pylist() for c in ends]))):
+                if key != at:
+                    at, used = key, set()
+                if choose(used, pair):
+                    taken.append(i)
+            yield b.take(pa.array(taken, pa.int64()))
+
+    return run
+
+
+def _free_ends(used: set, pair: tuple) -> bool:
+    left, right = (0, pair[0]), (1, pair[1])
+    if left in used or right in used:
+        return False
+    used.update((left, right))
+    return True
+
+
+def _newly_dropped(dropped: set, pair: tuple) -> bool:
+    strong, weak = pair
+    if strong in dropped or weak in dropped:
+        return False
+    dropped.add(weak)
+    return True
 
 
 def greedy_match(pairs: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[Column]) -> DataFrame:
     """Greedy one-to-one matching per group in ``order`` (which must be total per group).
 
-    A pair that is the first choice of both its ends is exactly what the greedy pass takes
-    next among their pairs, so all such pairs are taken together and the pairs they block are
-    dropped; a few rounds settle every frame, without ever holding a frame in one task.
+    Groups of up to WALKED_PAIRS pairs are walked in order, all in one job. In larger ones a pair
+    that is the first choice of both its ends is exactly what the greedy pass takes next among
+    their pairs, so all such pairs are taken together and the pairs they block are dropped, round
+    by round.
     """
     l_key, r_key = [*group, left], [*group, right]
 
@@ -210,7 +262,11 @@ def greedy_match(pairs: DataFrame, group: Sequence[str], left: str, right: str,
         live = live.where(F.col("__take") | ~(F.col("__bl") | F.col("__br")))
         return live.select(*df.columns, (~F.col("__take")).alias("open"))
 
-    return _until_settled(pairs, round_)
+    def walk(df: DataFrame) -> DataFrame:
+        sorted_ = df.repartition(*group).sortWithinPartitions(*group, *order)
+        return sorted_.mapInArrow(_in_order(group, _free_ends, (left, right)), df.schema)
+
+    return _settle(pairs, group, walk, round_)
 
 
 def suppress_overlaps(
@@ -219,9 +275,10 @@ def suppress_overlaps(
 ) -> DataFrame:
     """Drop boxes that duplicate a kept, higher-scoring box of the same frame.
 
-    Equal scores are ordered by ``det``. A box with no open stronger neighbour is kept and
-    its weaker neighbours are dropped; rounds repeat on what is left. Only boxes that overlap
-    another one take part in the rounds.
+    Equal scores are ordered by ``det``. Only boxes that overlap another one take part: their
+    overlaps are walked from the strongest box of a frame on, all frames in one job. In frames of
+    more than WALKED_PAIRS overlaps, boxes with no open stronger neighbour are kept and their weaker
+    neighbours dropped, round by round.
     """
     if iou is None and containment is None:
         return boxes
@@ -236,7 +293,7 @@ def suppress_overlaps(
         (F.col("a_score") == F.col("b_score")) & (F.col(f"a_{det}") < F.col(f"b_{det}"))
     )
     edges = near_pairs(slim, slim, frame).where(stronger & test).select(
-        *frame, F.col(f"a_{det}").alias("strong"), F.col(f"b_{det}").alias("weak")
+        *frame, F.col(f"a_{det}").alias("strong"), F.col(f"b_{det}").alias("weak"), F.col("a_score").alias("score")
     )
     key = lambda c: [*frame, c]
 
@@ -246,14 +303,17 @@ def suppress_overlaps(
         kept = live.select(*frame, F.col("strong").alias("node")).distinct().join(weak_ends, key("node"), "left_anti")
         hit = live.join(kept.withColumnRenamed("node", "strong"), key("strong"), "left_semi")
         dropped = hit.select(*frame, F.col("weak").alias("node")).distinct()
-        lost = dropped.select(*frame, F.col("node").alias("strong"), F.col("node").alias("weak"), F.lit(False).alias("open"))
+        lost = dropped.select(*frame, F.col("node").alias("strong"), F.col("node").alias("weak"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("open"))
         rest = live.join(dropped.withColumnRenamed("node", "weak"), key("weak"), "left_anti").join(
             dropped.withColumnRenamed("node", "strong"), key("strong"), "left_anti"
         )
         return lost.unionByName(rest.withColumn("open", F.lit(True)))
 
-    settled = _until_settled(materialize(edges), round_)
-    dropped = settled.select(*frame, F.col("weak").alias(det)).distinct()
+    def walk(live: DataFrame) -> DataFrame:
+        sorted_ = live.repartition(*frame).sortWithinPartitions(*frame, F.col("score").desc(), "strong", "weak")
+        return sorted_.mapInArrow(_in_order(frame, _newly_dropped, ("strong", "weak")), live.schema)
+
+    dropped = _settle(edges, frame, walk, round_).select(*frame, F.col("weak").alias(det)).distinct()
     return boxes.join(dropped, [*frame, det], "left_anti")
 
 

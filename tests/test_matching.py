@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from shoalcount.operators import counting as ct
 from shoalcount.operators import matching as mt
 
@@ -42,7 +45,6 @@ def test_greedy_match_equals_sequential(spark):
     rng = random.Random(2)
     rows = [(g, l, r, rng.randrange(6) / 6) for g in range(3) for l in range(12) for r in range(12) if rng.random() < 0.4]
     df = spark.createDataFrame(rows, "g long, l long, r long, v double")
-    from pyspark.sql import functions as F
 
     got = {(x["g"], x["l"], x["r"]) for x in mt.greedy_match(df, ["g"], "l", "r", [F.col("v").desc(), F.col("l"), F.col("r")]).collect()}
     want = set()
@@ -73,6 +75,35 @@ def test_suppression_equals_sequential_and_commutes_with_threshold(spark):
     assert first == after
 
 
+@pytest.mark.parametrize("limit", [mt.WALKED_PAIRS, 190])
+def test_a_chain_and_a_crowded_frame(spark, monkeypatch, limit):
+    """Box i of the chain drops box i + 1 unless it was dropped itself; the crowd is larger than what is walked at once."""
+    monkeypatch.setattr(mt, "WALKED_PAIRS", limit)
+    jobs = []
+    real = mt.materialize_counted
+    monkeypatch.setattr(mt, "materialize_counted", lambda *a: jobs.append(1) or real(*a))
+    rng = random.Random(5)
+    chain = [(1, 0, i, 1.0 - i / 1000, 6.0 * i, 0.0, 6.0 * i + 10, 10.0) for i in range(200)]
+    crowd = [(2, 3, i, rng.random(), x := rng.uniform(0, 60), y := rng.uniform(0, 60), x + 10, y + 10) for i in range(150)]
+    got = {(r["clip_id"], r["det_id"]) for r in mt.suppress_overlaps(spark.createDataFrame(chain + crowd, DET), iou=0.2).collect()}
+    kept = []
+    for d in sorted(chain + crowd, key=lambda d: (-d[3], d[2])):
+        if all(k[0] != d[0] or iou(k[4:], d[4:]) <= 0.2 for k in kept):
+            kept.append(d)
+    assert got == {(d[0], d[2]) for d in kept} and sum(c == 1 for c, _ in got) == 100
+    assert len(jobs) == 1 if limit > 1000 else len(jobs) > 3
+
+    pairs = [(1, i, j, 500.0 - i - j) for i in range(200) for j in (i, i + 1)] + [(2, rng.randrange(40), rng.randrange(40), rng.random()) for _ in range(400)]
+    pairs = list({p[:3]: p for p in pairs}.values())
+    df = spark.createDataFrame(pairs, "g long, l long, r long, v double")
+    used, want = set(), set()
+    for p in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if (p[0], "l", p[1]) not in used and (p[0], "r", p[2]) not in used:
+            used |= {(p[0], "l", p[1]), (p[0], "r", p[2])}
+            want.add(p[:3])
+    assert {(r["g"], r["l"], r["r"]) for r in mt.greedy_match(df, ["g"], "l", "r", [F.col("v").desc(), F.col("l"), F.col("r")]).collect()} == want
+
+
 def path(track, frames, u0, u1, v=0.5):
     n = len(frames)
     for i, f in enumerate(frames):
