@@ -42,16 +42,24 @@ def H(*parts):
     return q.hash32(*parts)
 
 
+def M(x: str) -> str:
+    """The integer mixer in SQL."""
+    for _ in range(2):
+        x = f"(xor({x}, ({x})>>16)*73244475&4294967295)"
+    return f"xor({x}, {x}>>16)"
+
+
 def RS(rel: str, keys: list[str], item: str, values: list[str], salt: list[str], seed: int = 0) -> str:
-    """CTEs ix (indexed) and rs (resampled sums) over relation ``rel``."""
-    k = ", ".join(keys)
-    part = f"PARTITION BY {k} " if keys else ""
+    """CTEs ix (indexed), ks (keys of draws) and rs (resampled sums) over relation ``rel``."""
+    k = "".join(f"{c}, " for c in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
     on = " AND ".join(f"x.{c}=p.{c}" for c in keys) or "true"
-    pk = ", ".join(f"p.{c}" for c in keys) + (", " if keys else "")
-    s = [f"'{seed}'", *salt, "b::VARCHAR", "j::VARCHAR"]
+    pk = "".join(f"p.{c}, " for c in keys)
     return f""",
-ix AS (SELECT *, row_number() OVER ({part}ORDER BY {H(item)}, {item})-1 AS j, count(*) OVER ({part}) AS nn FROM {rel}),
-pk AS (SELECT {k + ', ' if keys else ''} b, ({H(*s)})%nn AS pj FROM ix, range({B}) z(b)),
+ix0 AS (SELECT *, row_number() OVER ({part}ORDER BY {H(item)}, {item})-1 AS j, count(*) OVER ({part}) AS nn, {H(f"'{seed}'", *salt)} AS gs FROM {rel}),
+ix AS (SELECT *, {M('j')} AS mj FROM ix0),
+ks AS (SELECT {k} b, {M('s')} AS kk FROM (SELECT {k} b, {M('(gs+b)&4294967295')} AS s FROM (SELECT DISTINCT {k} gs FROM ix), range({B}) z(b))),
+pk AS (SELECT {pk} x.b, {M('xor(kk, mj)')}%nn AS pj FROM ix p JOIN ks x ON {on}),
 rs AS (SELECT {pk} p.b, {', '.join(f'sum({v}) AS {v}' for v in values)}, count(*) AS drawn FROM pk p JOIN ix x ON {on} AND x.j=p.pj GROUP BY ALL)"""
 
 
@@ -321,11 +329,14 @@ def group_results(s, d):
 
 
 @query("WITH " + q.TRIALS + f""", s1 AS (SELECT *, 1 AS one FROM st WHERE participant NOT LIKE 'D%'),
-  pp AS (SELECT participant, row_number() OVER (ORDER BY {H('participant')}, participant)-1 AS k, count(*) OVER () AS np FROM (SELECT DISTINCT participant FROM s1)),
-  ch AS (SELECT b, p.k AS slot, x.participant FROM pp p, range({B}) z(b), pp x WHERE x.k=({H("'0'", 'b::VARCHAR', 'p.k::VARCHAR')})%p.np),
-  ci AS (SELECT *, row_number() OVER (PARTITION BY participant, condition ORDER BY {H('clip')}, clip)-1 AS j, count(*) OVER (PARTITION BY participant, condition) AS nc
-    FROM (SELECT participant, condition, clip, active_s, error, passages, one FROM s1)),
-  dr AS (SELECT b, slot, participant, condition, ({H("'0'", 'b::VARCHAR', 'slot::VARCHAR', 'condition', 'j::VARCHAR')})%nc AS pj FROM ch JOIN ci USING (participant)),
+  pp AS (SELECT *, {M('k')} AS mk FROM (SELECT participant, row_number() OVER (ORDER BY {H('participant')}, participant)-1 AS k, count(*) OVER () AS np FROM (SELECT DISTINCT participant FROM s1))),
+  kp AS (SELECT b, {M('s')} AS kk FROM (SELECT b, {M(f"({H("'0'", "'people'")}+b)&4294967295")} AS s FROM range({B}) z(b))),
+  ch AS (SELECT c.b, c.slot, x.participant, c.b*x.np+c.slot AS aid FROM (SELECT b, p.k AS slot, {M('xor(kk, mk)')}%p.np AS pk FROM pp p, kp) c JOIN pp x ON x.k=c.pk),
+  ci AS (SELECT *, {M('j')} AS mj FROM (SELECT *, row_number() OVER (PARTITION BY participant, condition ORDER BY {H('clip')}, clip)-1 AS j, count(*) OVER (PARTITION BY participant, condition) AS nc
+    FROM (SELECT participant, condition, clip, active_s, error, passages, one FROM s1))),
+  cn AS (SELECT condition, {H("'0'", 'condition')} AS gs FROM (VALUES ('manual'), ('assisted')) v(condition)),
+  kd AS (SELECT b, slot, participant, condition, {M('s')} AS kk FROM (SELECT b, slot, participant, condition, {M('(gs+aid)&4294967295')} AS s FROM ch, cn)),
+  dr AS (SELECT b, slot, participant, condition, {M('xor(kk, mj)')}%nc AS pj FROM kd JOIN ci USING (participant, condition)),
   w AS (SELECT b, slot, {WIDE.replace('condition', 'dr.condition')} FROM dr JOIN ci c ON c.participant=dr.participant AND c.condition=dr.condition AND c.j=dr.pj GROUP BY 1,2),
   y AS (SELECT b, exp(avg(ln(ratio))) AS ratio, sum(ae)/nullif(sum(ap),0)-sum(me)/nullif(sum(mp),0) AS diff FROM w GROUP BY 1)
   SELECT {IV('ratio', 'time_ratio')}, {IV('diff', 'nmae_difference')} FROM y""")

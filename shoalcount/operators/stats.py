@@ -1,18 +1,21 @@
 """Bootstrap intervals, agreement and selection statistics.
 
-Resampling draws with a portable hash of (seed, ..., resample, slot), so any engine can replay
-it. Each clip row yields its own draws and meets the drawn clip in an equi join on a dense
-index; nothing is collected and no pair space is enumerated.
+Resampling draws with a portable integer mixer of (stream, resample, slot), so any engine can
+replay it. A group's values are packed into blocks of arrays by a dense index; a draw reads
+what it takes from an array, and only sums per (group, draw) travel. Each block of slots meets
+each block of values of its group, so a group of any size is many bounded pieces of work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalcount.functions.hashing import hash32, hash_bucket
+from shoalcount.functions.hashing import draw_keys, hash32, hash_bucket, mix32_array
 from shoalcount.operators.counting import ratio
 from shoalcount.operators.ordered import position
 from shoalcount.session import materialize
@@ -34,21 +37,81 @@ def numbered(rows: DataFrame, name: str, n: int, step: int = 100) -> DataFrame:
     return dealt.withColumn(name, F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + step - 1, F.lit(n - 1))))).drop("__first")
 
 
+#: Values in a block; resamples in one piece of work; cells (resample x slot) drawn at a time.
+BLOCK, DRAWS, CELLS = 1 << 18, 250, 1 << 18
+
+
+def packed(df: DataFrame, keys: Sequence[str], item: str, values: Sequence[str]) -> DataFrame:
+    """Blocks of a group's values as arrays: keys, n (of the group), block, values; stored."""
+    indexed = materialize(dense_index(df.select(*keys, item, *values), keys, item))
+    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    rows = F.sort_array(F.collect_list(F.struct("j", *values)))
+    blocks = indexed.groupBy(*keys, F.floor(F.col("j") / BLOCK).alias("block")).agg(rows.alias("rows"))  # at most BLOCK rows
+    arrays = [F.col(f"rows.{v}").alias(v) for v in values]
+    return materialize(blocks.join(sizes, list(keys)).select(*keys, "n", "block", *arrays))
+
+
+def _sums(keys: Sequence[str], values: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                b = whole.slice(i, 1)
+                n, block, slots_of, stream = (b.column(c)[0].as_py() for c in ("n", "block", "slots", "stream"))
+                arrays = [b.column(v)[0].values.to_numpy(zero_copy_only=False) for v in values]
+                draws = b.column("draws")[0].values.to_numpy()
+                held, taken = draw_keys(stream, draws), [np.zeros(len(draws), a.dtype) for a in arrays]
+                count = np.zeros(len(draws), np.int64)
+                for at in range(slots_of * BLOCK, min(n, (slots_of + 1) * BLOCK), CELLS):
+                    slots = mix32_array(np.arange(at, min(n, (slots_of + 1) * BLOCK, at + CELLS), dtype=np.int64).astype(np.uint32))
+                    step = max(1, CELLS // len(slots))
+                    for d in range(0, len(draws), step):
+                        pick = mix32_array(held[d : d + step, None] ^ slots[None, :])
+                        pick = pick % np.uint32(n) if n < 2**32 else pick.astype(np.int64)
+                        if n <= BLOCK:
+                            count[d : d + step] += len(slots)
+                            for out, a in zip(taken, arrays):
+                                out[d : d + step] += a[pick].sum(axis=1)
+                        else:
+                            who, what = np.nonzero((pick >= block * BLOCK) & (pick < block * BLOCK + len(arrays[0])))
+                            at_ = pick[who, what] - block * BLOCK
+                            count[d : d + step] += np.bincount(who, minlength=len(pick))
+                            for out, a in zip(taken, arrays):
+                                np.add.at(out, d + who, a[at_])
+                same = [b.column(k).take(pa.array(np.zeros(len(draws), np.int64))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(draws), *map(pa.array, taken), pa.array(count)], names=[*keys, "draw", *values, "drawn"])
+
+    return run
+
+
+def draw_sums(work: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Sums of ``values`` and rows ``drawn`` per (keys, draw).
+
+    ``work``: blocks of :func:`packed` with ``stream`` and ``draws`` (array of numbers); every
+    (keys, draw) must meet all blocks of its keys.
+    """
+    parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = work.withColumn("slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))))
+    pieces = pieces.repartition(parts, *keys, "block", "slots", F.col("draws")[0])
+    kinds = dict(work.dtypes)
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["draw bigint"] + [f"`{v}` {'double' if 'double' in kinds[v] else 'bigint'}" for v in values] + ["drawn bigint"])
+    arrays = [F.col(v).cast(f"array<{'double' if 'double' in kinds[v] else 'bigint'}>").alias(v) for v in values]
+    found = pieces.select(*keys, "n", "block", "slots", "stream", "draws", *arrays).mapInArrow(_sums(keys, values), schema)
+    return found.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values], F.sum("drawn").alias("drawn"))
+
+
 def resample(
     df: DataFrame, keys: Sequence[str], item: str, values: Sequence[str], resamples: int, seed: int, salt: Sequence[str] = ()
 ) -> DataFrame:
     """Sums of ``values`` per (keys, draw) over as many draws with replacement as the group has rows.
 
-    ``salt`` names columns that go into the hash, so groups draw differently.
+    ``salt`` names columns that go into the stream, so groups draw differently. Null values count as zero.
     """
     keys = list(keys)
-    indexed = materialize(dense_index(df.select(*keys, item, *values), keys, item))
-    sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    slots = indexed.select(*keys, "j").join(sizes, keys)
-    slots = numbered(slots, "draw", resamples)
-    pick = hash32(F.lit(seed), *[F.col(c) for c in salt], F.col("draw"), F.col("j")) % F.col("__n")
-    drawn = slots.select(*keys, "draw", pick.alias("j")).join(indexed, [*keys, "j"])
-    return drawn.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values], F.count(F.lit(1)).alias("drawn"))
+    blocks = packed(df.withColumns({v: F.coalesce(F.col(v), F.lit(0)) for v in values}), keys, item, values)
+    first = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(DRAWS)))
+    work = blocks.withColumn("stream", hash32(seed, *[F.col(c) for c in salt])).withColumn("first", first)
+    last = F.least(F.col("first") + DRAWS - 1, F.lit(resamples - 1))
+    return draw_sums(work.withColumn("draws", F.sequence(F.col("first").cast("bigint"), last.cast("bigint"))).drop("first"), keys, values)
 
 
 def interval(value: str, name: str, confidence: float = 0.95, digits: int = 9) -> list[Column]:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalcount.functions.hashing import hash32
+from shoalcount.functions.hashing import drawn, hash32
 from shoalcount.operators.counting import ratio
-from shoalcount.operators.stats import dense_index, interval, numbered, resample
+from shoalcount.operators.stats import DRAWS, dense_index, draw_sums, interval, numbered, packed, resample
 from shoalcount.session import materialize
 
 # The study's targets and names.
@@ -118,16 +118,17 @@ def group_intervals(trials: DataFrame, resamples: int, seed: int = 0) -> DataFra
     people = materialize(dense_index(t.select("g", "participant").distinct(), ["g"], "participant", "k"))
     size = people.groupBy("g").agg(F.count(F.lit(1)).alias("np"))
     slots = numbered(people.select("g", "k").join(size, "g"), "draw", resamples)
-    chosen = slots.select("g", "draw", F.col("k").alias("slot"), (hash32(F.lit(seed), F.col("draw"), F.col("k")) % F.col("np")).alias("k"))
-    chosen = chosen.join(people, ["g", "k"]).select("draw", "slot", "participant")
+    person = drawn(hash32(seed, "people"), F.col("draw").cast("bigint"), F.col("k"), F.col("np"))
+    asked = slots.select("g", (F.col("draw").cast("bigint") * F.col("np") + F.col("k")).alias("at"), F.floor(F.col("draw") / DRAWS).alias("bunch"), person.alias("k"))
+    # a person is drawn once a draw on average: a bunch of draws is a piece of work
+    chosen = asked.join(people, ["g", "k"]).groupBy("participant", "bunch").agg(F.sort_array(F.collect_list("at")).alias("draws"))
 
     keys = ["participant", "condition"]
-    clips = materialize(dense_index(t.select(*keys, "clip", *_SUMS), keys, "clip"))
-    sizes = clips.groupBy(*keys).agg(F.count(F.lit(1)).alias("nc"))
-    draws = chosen.join(clips.select(*keys, "j").join(sizes, keys), "participant")
-    pick = hash32(F.lit(seed), F.col("draw"), F.col("slot"), F.col("condition"), F.col("j")) % F.col("nc")
-    drawn = draws.select("draw", "slot", *keys, pick.alias("j")).join(clips, [*keys, "j"])
-    per = _wide(drawn, ["draw", "slot"])
+    blocks = packed(t, keys, "clip", _SUMS)
+    work = blocks.join(chosen.drop("bunch"), "participant").withColumn("stream", hash32(seed, F.col("condition")))
+    sums = draw_sums(work, keys, _SUMS).join(F.broadcast(size.select("np")))  # one row
+    sums = sums.withColumns({"slot": F.col("draw") % F.col("np"), "draw": F.floor(F.col("draw") / F.col("np"))})
+    per = _wide(sums, ["draw", "slot"])
     sample = per.groupBy("draw").agg(
         F.exp(F.avg(F.log(_time_ratio()))).alias("ratio"),
         (ratio(F.sum("assisted_error"), F.sum("assisted_passages")) - ratio(F.sum("manual_error"), F.sum("manual_passages"))).alias("diff"),
