@@ -149,3 +149,13 @@ mf AS (SELECT location, clip_name, official_split, CASE WHEN held THEN 'holdout'
 CELLS = """
 em AS (SELECT label AS clip_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS frame_index, embedding FROM embeddings),
 cells AS (SELECT clip_id, frame_index, i//8 AS y, i%8 AS x, greatest(least(128+floor(embedding[i+1]::DOUBLE*500),255),0)::INT AS value FROM em, range(64) z(i))"""
+
+
+def tree(leaves: str, keys: str, out: str) -> str:
+    """CTEs ending in ``out`` (keys, digest): the tree of hashes over relation ``leaves`` (keys, pos, digest)."""
+    node = "sha256(string_agg(c.pos||'='||digest, ',' ORDER BY c.pos)) AS digest"
+    parts, below = [], leaves
+    for i in range(3):
+        parts.append(f"{out}{i} AS (SELECT {keys}, up AS pos, {node} FROM (SELECT *, pos>>10 AS up FROM {below}) c GROUP BY {keys}, up)")
+        below = f"{out}{i}"
+    return ", ".join([*parts, f"{out} AS (SELECT {keys}, {node} FROM {below} c GROUP BY {keys})"])

@@ -95,8 +95,8 @@ def dataset_validation(s, d):
     UNION ALL SELECT 'b', clip_id, frame_index, x_min+CASE WHEN clip_id%7=0 AND frame_index%16=0 THEN 500 ELSE 0 END, y_min, x_max, y_max, score+CASE WHEN clip_id%5=0 THEN 0.02::DOUBLE ELSE 0 END FROM det WHERE NOT (clip_id%11=0 AND det_id%19=0)),
   r AS (SELECT host, clip_id, frame_index, round(x_min,2) AS a, round(y_min,2) AS b, round(x_max,2) AS c, round(y_max,2) AS e, round(score,2) AS f FROM two),
   fr AS (SELECT host, clip_id, frame_index, sha256(string_agg(concat_ws(':', a, b, c, e, f), ',' ORDER BY a, b, c, e, f)) AS h FROM r GROUP BY 1,2,3),
-  cl AS (SELECT host, clip_id, sha256(string_agg(frame_index||'='||h, ',' ORDER BY frame_index)) AS h FROM fr GROUP BY 1,2)
-  SELECT clip_id, count(DISTINCT h)=1 AND count(*)=2 AS identical FROM cl GROUP BY 1""")
+  lv AS (SELECT host, clip_id, frame_index AS pos, h AS digest FROM fr), """ + q.tree("lv", "host, clip_id", "cl") + """
+  SELECT clip_id, count(DISTINCT digest)=1 AND count(*)=2 AS identical FROM cl GROUP BY 1""")
 def host_parity(s, d):
     a = ad.detections(s, d)
     moved, lost = "if(clip_id % 7 = 0 and frame_index % 16 = 0, 500, 0)", "clip_id % 11 = 0 and det_id % 19 = 0"

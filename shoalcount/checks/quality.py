@@ -170,7 +170,7 @@ def detection_fingerprints(s, d):
     return fi.detection_digests(ad.detections(s, d), decimals=1)[0]
 
 
-@query(PRINTS + " SELECT clip_id, sha256(string_agg(frame_index||'='||sha256, ',' ORDER BY frame_index)) AS sha256 FROM fr GROUP BY 1")
+@query(PRINTS + ", lv AS (SELECT clip_id, frame_index AS pos, sha256 AS digest FROM fr), " + q.tree("lv", "clip_id", "rt") + " SELECT clip_id, digest AS sha256 FROM rt")
 def clip_fingerprints(s, d):
     return fi.detection_digests(ad.detections(s, d), decimals=1)[1]
 
@@ -339,8 +339,8 @@ def manifest_totals(s, d):
 
 
 @query("WITH " + q.MANIFEST + f""", h AS (SELECT location||'|'||clip_name AS k, sha256('{{"clip_name":"'||clip_name||'","location":"'||location||'","num_frames":'||num_frames||'}}') AS h FROM mf),
-  b AS (SELECT {q.hash32('k')}%(SELECT greatest(1, count(*)//1000) FROM h) AS b, k, h FROM h), p AS (SELECT b, sha256(string_agg(h, '' ORDER BY k)) AS h FROM b GROUP BY 1)
-  SELECT sha256(string_agg(h, '' ORDER BY b)) AS content_sha256, (SELECT count(*) FROM h) AS rows FROM p""")
+  n AS (SELECT k, h, count(*) AS n FROM h GROUP BY 1,2), lv AS (SELECT 0 AS t, {q.hash32('k')}>>2 AS pos, sha256(string_agg(h||':'||n, ',' ORDER BY k, h)) AS digest FROM n GROUP BY 1,2),
+  {q.tree('lv', 't', 'rt')} SELECT digest AS content_sha256, (SELECT count(*) FROM h) AS rows FROM rt""")
 def manifest_content_hash(s, d):
     return mf.content_hash(ad.manifest(s, d).select("location", "clip_name", "num_frames"), ["location", "clip_name"])
 

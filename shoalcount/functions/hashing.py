@@ -20,9 +20,16 @@ MIXER = 0x45D9F3B
 
 def mix32(x: Column) -> Column:
     """A well-mixed 32-bit number from a whole number of 0 to 2^32 - 1; products stay below 2^63."""
-    for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MIXER)).bitwiseAND(F.lit(2**32 - 1))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+
+    def step(x: Column) -> Column:
+        return (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(MIXER)).bitwiseAND(F.lit(2**32 - 1))
+
+    return _named(_named(_named(x, step), step), lambda v: v.bitwiseXOR(F.shiftright(v, 16)))
+
+
+def _named(x: Column, fn) -> Column:
+    """fn(x), with x written once however often fn uses it."""
+    return F.element_at(F.transform(F.array(x), fn), 1)
 
 
 def mix32_array(x: np.ndarray) -> np.ndarray:

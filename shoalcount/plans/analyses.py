@@ -27,6 +27,7 @@ from shoalcount.operators import stats as st
 from shoalcount.operators import tracking as tk
 from shoalcount.operators import usability as us
 from shoalcount.plans import experiments as ex
+from shoalcount.operators.quantiles import quantiles
 from shoalcount.session import materialize
 from shoalcount.sources import files as fi
 
@@ -250,9 +251,8 @@ def host_parity(a: DataFrame, b: DataFrame, max_px: float = 5.0) -> Tables:
     same = digest(a, "a").join(digest(b, "b"), "clip_id", "full").select("clip_id", F.col("a").eqNullSafe(F.col("b")).alias("identical"))
     m = materialize(mt.match_hosts(a, b, max_px))
     diffs = m.groupBy("clip_id").agg(
-        F.count(F.lit(1)).alias("matched"), F.percentile("score_difference", F.lit(0.5)).alias("score_median"),
-        F.max("score_difference").alias("score_max"), F.max("distance").alias("box_max_px"),
-    )
+        F.count(F.lit(1)).alias("matched"), F.max("score_difference").alias("score_max"), F.max("distance").alias("box_max_px")
+    ).join(quantiles(m, ["clip_id"], "score_difference", {"score_median": 0.5}), "clip_id")
     left = a.join(m.select(*frames, F.col("a_det_id").alias("det_id")), [*frames, "det_id"], "left_anti").select("clip_id", "score")
     right = b.join(m.select(*frames, F.col("b_det_id").alias("det_id")), [*frames, "det_id"], "left_anti").select("clip_id", "score")
     return {"fingerprints": same, "differences": diffs, "unmatched": left.unionByName(right)}

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalcount.operators.merkle import ordered_digest
+
 
 def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(path, size, content) of every file below ``root``."""
@@ -97,15 +99,14 @@ def detection_digests(rows: DataFrame, decimals: int | None = None) -> tuple[Dat
     """SHA-256 per frame (clip_id, frame_index) and per clip over boxes and scores, exact or rounded.
 
     A frame's detections are taken in the order of their values, so their numbering does not
-    matter; a clip's digest is the hash of its frames' numbers and digests in order.
+    matter; a clip's digest is the root of a tree of hashes over its frames in order.
     """
     v = {c: F.col(c) if decimals is None else F.round(c, decimals) for c in (*_BOX, "score")}
     entries = F.array_sort(F.collect_list(F.struct(*[x.alias(c) for c, x in v.items()])))  # one frame's detections
     text = F.array_join(F.transform(entries, lambda e: F.concat_ws(":", *[e[c].cast("string") for c in v])), ",")
     frames = rows.groupBy("clip_id", "frame_index").agg(F.sha2(text, 256).alias("sha256"))
-    lines = F.array_sort(F.collect_list(F.struct("frame_index", "sha256")))  # one recording's frames
-    joined = F.array_join(F.transform(lines, lambda e: F.concat_ws("=", e["frame_index"].cast("string"), e["sha256"])), ",")
-    return frames, frames.groupBy("clip_id").agg(F.sha2(joined, 256).alias("sha256"))
+    leaves = frames.select("clip_id", F.col("frame_index").alias("at"), F.col("sha256").alias("digest"))
+    return frames, ordered_digest(leaves, ["clip_id"]).withColumnRenamed("digest", "sha256")
 
 
 _BOX = ("x_min", "y_min", "x_max", "y_max")

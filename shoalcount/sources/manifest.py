@@ -8,10 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalcount.functions.hashing import hash32
+from shoalcount.operators.merkle import table_digest
 
 VERSION = re.compile(r"^[a-z0-9.]+-v\d+$")
-ROWS_PER_BLOCK = 1000
 
 
 class ManifestVersionError(ValueError):
@@ -19,20 +18,8 @@ class ManifestVersionError(ValueError):
 
 
 def content_hash(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row with the SHA-256 of the table's content.
-
-    Rows are hashed one by one, gathered into evenly hashed blocks of about a thousand row
-    hashes, and the block hashes are hashed in order; no task sees more than one block or the
-    list of block hashes.
-    """
-    n = rows.count()
-    blocks = max(1, n // ROWS_PER_BLOCK)
-    text = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
-    hashed = rows.select(F.concat_ws("|", *key).alias("k"), F.sha2(text, 256).alias("h"))
-    hashed = hashed.withColumn("b", hash32(F.col("k")) % blocks)
-    joined = lambda sort, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(sort, value))), lambda x: x[value]), "")
-    per = hashed.groupBy("b").agg(F.sha2(joined("k", "h"), 256).alias("h"))
-    return per.agg(F.sha2(joined("b", "h"), 256).alias("content_sha256"), F.lit(n).alias("rows"))
+    """One row with the SHA-256 of the table's content (a tree of hashes) and its number of rows."""
+    return table_digest(rows, F.concat_ws("|", *key))
 
 
 def totals(rows: DataFrame) -> DataFrame:

@@ -139,9 +139,30 @@ def last_heartbeats(heartbeats: DataFrame, worker: str, at: str) -> DataFrame:
 
 def monitoring_series(detections: DataFrame, at: str, value: str, period: str, *group: str) -> DataFrame:
     """Count, mean and median of a model output per period and group."""
-    return detections.groupBy(F.window(at, period), *group).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median")
-    )
+    rows = detections.withColumn("window", F.window(at, period))
+    keys = ["window", *group]
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    medians = quantiles(rows, keys, value, {"median": 0.5})
+    return counted.join(medians, keys, "left").withColumn("median", F.round("median", 6))
+
+
+def share_series(rows: DataFrame, at: str, period: str, share: Column, *group: str) -> DataFrame:
+    """Rows per period and group and the share of them for which ``share`` holds (unresolved reviews, say)."""
+    held = F.avg(F.coalesce(share, F.lit(False)).cast("double"))
+    return rows.groupBy(F.window(at, period), *group).agg(F.count(F.lit(1)).alias("n"), F.round(held, 6).alias("share"))
+
+
+def gap_series(rows: DataFrame, keys: list[str], at: str, period: str) -> DataFrame:
+    """Per period the number of gaps between consecutive rows of a key, with median and 95th percentile in seconds.
+
+    A gap belongs to the period in which it ends.
+    """
+    stamp = F.unix_micros(at)
+    ends = previous(rows.select(*keys, at), keys, F.floor(stamp / 86_400_000_000), [F.col(at)], [at])
+    gaps = ends.where(F.col(f"prev_{at}").isNotNull()).select(F.window(at, period).alias("window"), ((stamp - F.unix_micros(f"prev_{at}")) / 1e6).alias("gap_s"))
+    counted = gaps.groupBy("window").agg(F.count(F.lit(1)).alias("gaps"))
+    spread = quantiles(gaps, ["window"], "gap_s", {"median_s": 0.5, "p95_s": 0.95})
+    return counted.join(spread, "window").withColumns({c: F.round(c, 6) for c in ("median_s", "p95_s")})
 
 
 def drift(series: DataFrame, baseline: DataFrame, *group: str) -> DataFrame:
