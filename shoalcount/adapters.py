@@ -95,6 +95,12 @@ def reference_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(_reference(sightings(spark, sf_dir)))
 
 
+@_view
+def timed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated boxes with the time of their frame."""
+    return _boxes(_reference(sightings(spark, sf_dir)), F.col("ts").cast("timestamp").alias("ts"))
+
+
 @_view
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = _reference(sightings(spark, sf_dir))

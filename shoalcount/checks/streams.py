@@ -55,14 +55,51 @@ def stream_failure_windows(s, d):
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "failures", "mean_value")
 
 
-@query("""WITH p AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-  g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM p)
-  SELECT user_id, strftime(min(ts),'%Y-%m-%d %H:%M:%S') AS start, count(*) AS observations, round(arg_max(value, ts)-arg_min(value, ts),6) AS displacement FROM g GROUP BY user_id, g
-  HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def staged_in_order(s, df, at, cuts, name):
+    """A batch table written out slice by slice of time and opened as a stream of one batch per file."""
+    path = scratch_dir(s, name)
+    for low, high in zip((None, *cuts), (*cuts, None)):
+        part = df if low is None else df.where(F.col(at) >= low)
+        part = part if high is None else part.where(F.col(at) < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("WITH " + q.REF + """, ts0 AS (SELECT s.*, e.ts FROM sight s JOIN events e USING (event_id)), rt0 AS (SELECT s.*, 200 + (track_id*37)%240 + ((track_id*13+clip_id*7)%41-20)*frame_index + event_id%3 - 1 AS x, (track_id*53)%440 AS y FROM ts0 s),
+  p AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n FROM rt0 WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY frame_index)),
+  g AS (SELECT *, sum(n) OVER (PARTITION BY clip_id, track_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS g FROM p),
+  e AS (SELECT clip_id, track_id, min(ts) AS t0, max(ts) AS t1, count(*) AS observations, min(frame_index) AS start_frame, max(frame_index) AS end_frame,
+    (arg_min(x, frame_index)+15)/640.0::DOUBLE AS u0, (arg_max(x, frame_index)+15)/640.0::DOUBLE AS u1, (arg_min(y, frame_index)+10)/480.0::DOUBLE AS v0, (arg_max(y, frame_index)+10)/480.0::DOUBLE AS v1 FROM g GROUP BY clip_id, track_id, g),
+  d AS (SELECT *, sqrt((u1-u0)*(u1-u0)+(v1-v0)*(v1-v0)) AS dd FROM e WHERE t1 + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events))
+  SELECT clip_id, track_id, strftime(t0,'%Y-%m-%d %H:%M:%S') AS start, observations, start_frame, end_frame, round(dd,9) AS displacement,
+   CASE WHEN dd<0.05 THEN 'stationary' WHEN (u0<0.5 AND u1>=0.5) OR (u1<0.5 AND u0>=0.5) THEN 'passage' ELSE 'no_crossing' END AS outcome,
+   CASE WHEN dd<0.05 THEN NULL WHEN u0<0.5 AND u1>=0.5 THEN 'right' WHEN u1<0.5 AND u0>=0.5 THEN 'left' END AS direction FROM d""")
 def stream_completed_tracks(s, d):
-    moved = F.round(F.max_by("value", "ts") - F.min_by("value", "ts"), 6).alias("displacement")
-    out = sj.run_available(sj.completed_sessions(event_stream(s, d), ["user_id"], "ts", "12 hours", "1 hour", moved))
-    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "observations", "displacement")
+    """Objects seen on and off: a track ends after twelve hours without a box. Three batches in order of time."""
+    boxes = ad.timed_boxes(s, d)
+    ends = boxes.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    cuts = [ends["a"] + (ends["b"] - ends["a"]) * i / 3 for i in (1, 2)]
+    stream = staged_in_order(s, boxes, "ts", cuts, "boxes")
+    out = sj.run_available(sj.completed_tracks(stream, ["clip_id", "track_id"], "ts", "12 hours", "1 hour", ad.WIDTH, ad.HEIGHT))
+    return out.select(
+        "clip_id", "track_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "observations", "start_frame", "end_frame",
+        F.round("displacement", 9).alias("displacement"), "outcome", "direction",
+    )
+
+
+@query("""WITH x AS (SELECT event_type, date_trunc('day', ts) AS day, user_id%5=0 AS un FROM events)
+  SELECT event_type, strftime(day,'%Y-%m-%d') AS day, count(*) AS n, round(avg(un::INT::DOUBLE),6) AS share FROM x GROUP BY 1,2""")
+def unresolved_share_series(s, d):
+    e = ad.table(s, d, "events").select("event_type", (F.col("user_id") % 5 == 0).alias("unresolved"), F.col("ts").cast("timestamp").alias("ts"))
+    out = sj.share_series(e, "ts", "1 day", F.col("unresolved"), "event_type")
+    return out.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "share")
+
+
+@query("""WITH p AS (SELECT ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), x AS (SELECT date_trunc('day', ts) AS day, epoch_us(ts)-epoch_us(b) AS us FROM p WHERE b IS NOT NULL)
+  SELECT strftime(day,'%Y-%m-%d') AS day, count(*) AS gaps, round(quantile_cont(us/1e6::DOUBLE, 0.5::DOUBLE),6) AS median_s, round(quantile_cont(us/1e6::DOUBLE, 0.95::DOUBLE),6) AS p95_s FROM x GROUP BY 1""")
+def gap_series(s, d):
+    e = ad.table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return sj.gap_series(e, ["user_id"], "ts", "1 day").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "gaps", "median_s", "p95_s")
 
 
 @query("SELECT DISTINCT user_id AS idempotency_key FROM events")

@@ -1,7 +1,8 @@
 """Structured Streaming versions of the event-log operators.
 
-Results go to files, never to the driver; checkpoints live beside them. Given the same events
-in the same order, every job here gives what its batch twin gives.
+Results go to files, never to the driver; checkpoints live beside them. What a job leaves out
+that its batch twin has (tracks still under way, the tracker's rule on short tracks) is said
+where it is.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shoalcount.functions import geometry as g
 from shoalcount.operators import tracking as tk
+from shoalcount.operators.counting import DEFAULT_POLICY, CountingPolicy, apply_rule
 from shoalcount.operators.ops import windowed_rates
+from shoalcount.operators.ordered import previous
+from shoalcount.operators.quantiles import quantiles
 from shoalcount.operators.reviews import VERDICT_SCHEMA, step
 from shoalcount.session import scratch_dir
 
@@ -123,6 +127,24 @@ def completed_sessions(events: DataFrame, keys: list[str], at: str, gap: str, de
     return out.select("*", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop")).drop("session_window")
 
 
+def completed_tracks(
+    boxes: DataFrame, keys: list[str], at: str, gap: str, delay: str, width: float, height: float, policy: CountingPolicy = DEFAULT_POLICY
+) -> DataFrame:
+    """Tracks that ended, with the counting rule applied to their first and last box.
+
+    ``boxes``: keys, ``at`` (time of the frame), frame_index and box, in any number of batches. A
+    track ends when none of its boxes came for ``gap``; it is given out once the watermark has
+    passed that end, and only then counted. State per open track: its two end boxes.
+    """
+    u, v = g.normalized_center(g.box(), F.lit(float(width)), F.lit(float(height)))
+    centre = F.struct(u.alias("u"), v.alias("v"))
+    ends = completed_sessions(
+        boxes, keys, at, gap, delay, F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"),
+        F.min_by(centre, "frame_index").alias("__a"), F.max_by(centre, "frame_index").alias("__b"),
+    )
+    return apply_rule(ends, policy)
+
+
 def failure_windows(events: DataFrame, at: str, failed: Column, value: Column, length: str, slide: str, delay: str) -> DataFrame:
     return windowed_rates(events.withWatermark(at, delay), at, failed, value, length, slide)
 
