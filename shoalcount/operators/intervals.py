@@ -17,27 +17,6 @@ def _bins(lo: Column, hi: Column) -> Column:
     return F.sequence(F.floor(lo / BIN), F.floor(hi / BIN))
 
 
-def nearby_pairs(tracks: DataFrame, others: DataFrame, gap: int, key: str = "clip_id") -> DataFrame:
-    """(clip, track_id, other_id): another track overlapping, or at most ``gap`` frames away.
-
-    Both sides are cut into bins of frames and joined on (clip, bin), so a recording is spread
-    over its bins; a pair is kept in the first bin it shares.
-    """
-    a = tracks.select(key, "track_id", "start_frame", "end_frame")
-    a = a.withColumn("__bin", F.explode(_bins(F.col("start_frame"), F.col("end_frame"))))
-    b = others.select(
-        key, F.col("track_id").alias("other_id"), (F.col("start_frame") - gap).alias("__lo"), (F.col("end_frame") + gap).alias("__hi")
-    )
-    b = b.withColumn("__bin", F.explode(_bins(F.col("__lo"), F.col("__hi"))))
-    pairs = a.join(b, [key, "__bin"]).where(
-        (F.col("track_id") != F.col("other_id"))
-        & (F.col("__lo") <= F.col("end_frame"))
-        & (F.col("start_frame") <= F.col("__hi"))
-        & (F.col("__bin") == F.floor(F.greatest("start_frame", "__lo") / BIN))
-    )
-    return pairs.select(key, "track_id", "other_id")
-
-
 def nearby_counts(probes: DataFrame, others: DataFrame, gap: int, own: Column, name: str = "nearby", key: str = "clip_id") -> DataFrame:
     """``probes`` with the number of ``others`` that overlap them or come within ``gap`` frames.
 
@@ -57,6 +36,28 @@ def nearby_counts(probes: DataFrame, others: DataFrame, gap: int, own: Column, n
     return done.withColumn(name, count.cast("bigint")).select(*probes.columns, name)
 
 
+def sums_below(points: DataFrame, probes: DataFrame, key: str) -> DataFrame:
+    """(key, probe, total): the weight of a probe's points that lie below ``y`` and came no later than ``at``.
+
+    ``points``: key, x (not negative), at, weight; ``probes``: key, probe, y, at. A sweep along ``at``
+    over blocks of x: [0, y) is one block for every bit set in y, a point lies in one block a
+    level, so both become a few rows each and every block is a running sum. No pairs are formed,
+    and a key of any size is spread over its blocks and stretches of ``at``.
+    """
+    reach = points.agg(F.max("x").alias("x")).crossJoin(probes.agg(F.max("y").alias("y"))).select(F.greatest("x", "y", F.lit(0)).alias("m")).first()["m"]
+    levels = [F.lit(i).alias("level") for i in range(int(reach or 0).bit_length())] or [F.lit(0).alias("level")]
+    # only even blocks are ever asked for: the odd ones are what a larger block holds
+    held = F.filter(F.array(*[F.struct(lv, F.shiftright("x", i).alias("block")) for i, lv in enumerate(levels)]), lambda b: b["block"] % 2 == 0)
+    bit = lambda i: F.shiftright("y", i).bitwiseAND(F.lit(1)) == 1
+    asked = F.array(*[F.when((F.col("y") > 0) & bit(i), F.struct(lv, (F.shiftright("y", i + 1) * 2).cast("bigint").alias("block"))) for i, lv in enumerate(levels)])
+    p = points.withColumn("b", F.explode(held)).select(key, "b.level", F.col("b.block").cast("bigint").alias("block"), "at", "weight", F.lit(None).cast("bigint").alias("probe"))
+    q = probes.withColumn("b", F.explode(F.filter(asked, lambda b: b.isNotNull()))).select(key, "b.level", "b.block", "at", F.lit(0).cast("bigint").alias("weight"), "probe")
+    both = materialize(p.unionByName(q))
+    order = [F.col("at"), F.col("probe").isNotNull()]
+    walked = running(both, [key, "level", "block"], F.floor(F.col("at") / 1024), order, F.col("weight"), "__sum")
+    return walked.where("probe is not null").groupBy(key, "probe").agg(F.sum("__sum").alias("total"))
+
+
 def has_nearby(probes: DataFrame, others: DataFrame, gap: int, keys: Sequence[str] = ("clip_id",)) -> DataFrame:
     """``probes`` with a flag ``nearby``: does any of ``others`` come within ``gap`` frames?
 

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalcount.operators.counting import ratio, river_direction
-from shoalcount.operators.intervals import nearby_pairs
-from shoalcount.operators.ordered import previous
+from shoalcount.operators.intervals import sums_below
+from shoalcount.operators.ordered import previous, running
 from shoalcount.operators.settlement import ONLY_REJECTED, STALE, UNKNOWN_JOB, UNKNOWN_PASSAGE, settle
+from shoalcount.session import materialize
 
 PAYLOAD = "action string, track_id bigint, passage_id string, direction string, frame_index bigint, audit_window int, reason string"
 ACTIONS = ("accept", "reject", "set_direction", "mark_unresolved", "add_passage", "mark_audited")
@@ -208,23 +209,40 @@ def decision_history(accepted: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def replay(accepted: DataFrame, tracks: DataFrame, gap: int = 10) -> DataFrame:
-    """The "count" decisions with the counted tracks near them at their base revision.
+    """The "count" decisions with the number of counted tracks near them at their base revision.
 
-    A count decision sets a direction on a track the automatic result did not count.
+    A count decision sets a direction on a track the automatic result did not count. Every
+    stretch of revisions over which a track counts is one more at its first and one less after
+    its last; near are those that begin by the end of the decision's track, less those that end
+    before it begins, less the track itself.
     """
-    uncounted = tracks.where("direction is null").select("job_id", "track_id")
-    asked = accepted.where("action = 'set_direction' and passage_id is null").join(uncounted, ["job_id", "track_id"])
-    asked = asked.select("job_id", "event_id", "base_revision", "track_id", "direction")
-    keyed = tracks.withColumnRenamed("job_id", "clip_id")
-    targets = asked.select("job_id", "track_id").distinct()
-    near = nearby_pairs(keyed.join(targets.withColumnRenamed("job_id", "clip_id"), ["clip_id", "track_id"], "left_semi"), keyed, gap)
-    near = near.withColumnRenamed("clip_id", "job_id")
-    spans = decision_history(accepted, tracks).withColumnRenamed("track_id", "other_id")
-    hits = asked.join(near, ["job_id", "track_id"]).join(spans, ["job_id", "other_id"]).where(
-        (F.col("from_revision") <= F.col("base_revision")) & (F.col("base_revision") < F.col("to_revision"))
+    spans = materialize(decision_history(accepted, tracks))
+    frames = tracks.select("job_id", "track_id", "start_frame", "end_frame")
+    uncounted = tracks.where("direction is null").select("job_id", "track_id", "start_frame", "end_frame")
+    asked = materialize(
+        accepted.where("action = 'set_direction' and passage_id is null").join(uncounted, ["job_id", "track_id"])
+        .select("job_id", "event_id", "base_revision", "track_id", "direction", "start_frame", "end_frame")
+    )
+    one = F.lit(1).cast("bigint")
+    moves = spans.select("job_id", "track_id", F.col("from_revision").alias("at"), one.alias("weight")).unionByName(
+        spans.where(F.col("to_revision") < 2**62).select("job_id", "track_id", F.col("to_revision").alias("at"), (-one).alias("weight"))
     )
-    n = hits.groupBy("job_id", "event_id").agg(F.count(F.lit(1)).alias("counted_nearby"))
-    return asked.join(n, ["job_id", "event_id"], "left").fillna(0, ["counted_nearby"])
+    placed = moves.join(frames, ["job_id", "track_id"])
+
+    def below(x: str, y: Column) -> DataFrame:
+        points = placed.select("job_id", F.col(x).cast("bigint").alias("x"), "at", "weight")
+        probes = asked.select("job_id", F.col("event_id").alias("probe"), y.cast("bigint").alias("y"), F.col("base_revision").alias("at"))
+        return sums_below(points, probes, "job_id").withColumnRenamed("probe", "event_id").withColumnRenamed("total", f"by_{x}")
+
+    own = moves.select("job_id", "track_id", "at", "weight", F.lit(None).cast("bigint").alias("event_id")).unionByName(
+        asked.select("job_id", "track_id", F.col("base_revision").alias("at"), (one * 0).alias("weight"), "event_id")
+    )
+    own = running(materialize(own), ["job_id", "track_id"], F.floor(F.col("at") / 1024), [F.col("at"), F.col("event_id").isNotNull()], F.col("weight"), "own")
+    out = asked.join(below("start_frame", F.col("end_frame") + gap + 1), ["job_id", "event_id"], "left")
+    out = out.join(below("end_frame", F.col("start_frame") - gap), ["job_id", "event_id"], "left")
+    out = out.join(own.where("event_id is not null").select("job_id", "event_id", "own"), ["job_id", "event_id"])
+    near = F.coalesce("by_start_frame", F.lit(0)) - F.coalesce("by_end_frame", F.lit(0)) - F.col("own")
+    return out.select("job_id", "event_id", "base_revision", "track_id", "direction", near.alias("counted_nearby"))
 
 
 def replay_coverage(decisions: DataFrame, rate: DataFrame, groups: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Review log semantics, batch and stream."""
 
+import random
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from shoalcount.operators import intervals as iv
 from shoalcount.operators import reviews as rv
 from shoalcount.streaming import jobs as sj
 
@@ -68,6 +70,18 @@ def test_replay_uses_the_state_at_the_base_revision(spark):
     assert got == {4: 1, 13: 0}  # track 1 counts at revision 2, is unresolved at revision 6
 
 
+def test_sums_below_equal_all_pairs(spark):
+    rng = random.Random(6)
+    points = [(rng.randrange(3), rng.randrange(300), rng.randrange(40), rng.choice([1, -1])) for _ in range(400)]
+    probes = [(rng.randrange(4), i, rng.randrange(-20, 400), rng.randrange(45)) for i in range(150)]
+    got = iv.sums_below(
+        spark.createDataFrame(points, "k long, x long, at long, weight long"), spark.createDataFrame(probes, "k long, probe long, y long, at long"), "k"
+    )
+    got = {r["probe"]: r["total"] for r in got.collect()}
+    for k, i, y, at in probes:
+        assert got.get(i, 0) == sum(w for pk, x, pat, w in points if pk == k and x < y and pat <= at)
+
+
 def test_stream_equals_batch_across_batches(spark, tmp_path):
     events, tracks, jobs = tables(spark)
     prepared = rv.prepare(events, tracks, jobs)
