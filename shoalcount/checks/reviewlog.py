@@ -10,7 +10,7 @@ from shoalcount.functions import labels as fl
 from shoalcount.operators import counting as ct
 from shoalcount.operators import intervals as iv
 from shoalcount.operators import reviews as rv
-from shoalcount.session import materialize
+from shoalcount.session import materialize, scratch_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -176,21 +176,76 @@ def report_header(s, d):
     return rv.report_header(rv.reviewed_counts(outcomes, added), ct.tally(ad.job_tracks(s, d), ["job_id"]), upstream())
 
 
-@query(COUNTS + """, h AS (SELECT job_id, count(*) AS events, max(resulting_revision) AS rev FROM acc GROUP BY 1), p AS (SELECT job_id, count(*) AS n FROM ps GROUP BY 1)
-  SELECT job_id, "right"+"left" AS passages, tracks, coalesce(n,0) AS added, events FROM rc JOIN rjobs USING (job_id) LEFT JOIN h USING (job_id) LEFT JOIN p USING (job_id)""")
-def job_reports(s, d):
-    """Nested reports, written as JSON and read back: totals per document."""
-    acc, outcomes, added = state(s, d)
-    docs = rv.job_reports(ad.review_jobs(s, d).select("job_id", "num_frames"), outcomes, added, acc, rv.reviewed_counts(outcomes, added))
-    parsed = docs.select(
-        "job_id",
-        F.from_json("report", "counts struct<`right`:bigint,`left`:bigint>, tracks array<struct<track_id:bigint>>, added_passages array<struct<passage_id:string>>, review_events array<struct<event_id:bigint>>").alias("r"),
+REPORT_AT = 25
+
+
+def report_headers(s, d):
+    j = ad.review_jobs(s, d)
+    return j.select(
+        "job_id", upstream().alias("upstream"), F.struct(F.col("job_id").alias("clip_id"), "num_frames", F.lit(10.0).alias("framerate")).alias("recording"),
+        F.struct(upstream().alias("upstream_direction")).alias("counting"), F.struct(F.concat(F.lit("v"), (F.col("job_id") % 3).cast("string")).alias("pipeline_version")).alias("pipeline"),
+        F.struct("job_id").alias("job"),
     )
-    size = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0))
-    return parsed.select(
-        "job_id", (F.col("r.counts.right") + F.col("r.counts.left")).alias("passages"), size("r.tracks").alias("tracks"),
-        F.when(F.col("r.added_passages").isNull(), 0).otherwise(F.size("r.added_passages")).alias("added"), F.size("r.review_events").alias("events"),
+
+
+def sections_at(s, d, revision):
+    acc, tracks = materialize(rv.as_of(accepted(s, d), F.lit(revision))), ad.job_tracks(s, d)
+    outcomes, added = materialize(rv.track_outcomes(tracks, rv.track_decisions(acc, tracks))), materialize(rv.passages(acc))
+    windows = ad.review_jobs(s, d).selectExpr("job_id", "explode(sequence(0, audit_windows - 1)) as audit_window").selectExpr(
+        "job_id", "audit_window", "audit_window * 60 as start_frame", "audit_window * 60 + 15 as stop_frame"
     )
+    audit = materialize(rv.audit_windows_view(windows, rv.audits(acc), added))
+    totals = rv.audit_totals(audit, ad.review_jobs(s, d).select("job_id", "unflagged_frames"))
+    return rv.report_sections(report_headers(s, d), ct.tally(tracks, ["job_id"]), outcomes, added, audit, totals, acc)
+
+
+def J(**fields):
+    """A JSON object in SQL from texts, numbers and nulls as Spark writes them."""
+    def part(k, c):
+        kind, col = c
+        value = f"'\"'||{col}||'\"'" if kind == "s" else f"({col})::VARCHAR"
+        return f"'\"{k}\":'||coalesce({value}, 'null')"
+    return "'{'||" + "||','||".join(part(k, c) for k, c in fields.items()) + "||'}'"
+
+
+_TRACK = J(track_id=("n", "track_id"), start_frame=("n", "start_frame"), end_frame=("n", "end_frame"), start_time_s=("n", "start_frame/10.0::DOUBLE"), end_time_s=("n", "end_frame/10.0::DOUBLE"),
+  automatic_direction=("s", "direction"), review_state=("s", "review_state"), final_direction=("s", "final_direction"), final_river_direction=("s", RIV("final_direction")))
+_SIDES = lambda r, l: dict(right=("n", r), left=("n", l), upstream=("n", f"CASE up WHEN 'right' THEN {r} WHEN 'left' THEN {l} END"),  # noqa: E731, E741
+  downstream=("n", f"CASE up WHEN 'right' THEN {l} WHEN 'left' THEN {r} END"), net_upstream=("n", f"CASE up WHEN 'right' THEN {r}-{l} WHEN 'left' THEN {l}-{r} END"))
+_REST = dict(tracks=("n", "tracks"), reviewed_tracks=("n", "reviewed_tracks"), unresolved=("n", "unresolved"), added_passages=("n", "added_passages"))
+_EVENT = "'{'||concat_ws(',', '\"event_id\":'||event_id, '\"base_revision\":'||base_revision, '\"resulting_revision\":'||resulting_revision, '\"action\":\"'||action||'\"', '\"track_id\":'||track_id, '\"passage_id\":\"'||passage_id||'\"', '\"direction\":\"'||direction||'\"', '\"frame_index\":'||frame_index, '\"audit_window\":'||audit_window)||'}'"
+
+
+@query(COUNTS.replace("WHERE accepted)", f"WHERE accepted AND resulting_revision<={REPORT_AT})") + WIN + f""",
+  au AS (SELECT job_id, count(*) FILTER (direction='right') AS ar, count(*) FILTER (direction='left') AS al FROM jt GROUP BY 1),
+  lt AS (SELECT job_id, coalesce(max(resulting_revision), 0) AS r FROM rjobs LEFT JOIN acc USING (job_id) GROUP BY 1),
+  vw AS (SELECT *, {UP} AS up FROM rjobs JOIN lt USING (job_id) JOIN rc USING (job_id) JOIN au USING (job_id)),
+  jo AS (SELECT oc.* FROM oc JOIN rjobs USING (job_id)),
+  at0 AS (SELECT job_id, count(*) FILTER (state='checked') AS wc, coalesce(sum(stop_frame-start_frame) FILTER (state='checked'),0) AS cf, sum(passages_added) AS pa, any_value(unflagged_frames) AS uf FROM av JOIN rjobs USING (job_id) GROUP BY 1)
+  SELECT job_id, 'recording' AS section, 0 AS place, '' AS label, {J(clip_id=('n', 'job_id'), num_frames=('n', '300'), framerate=('n', "'10.0'"))} AS body FROM rjobs
+  UNION ALL SELECT job_id, 'counting', 0, '', {J(upstream_direction=('s', UP))} FROM rjobs
+  UNION ALL SELECT job_id, 'pipeline', 0, '', {J(pipeline_version=('s', "'v'||(job_id%3)"))} FROM rjobs
+  UNION ALL SELECT job_id, 'job', 0, '', {J(job_id=('n', 'job_id'))} FROM rjobs
+  UNION ALL SELECT job_id, 'revision', 0, '', r::VARCHAR FROM lt
+  UNION ALL SELECT job_id, 'revision_kind', 0, '', CASE WHEN r=0 THEN '"automatic"' ELSE '"reviewed"' END FROM lt
+  UNION ALL SELECT job_id, 'counts', 0, '', '{{"automatic":'||{J(**_SIDES('ar', 'al'))}||',"reviewed":'||CASE WHEN r=0 THEN 'null' ELSE {J(**_SIDES('"right"', '"left"'), **_REST)} END||'}}' FROM vw
+  UNION ALL SELECT job_id, 'unresolved', track_id, '', {_TRACK} FROM jo WHERE review_state='unresolved'
+  UNION ALL SELECT job_id, 'tracks', track_id, '', {_TRACK} FROM jo
+  UNION ALL SELECT job_id, 'added_passages', 0, passage_id, {J(passage_id=('s', 'passage_id'), state=('s', 'state'), direction=('s', 'direction'), river_direction=('s', RIV('direction')), frame_index=('n', 'frame_index'), time_s=('n', 'frame_index/10.0::DOUBLE'))} FROM ps JOIN rjobs USING (job_id)
+  UNION ALL SELECT job_id, 'audit', 0, '', {J(windows_checked=('n', 'wc'), checked_frames=('n', 'cf'), passages_added_in_audits=('n', 'pa'), unflagged_frames=('n', 'uf'), checked_fraction_of_unflagged=('n', 'round(cf::DOUBLE/uf,9)'))} FROM at0
+  UNION ALL SELECT job_id, 'audit_windows', audit_window, '', {J(audit_window=('n', 'audit_window'), start_frame=('n', 'start_frame'), stop_frame=('n', 'stop_frame'), state=('s', 'state'), passages_added=('n', 'passages_added'))} FROM av
+  UNION ALL SELECT job_id, 'review_events', event_id, '', {_EVENT} FROM acc JOIN rjobs USING (job_id)""")
+def job_reports(s, d):
+    """Reports at a revision, written in order and read back: every part and entry with its content."""
+    path = scratch_dir(s, "reports")
+    rv.write_reports(rv.report_text(sections_at(s, d, REPORT_AT)), path)
+    back = s.read.schema("job_id bigint, section int, place bigint, label string, text string").json(path)
+    names = F.array(*[F.lit(n) for n in rv.SECTIONS])
+    kept = back.where((F.col("section") >= 0) & (F.col("section") < len(rv.SECTIONS)) & (F.abs(F.col("place").cast("decimal(20,0)")) < 2**62))
+    title = F.element_at(names, F.col("section") + 1)
+    named = F.concat(F.lit(',"'), title, F.lit('":'))
+    body = F.when(F.startswith("text", named), F.substr("text", F.length(named) + 1)).otherwise(F.ltrim("text", F.lit(",")))
+    return kept.select("job_id", title.alias("section"), "place", "label", body.alias("body"))
 
 
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, CASE WHEN event_type='error' THEN 'mark_unresolved' ELSE 'accept' END AS action FROM events""")

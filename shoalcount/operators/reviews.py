@@ -9,6 +9,7 @@ aggregates over the accepted events.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -291,15 +292,97 @@ def report_header(counts: DataFrame, automatic: DataFrame, upstream: Column) ->
     return both.select("job_id", F.explode(kv).alias("kv")).select("job_id", "kv.key", "kv.value")
 
 
-def job_reports(jobs: DataFrame, outcomes: DataFrame, added: DataFrame, history: DataFrame, counts: DataFrame) -> DataFrame:
-    """One nested JSON document per job. A document holds its own job's rows and nothing else."""
-    listed = lambda df, cols, name: df.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    t = listed(outcomes, ["track_id", "start_frame", "end_frame", "direction", "review_state", "final_direction"], "tracks")
-    p = listed(added, ["passage_id", "state", "direction", "frame_index"], "added_passages")
-    h = listed(history, ["event_id", "base_revision", "resulting_revision", "action"], "review_events")
-    c = counts.select("job_id", F.struct(*[x for x in counts.columns if x != "job_id"]).alias("counts"))
-    j = jobs.select("job_id", F.struct(*jobs.columns).alias("job"))
-    for part in (c, t, p, h):
-        j = j.join(part, "job_id", "left")
-    doc = F.struct(F.lit(1).alias("report_version"), "job", "counts", "tracks", "added_passages", "review_events")
-    return j.select("job_id", F.to_json(doc).alias("report"))
+# --- the nested report, in sections ---------------------------------------------------------
+
+#: The report's parts in order; those marked are lists of entries.
+SECTIONS = {
+    "recording": False, "counting": False, "pipeline": False, "job": False, "revision": False, "revision_kind": False, "counts": False,
+    "unresolved": True, "tracks": True, "added_passages": True, "audit": False, "audit_windows": True, "review_events": True,
+}
+
+
+def counts_view(counts: dict[str, Column], upstream: Column) -> Column:
+    """Right, left, and both by the river's direction (null where that is not known), and the rest as it is."""
+    up = F.when(upstream == "right", counts["right"]).when(upstream == "left", counts["left"])
+    down = F.when(upstream == "right", counts["left"]).when(upstream == "left", counts["right"])
+    named = {"right": counts["right"], "left": counts["left"], "upstream": up, "downstream": down, "net_upstream": up - down}
+    return F.struct(*[c.alias(k) for k, c in {**named, **{k: c for k, c in counts.items() if k not in named}}.items()])
+
+
+def report_sections(
+    headers: DataFrame, automatic: DataFrame, outcomes: DataFrame, added: DataFrame, audit: DataFrame, totals: DataFrame, history: DataFrame, framerate: str = "recording.framerate"
+) -> DataFrame:
+    """A job's report as rows (job_id, section, place, label, body): one a part, one an entry of a list.
+
+    ``headers``: job_id, upstream (right, left or null) and structs recording, counting, pipeline and job. ``automatic``
+    has right and left per job; the others are the tables of one revision: :func:`track_outcomes`,
+    :func:`passages`, :func:`audit_windows_view`, :func:`audit_totals` and accepted events up to it.
+    Entries stand in order of ``place``, then ``label``. No job is ever one row.
+    """
+    number = {name: i for i, name in enumerate(SECTIONS)}
+    made = F.to_json
+
+    def rows(df: DataFrame, name: str, body: Column, place: Column | None = None, label: Column | None = None) -> DataFrame:
+        at = F.lit(0) if place is None else place
+        text = F.lit("") if label is None else label
+        return df.select("job_id", F.lit(number[name]).alias("section"), at.cast("bigint").alias("place"), text.alias("label"), body.alias("body"))
+
+    known = headers.select("job_id", "upstream", F.col(framerate).alias("rate"))
+    keep = {"ignoreNullFields": "false"}
+    latest = headers.select("job_id").join(history.groupBy("job_id").agg(F.max("resulting_revision").alias("r")), "job_id", "left")
+    latest = latest.select("job_id", F.coalesce("r", F.lit(0)).alias("r"))
+    parts = [rows(headers, name, made(name, keep)) for name in ("recording", "counting", "pipeline", "job")]
+    parts.append(rows(latest, "revision", F.col("r").cast("string")))
+    parts.append(rows(latest, "revision_kind", F.when(F.col("r") == 0, '"automatic"').otherwise('"reviewed"')))
+
+    now = reviewed_counts(outcomes, added)
+    auto = {"right": F.coalesce("auto_right", F.lit(0)), "left": F.coalesce("auto_left", F.lit(0))}
+    both = known.join(latest, "job_id").join(now, "job_id", "left").join(
+        automatic.select("job_id", F.col("right").alias("auto_right"), F.col("left").alias("auto_left")), "job_id", "left"
+    )
+    reviewed = counts_view({c: F.coalesce(c, F.lit(0)) for c in now.columns if c != "job_id"}, F.col("upstream"))
+    view = F.struct(counts_view(auto, F.col("upstream")).alias("automatic"), F.when(F.col("r") > 0, reviewed).alias("reviewed"))
+    parts.append(rows(both, "counts", made(view, keep)))
+
+    t = outcomes.join(known, "job_id")
+    extra = [c for c in ("mean_score", "triage", "review_score", "review_reasons") if c in outcomes.columns]
+    entry = F.struct(
+        "track_id", "start_frame", "end_frame", (F.col("start_frame") / F.col("rate")).alias("start_time_s"), (F.col("end_frame") / F.col("rate")).alias("end_time_s"),
+        F.col("direction").alias("automatic_direction"), "review_state", "final_direction",
+        river_direction(F.col("final_direction"), F.col("upstream")).alias("final_river_direction"), *extra,
+    )
+    parts.append(rows(t.where("review_state = 'unresolved'"), "unresolved", made(entry, keep), F.col("track_id")))
+    parts.append(rows(t, "tracks", made(entry, keep), F.col("track_id")))
+
+    river = river_direction(F.col("direction"), F.col("upstream")).alias("river_direction")
+    p = F.struct("passage_id", "state", "direction", river, "frame_index", (F.col("frame_index") / F.col("rate")).alias("time_s"))
+    parts.append(rows(added.join(known, "job_id"), "added_passages", made(p, keep), None, F.col("passage_id")))
+    parts.append(rows(totals.join(known.select("job_id"), "job_id", "left_semi"), "audit", made(F.struct(*[c for c in totals.columns if c != "job_id"]), keep)))
+    w = F.struct(*[c for c in audit.columns if c != "job_id"])
+    parts.append(rows(audit.join(known.select("job_id"), "job_id", "left_semi"), "audit_windows", made(w, keep), F.col("audit_window")))
+    fields = [c for c in ("event_id", "base_revision", "resulting_revision", "action", "track_id", "passage_id", "direction", "frame_index", "audit_window", "reason") if c in history.columns]
+    parts.append(rows(history.join(known.select("job_id"), "job_id", "left_semi"), "review_events", made(F.struct(*fields)), F.col("event_id")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report_text(sections: DataFrame) -> DataFrame:
+    """(job_id, section, place, label, text): a job's texts in that order, laid end to end, are its JSON document."""
+    names = list(SECTIONS)
+    title = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("section") + 1)
+    lists = [i for i, n in enumerate(names) if SECTIONS[n]]
+    order = F.struct("place", "label")
+    first = sections.groupBy("job_id", "section").agg(F.min(order).alias("first"))
+    s = sections.join(first, ["job_id", "section"])
+    body = F.when(F.col("section").isin(lists), F.concat(F.when(order > F.col("first"), ",").otherwise(""), "body"))
+    entries = s.select("job_id", "section", "place", "label", body.otherwise(F.concat(F.lit(',"'), title, F.lit('":'), "body")).alias("text"))
+    low, high = -(2**63), 2**63 - 1
+    frame = [(-1, low, '{"report_version":1'), (len(names), high, "}")]
+    frame += [(i, p, x) for i in lists for p, x in ((low, f',"{names[i]}":['), (high, "]"))]
+    edges = F.array(*[F.struct(F.lit(i).alias("section"), F.lit(p).cast("bigint").alias("place"), F.lit("").alias("label"), F.lit(x).alias("text")) for i, p, x in frame])
+    return sections.select("job_id").distinct().select("job_id", F.explode(edges).alias("e")).select("job_id", "e.*").unionByName(entries)
+
+
+def write_reports(text: DataFrame, path: str) -> None:
+    """Reports in order of job and section over files of even size: a job is a stretch of lines, of one file or several."""
+    order = ("job_id", "section", "place", "label")
+    text.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").json(path)

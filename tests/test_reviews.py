@@ -1,5 +1,6 @@
 """Review log semantics, batch and stream."""
 
+import json
 import random
 from pathlib import Path
 
@@ -82,6 +83,34 @@ def test_sums_below_equal_all_pairs(spark):
         assert got.get(i, 0) == sum(w for pk, x, pat, w in points if pk == k and x < y and pat <= at)
 
 
+def test_report_sections_join_to_one_document(spark, tmp_path):
+    events, tracks, jobs = tables(spark)
+    acc = rv.as_of(rv.accepted_events(events, rv.fold_reviews(events, tracks, jobs)), F.lit(6))
+    outcomes, added = rv.track_outcomes(tracks, rv.track_decisions(acc, tracks)), rv.passages(acc)
+    windows = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 50, 60)], "job_id long, audit_window int, start_frame long, stop_frame long")
+    audit = rv.audit_windows_view(windows, rv.audits(acc), added)
+    totals = rv.audit_totals(audit, spark.createDataFrame([(1, 80)], "job_id long, unflagged_frames long"))
+    headers = spark.createDataFrame([(1, "right"), (2, None)], "job_id long, upstream string").select(
+        "job_id", "upstream", F.struct(F.lit(10.0).alias("framerate"), F.lit(100).alias("num_frames")).alias("recording"),
+        F.struct(F.col("upstream").alias("upstream_direction")).alias("counting"), F.struct(F.lit("v1").alias("pipeline_version")).alias("pipeline"), F.struct("job_id").alias("job"),
+    )
+    automatic = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "job_id long, right long, left long")
+    out = str(tmp_path / "reports")
+    rv.write_reports(rv.report_text(rv.report_sections(headers, automatic, outcomes, added, audit, totals, acc)), out)
+    lines = spark.read.schema("job_id long, section int, place long, label string, text string").json(out).collect()
+    docs = {j: json.loads("".join(r["text"] for r in sorted(lines, key=lambda r: tuple(r)[1:4]) if r["job_id"] == j)) for j in (1, 2)}
+    one, two = docs[1], docs[2]
+    assert list(one) == ["report_version", *rv.SECTIONS] and one["recording"] == {"framerate": 10.0, "num_frames": 100}
+    assert one["revision"] == 6 and one["revision_kind"] == "reviewed" and [e["event_id"] for e in one["review_events"]] == [1, 3, 4, 5, 9, 12]
+    assert one["counts"]["automatic"] == {"right": 1, "left": 0, "upstream": 1, "downstream": 0, "net_upstream": 1}
+    assert (one["counts"]["reviewed"]["left"], one["counts"]["reviewed"]["downstream"], one["counts"]["reviewed"]["unresolved"]) == (1, 1, 1)
+    assert [t["track_id"] for t in one["tracks"]] == [1, 2] and one["unresolved"] == [one["tracks"][0]]
+    assert one["tracks"][1]["final_river_direction"] == "downstream" and one["tracks"][1]["end_time_s"] == 2.0
+    assert one["added_passages"] == [{"passage_id": "p3", "state": "rejected", "direction": "right", "river_direction": "upstream", "frame_index": 5, "time_s": 0.5}]
+    assert [(w["audit_window"], w["state"]) for w in one["audit_windows"]] == [(0, "pending"), (1, "checked")] and one["audit"]["checked_frames"] == 10
+    assert two["added_passages"] == [] == two["audit_windows"] and two["counts"]["automatic"]["upstream"] is None and "audit" not in two
+
+
 def test_stream_equals_batch_across_batches(spark, tmp_path):
     events, tracks, jobs = tables(spark)
     prepared = rv.prepare(events, tracks, jobs)
