@@ -453,19 +453,28 @@ def study_eligible(s, d):
   o AS (SELECT *, round(d_pass/2.0::DOUBLE+d_sec/(tot*0.1::DOUBLE/2)+d_err/2.0::DOUBLE,9) AS score FROM g WHERE d_pass<=2 AND d_sec<=tot*0.1::DOUBLE/2 AND d_err<=2)
   SELECT array_to_string(names,',') AS names, round(score,6) AS score, d_pass, d_err FROM o ORDER BY o.score, o.names LIMIT 1""")
 def matched_sets(s, d):
-    passages = F.col("ref_right") + F.col("ref_left")
-    c = ad.clip_counts(s, d).where("num_frames between 150 and 450").withColumn("bin", ds.passage_bin(passages, ds.STUDY_BINS)).where("bin is not null")
-    c = c.withColumn("key", F.concat_ws(":", nm.camera(F.col("clip_name")), F.col("bin").cast("string")))
-    placed = ds.hash_order(c, ["key"], "clip_name", 0, "place")
-    err = F.abs(F.col("a_right") - F.col("ref_right")) + F.abs(F.col("a_left") - F.col("ref_left"))
-    item = F.struct(F.col("clip_name").alias("name"), passages.alias("passages"), (F.col("num_frames") / F.col("framerate")).alias("seconds"), err.alias("error"))
-    pairs = placed.groupBy("key").agg(
-        F.max(F.when(F.col("place") == 0, item)).alias("x0"), F.max(F.when(F.col("place") == 1, item)).alias("x1")
-    )
-    best = ds.match_sets(pairs)
+    best = ds.match_sets(study_pairs(s, d))
     return best.select(F.array_join("names", ",").alias("names"), F.round("score", 6).alias("score"), "d_pass", "d_err")
 
 
+def study_pairs(s, d):
+    return ds.stratum_pairs(ad.clip_counts(s, d).where("num_frames between 150 and 450"), 0)
+
+
+@query("WITH " + q.COUNTS + f""", e AS (SELECT *, CASE WHEN passages<=2 THEN 0 WHEN passages<=4 THEN 1 ELSE 2 END AS bin FROM ce WHERE num_frames BETWEEN 150 AND 450 AND passages BETWEEN 1 AND 8),
+  h AS (SELECT *, row_number() OVER (PARTITION BY camera, bin ORDER BY {H("'0'", 'clip_name')}, clip_name) AS p FROM e),
+  t AS (SELECT clip_name, 'S'||p AS clip_set FROM h WHERE p<=2),
+  pr AS (SELECT camera, arg_min(clip_name, {H("'1'", 'clip_name')}) AS clip_name FROM e WHERE clip_name NOT IN (SELECT clip_name FROM t) GROUP BY 1),
+  co AS (SELECT *, format('c{{:02d}}', row_number() OVER (ORDER BY {H("'2'", 'clip_name')}, clip_name)) AS code FROM t)
+  SELECT format('p{{:02d}}', row_number() OVER (ORDER BY camera)) AS code, clip_name, 'practice' AS role, NULL AS clip_set, row_number() OVER (ORDER BY camera)-1 AS place FROM pr
+  UNION ALL SELECT code, clip_name, 'trial', clip_set, row_number() OVER (PARTITION BY clip_set ORDER BY {H("'3'", 'code')}, code)-1 FROM co""")
+def study_codes(s, d):
+    """Practice clips, neutral codes and set orders; here the first clips of all strata are one set, the second the other."""
+    pool = ad.clip_counts(s, d).where("num_frames between 150 and 450 and ref_right + ref_left between 1 and 8")
+    both = ds.stratum_pairs(pool, 0).select(F.explode(F.expr("map('S1', x0.name, 'S2', x1.name)")).alias("clip_set", "clip_name"))
+    return ds.assign_codes(ds.practice_clips(pool, both, 1), both, 2)
+
+
 @query("""WITH RECURSIVE dd AS (SELECT o_orderpriority AS location, o_orderdate::DATE AS day, count(*)*300 AS frames FROM orders GROUP BY 1,2),
   o AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY day) AS i FROM dd),
   w AS (SELECT location, i, day, 0 AS chunk, frames*1000.0::DOUBLE AS used FROM o WHERE i=1

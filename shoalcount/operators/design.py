@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalcount.functions.hashing import hash32, hash_bucket
 from shoalcount.functions.names import camera
-from shoalcount.operators.ordered import position
+from shoalcount.operators.ordered import position, running
 from shoalcount.session import materialize
 
 # Passage bins of the review sample and of the usability study.
@@ -114,38 +115,99 @@ def latin_square(participants: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(table), "row").drop("row")  # eight fixed rows
 
 
+def stratum_pairs(pool: DataFrame, seed: int, automatic: tuple[str, str] = ("a_right", "a_left")) -> DataFrame:
+    """The first two clips of every stratum (camera and passage bin) in a seeded order, as :func:`match_sets` takes them."""
+    passages = F.col("ref_right") + F.col("ref_left")
+    c = pool.withColumn("bin", passage_bin(passages, STUDY_BINS)).where("bin is not null")
+    c = c.withColumn("key", F.concat_ws(":", camera(F.col("clip_name")), F.col("bin").cast("string")))
+    placed = hash_order(c, ["key"], "clip_name", seed, "place")
+    err = F.abs(F.col(automatic[0]) - F.col("ref_right")) + F.abs(F.col(automatic[1]) - F.col("ref_left"))
+    item = F.struct(F.col("clip_name").alias("name"), passages.alias("passages"), (F.col("num_frames") / F.col("framerate")).alias("seconds"), err.alias("error"))
+    first = lambda n: F.max(F.when(F.col("place") == n, item)).alias(f"x{n}")
+    return placed.groupBy("key").agg(first(0), first(1))
+
+
 def match_sets(pairs: DataFrame) -> DataFrame:
-    """The most balanced split of stratum pairs into two sets: names of set 1 and the gaps left.
+    """The most balanced split of stratum pairs into two sets: names of both sets and the gaps left.
 
     ``pairs`` has one row per stratum: key, and for its clips ``x0``/``x1`` a struct (name,
-    passages, seconds, error). With n strata all 2^(n-1) splits are scored by aggregation.
-    Without a stratum, with a stratum that lacks a clip, or when no split meets the tolerances,
-    the job raises.
+    passages, seconds, error). The first stratum's first clip is in set 1; equal scores go by
+    set 1's names. Without a stratum, with a stratum that lacks a clip, or when no split meets
+    the tolerances, it raises.
+
+    Of n strata the 2^(n-1) splits are never opened up: the 2^(n/2) splits of either half meet
+    in the middle. What a half leaves of passages and errors is an equi join key, and for the
+    seconds only the nearest partner matters, a running maximum from either side.
     """
-    pairs = materialize(pairs)
-    n, whole = pairs.agg(F.count(F.lit(1)), F.count(F.when(F.col("x0").isNotNull() & F.col("x1").isNotNull(), 1))).first()
-    if n == 0 or whole < n:
-        raise ValueError(f"{whole} of {n} strata have two clips")
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key")) - 1
-    splits = pairs.withColumn("bit", rank).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2 ** (n - 1) - 1).cast("bigint"))))
-    # the first stratum's first clip is always in set 1; the others follow the bits of i
-    flip = F.when(F.col("bit") == 0, 0).otherwise(F.getbit("i", F.lit(n - 1) - F.col("bit")))
-    a = F.when(flip == 0, F.col("x0")).otherwise(F.col("x1"))
-    b = F.when(flip == 0, F.col("x1")).otherwise(F.col("x0"))
-    s = splits.withColumn("a", a).withColumn("b", b)
-    gap = lambda c: F.abs(F.sum(F.col(f"a.{c}")) - F.sum(F.col(f"b.{c}")))
-    scored = s.groupBy("i").agg(
-        gap("passages").alias("d_pass"), gap("seconds").alias("d_sec"), gap("error").alias("d_err"),
-        (F.sum("a.seconds") + F.sum("b.seconds")).alias("total"),
-        F.transform(F.array_sort(F.collect_list(F.struct("key", "a.name"))), lambda x: x["name"]).alias("names"),
-    )
-    limit = F.col("total") * 0.1 / 2
-    ok = scored.where((F.col("d_pass") <= 2) & (F.col("d_sec") <= limit) & (F.col("d_err") <= 2))
-    score = F.round(F.col("d_pass") / 2 + F.col("d_sec") / limit + F.col("d_err") / 2, 9)
-    best = ok.agg(F.min_by(F.struct("names", score.alias("score"), "d_pass", "d_sec", "d_err"), F.struct(score.alias("s"), "names")).alias("r"))
-    kind = "struct<names:array<string>,score:double,d_pass:bigint,d_sec:double,d_err:bigint>"
-    none = F.raise_error(F.lit("no split keeps the sets within the tolerances")).cast(kind)
-    return best.select(F.coalesce(F.col("r").cast(kind), none).alias("r")).select("r.*")
+    strata = sorted((r for r in pairs.select("key", "x0", "x1").collect()), key=lambda r: r["key"])  # cameras x bins
+    whole = [r for r in strata if r["x0"] is not None and r["x1"] is not None]
+    if not strata or len(whole) < len(strata):
+        raise ValueError(f"{len(whole)} of {len(strata)} strata have two clips")
+    spark, half = pairs.sparkSession, (len(strata) + 1) // 2
+    limit = sum(x["seconds"] for r in strata for x in (r["x0"], r["x1"])) * 0.1 / 2
+    # bit 1 takes the clip of the larger name, so that codes are ordered as the names are
+    ordered = [(r["x0"], r["x1"]) if not i or r["x0"]["name"] < r["x1"]["name"] else (r["x1"], r["x0"]) for i, r in enumerate(strata)]
+
+    def splits(part: list, fixed: int) -> DataFrame:
+        """One row per split of a half: its code and what set 1 has more than set 2."""
+        sign = [F.lit(1)] * fixed + [1 - 2 * F.getbit("id", F.lit(len(part) - 1 - i)).cast("int") for i in range(fixed, len(part))]
+        more = lambda f: [x[f] - y[f] for x, y in part]
+        total = lambda f, zero: reduce(lambda t, c: t + c, [s_ * F.lit(d) for s_, d in zip(sign, more(f))], F.lit(zero))
+        rows = spark.range(2 ** (len(part) - fixed))
+        return rows.select(F.col("id").alias("code"), total("passages", 0).cast("bigint").alias("p"), total("error", 0).cast("bigint").alias("e"), total("seconds", 0.0).cast("double").alias("s"))
+
+    left, right = materialize(splits(ordered[:half], 1)), materialize(splits(ordered[half:], 0))
+    best: tuple[float, int, int, int, float] | None = None
+    for off in range(5):
+        # gaps of passages and errors that together are worth off / 2; seconds are worth up to 1 more
+        if best is not None and best[0] < off / 2:
+            break
+        gaps = [(p, e) for p in range(-2, 3) for e in range(-2, 3) if abs(p) + abs(e) == off]
+        wanted = left.withColumn("g", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(e).alias("e")) for p, e in gaps])))
+        asks = wanted.select((F.col("g.p") - F.col("p")).alias("p"), (F.col("g.e") - F.col("e")).alias("e"), (-F.col("s")).alias("s"), "code")
+        offers = right.select("p", "e", "s", F.lit(None).cast("bigint").alias("code")).distinct()
+        both = materialize(asks.unionByName(offers))
+        there = F.when(F.col("code").isNull(), F.col("s"))
+        below = running(both, ["p", "e"], F.floor(F.col("s") / 16), [F.col("s"), F.col("code").isNotNull()], there, "below", fn="max")
+        above = running(both, ["p", "e"], F.floor(-F.col("s") / 16), [-F.col("s"), F.col("code").isNotNull()], -there, "above", fn="max")
+        near = [d.where("code is not null").select("code", gap.alias("gap")) for d, gap in ((below, F.col("s") - F.col("below")), (above, -F.col("above") - F.col("s")))]
+        scored = near[0].unionByName(near[1]).where(F.col("gap") <= limit).select("code", F.round(F.lit(off / 2) + F.col("gap") / limit, 9).alias("score"))
+        first = scored.agg(F.min(F.struct("score", "code")).alias("b")).first()["b"]
+        if first is not None and (best is None or tuple(first) < best[:2]):
+            best = (first["score"], first["code"])
+    if best is None:
+        raise ValueError("no split keeps the sets within the tolerances")
+    mine = left.where(F.col("code") == best[1]).first()
+    gap = lambda c: F.abs(F.lit(mine[c]) + F.col(c))
+    fits = (gap("p") <= 2) & (gap("e") <= 2) & (gap("s") <= limit)
+    score = F.round(gap("p") / 2 + gap("e") / 2 + gap("s") / limit, 9)
+    other = right.where(fits & (score == best[0])).agg(F.min("code").alias("c")).first()["c"]
+    bits = [best[1] >> (half - 1 - i) & 1 for i in range(half)] + [other >> (len(strata) - 1 - i) & 1 for i in range(half, len(strata))]
+    set_1, set_2 = [x[b] for x, b in zip(ordered, bits)], [x[1 - b] for x, b in zip(ordered, bits)]
+    d_pass, d_sec, d_err = (abs(sum(x[f] for x in set_1) - sum(x[f] for x in set_2)) for f in ("passages", "seconds", "error"))
+    row = ([x["name"] for x in set_1], [x["name"] for x in set_2], best[0], d_pass, d_sec, d_err)
+    return spark.createDataFrame([row], "names array<string>, names_2 array<string>, score double, d_pass bigint, d_sec double, d_err bigint")
+
+
+def practice_clips(pool: DataFrame, trial: DataFrame, seed: int) -> DataFrame:
+    """One clip per camera that is in neither set, drawn by seed: camera, clip_name."""
+    rest = pool.join(trial.select("clip_name"), "clip_name", "left_anti").withColumn("h", hash32(F.lit(seed), F.col("clip_name")))
+    return rest.groupBy("camera").agg(F.min_by("clip_name", F.struct("h", "clip_name")).alias("clip_name"))
+
+
+def assign_codes(practice: DataFrame, trial: DataFrame, seed: int) -> DataFrame:
+    """Neutral codes and orders: code, clip_name, role, clip_set, place (from 0, within practice or the set).
+
+    Practice clips are p01, p02, ... by camera; trial clips (clip_name, clip_set) are c01, c02, ...
+    in one seeded order over both sets, so that a code says nothing of set or stratum. Each set
+    is shown in a seeded order of its own.
+    """
+    row = lambda w: F.row_number().over(w)
+    p = practice.withColumn("n", row(Window.partitionBy(F.lit(0)).orderBy("camera")))  # a clip per camera
+    p = p.select(F.format_string("p%02d", "n").alias("code"), "clip_name", F.lit("practice").alias("role"), F.lit(None).cast("string").alias("clip_set"), (F.col("n") - 1).cast("bigint").alias("place"))
+    coded = hash_order(trial.select("clip_name", "clip_set"), [], "clip_name", seed, "n").withColumn("code", F.format_string("c%02d", F.col("n") + 1))
+    shown = hash_order(coded.drop("n"), ["clip_set"], "code", seed + 1, "place")
+    return p.unionByName(shown.select("code", "clip_name", F.lit("trial").alias("role"), "clip_set", "place"))
 
 
 def plan_day_chunks(days: DataFrame, bytes_per_frame: float, budget_bytes: float, key: str = "location") -> DataFrame:

@@ -259,13 +259,18 @@ def host_parity(a: DataFrame, b: DataFrame, max_px: float = 5.0) -> Tables:
 
 
 def study_design(candidates: DataFrame, documents: DataFrame, pattern: str, participants: DataFrame, sample_size: int, seed: int = 0) -> Tables:
+    """Pool, sample, the two matched sets with practice clips under neutral codes, and every participant's blocks."""
     names = candidates.select(F.col("clip_name").alias("name"))
     shown = ds.documented_names(documents, names, pattern)
     pool = materialize(ds.eligible(candidates, shown))
+    chosen = ds.match_sets(ds.stratum_pairs(pool, seed))
+    trial = chosen.select(F.explode(F.map_from_arrays(F.array(F.lit("S1"), F.lit("S2")), F.array("names", "names_2"))).alias("clip_set", "names"))
+    trial = trial.select("clip_set", F.explode("names").alias("clip_name"))
     return {
         "eligible": pool,
         "sample": ds.stratified_sample(pool, sample_size, seed),
-        "codes": ds.neutral_codes(pool.select("clip_name"), "clip_name", seed),
+        "sets": chosen,
+        "codes": ds.assign_codes(ds.practice_clips(pool, trial, seed + 1), trial, seed + 2),
         "blocks": ds.latin_square(participants),
     }
 

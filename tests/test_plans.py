@@ -1,5 +1,6 @@
 """The analyses no registered query runs: they plan, run and have sane results."""
 
+import itertools
 import random
 
 import pytest
@@ -62,6 +63,43 @@ def test_matched_sets_count_their_strata_and_raise(spark):
         ds.match_sets(spark.createDataFrame([("k0", ("a", 5, 20.0, 0), None)], f"key string, x0 {item}, x1 {item}"))
 
 
+ITEM = "struct<name:string,passages:bigint,seconds:double,error:bigint>"
+
+
+def clip_pairs(rng, n, spread):
+    clip = lambda i, side: (f"{rng.choice('pqrs')}{i}{side}", rng.randrange(1, spread), rng.randrange(150, 450) / 10.0, rng.randrange(spread))
+    return [(f"k{i:02}", clip(i, "x"), clip(i, "y")) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7])
+def test_matched_sets_are_the_best_of_all_splits(spark, n):
+    rng = random.Random(n)
+    rows = clip_pairs(rng, n, 3 if n < 3 else 6)
+    limit = sum(x[2] for r in rows for x in r[1:]) * 0.05
+    best = None
+    for choice in itertools.product((0, 1), repeat=n - 1):
+        a = [r[1 + c] for r, c in zip(rows, (0, *choice))]
+        b = [r[2 - c] for r, c in zip(rows, (0, *choice))]
+        gaps = [abs(sum(x[f] for x in a) - sum(x[f] for x in b)) for f in (1, 2, 3)]
+        if gaps[0] <= 2 and gaps[1] <= limit and gaps[2] <= 2:
+            found = (round(gaps[0] / 2 + gaps[1] / limit + gaps[2] / 2, 9), [x[0] for x in a])
+            best = found if best is None or found < best else best
+    df = spark.createDataFrame(rows, f"key string, x0 {ITEM}, x1 {ITEM}")
+    if best is None:
+        with pytest.raises(ValueError, match="tolerances"):
+            ds.match_sets(df)
+    else:
+        got = ds.match_sets(df).first()
+        assert (got["score"], got["names"]) == best and sorted(got["names"] + got["names_2"]) == sorted(x[0] for r in rows for x in r[1:])
+
+
+def test_forty_strata_are_split(spark):
+    rows = clip_pairs(random.Random(0), 40, 9)
+    got = ds.match_sets(spark.createDataFrame(rows, f"key string, x0 {ITEM}, x1 {ITEM}")).first()
+    odd = sum(x[1] for r in rows for x in r[1:]) % 2, sum(x[3] for r in rows for x in r[1:]) % 2
+    assert (got["d_pass"], got["d_err"]) == odd and got["score"] - sum(odd) / 2 < 0.01 and len(set(got["names"])) == len(set(got["names_2"])) == 40
+
+
 def test_neighbour_counts_match_pairs(spark):
     rng = random.Random(3)
     rows = [("c", i, s, s + rng.randint(0, 300), "right" if i % 3 else None) for i, s in enumerate(rng.randint(0, 5000) for _ in range(200))]
