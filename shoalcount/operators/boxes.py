@@ -103,10 +103,14 @@ def to_targets(df: DataFrame, max_labels: int, order: str) -> DataFrame:
 
 
 def sample_frames(clips: DataFrame, stride: int) -> DataFrame:
-    """Every ``stride``-th frame of each recording, frames without boxes included."""
-    return clips.where("num_frames > 0").select(
-        "clip_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("num_frames") - 1, F.lit(stride).cast("bigint"))).alias("frame_index")
-    )
+    """Every ``stride``-th frame of each recording's window, frames without boxes included.
+
+    The window is [frame_start, frame_stop) where the clips have these columns, else the whole recording.
+    """
+    first = F.coalesce("frame_start", F.lit(0)) if "frame_start" in clips.columns else F.lit(0)
+    stop = F.coalesce("frame_stop", "num_frames") if "frame_stop" in clips.columns else F.col("num_frames")
+    window = clips.select("clip_id", first.cast("bigint").alias("a"), (stop - 1).cast("bigint").alias("b")).where("a <= b")
+    return window.select("clip_id", F.explode(F.sequence("a", "b", F.lit(stride).cast("bigint"))).alias("frame_index"))
 
 
 def box_issue(width: Column | float, height: Column | float) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalcount import schemas
 from shoalcount.functions.hashing import content_key
 from shoalcount.operators.ordered import position, previous, running
 
@@ -20,6 +21,32 @@ def _seconds(a: Column, b: Column) -> Column:
     return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
 
 
+def table_violations(rows: DataFrame, table: str) -> DataFrame:
+    """(column, rule, rows): breaches of a service table's constraints. A column that is missing or of another kind raises."""
+    known = schemas.SERVICE[table]
+    for f in known.fields:
+        if f.name not in rows.columns or rows.schema[f.name].dataType != f.dataType:
+            raise ValueError(f"{table}.{f.name} must be {f.dataType.simpleString()}")
+    breach: dict[tuple[str, str], Column] = {}
+    for name in known.fieldNames():
+        if name not in schemas.NULLABLE.get(table, ()):
+            breach[name, "null"] = F.col(name).isNull()
+    for name, allowed in schemas.VALUES.get(table, {}).items():
+        breach[name, "value"] = ~F.col(name).isin(*allowed)
+    for name in schemas.POSITIVE.get(table, ()):
+        breach[name, "positive"] = F.col(name) <= 0
+    for name in schemas.NOT_NEGATIVE.get(table, ()):
+        breach[name, "negative"] = F.col(name) < 0
+    counted = rows.agg(*[F.count(F.when(c, 1)).alias(f"{n}|{r}") for (n, r), c in breach.items()])
+    listed = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(r).alias("rule"), F.col(f"`{n}|{r}`").alias("rows")) for n, r in breach])
+    found = counted.select(F.explode(listed).alias("e")).select("e.*").where("rows > 0")
+    for key in (schemas.KEYS[table], *[(u,) for u in schemas.UNIQUE.get(table, ())]):
+        there = rows.where(" and ".join(f"{k} is not null" for k in key)).groupBy(*key).count()
+        more = there.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("rows")).where("rows > 0")
+        found = found.unionByName(more.select(F.lit(",".join(key)).alias("column"), F.lit("repeated").alias("rule"), "rows"))
+    return found
+
+
 def job_gauges(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs by status (every status, 0 if none), queue depth and age of the oldest queued job."""
     n = lambda s: F.count(F.when(F.col("status") == s, 1))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shoalcount.functions import names as nm
 from shoalcount.operators.boxes import box_issue
-from shoalcount.operators.ordered import islands
+from shoalcount.operators.ordered import islands, previous
+from shoalcount.session import materialize
 
 MAX_EXAMPLES = 5
 # Codes that warn; every other code quarantines the clip.
@@ -97,14 +98,13 @@ def tracks_cut_by_window(boxes: DataFrame, start: Column, stop: Column, key: str
 def missing_frames(present: DataFrame, clips: DataFrame, key: str = "clip_id") -> DataFrame:
     """Runs of frames in [0, num_frames) that have no file.
 
-    Works on the gaps between the runs that exist, so a clip's whole range is never expanded.
+    Works on the gaps between the runs that exist, so a clip's whole range is never expanded; a
+    recording's runs are looked back over in stretches of frames.
     """
     runs = islands(present.select(key, "frame_index").distinct(), [key], "frame_index")
-    inside = runs.join(clips.select(key, "num_frames"), key).where("start < num_frames")
-    prev = F.lag("stop").over(Window.partitionBy(key).orderBy("start"))
-    gaps = inside.withColumn("prev", F.coalesce(prev, F.lit(-1))).select(
-        key, (F.col("prev") + 1).alias("start"), (F.col("start") - 1).alias("stop")
-    )
+    inside = materialize(runs.join(clips.select(key, "num_frames"), key).where("start < num_frames"))
+    back = previous(inside, [key], F.floor(F.col("start") / 4096), [F.col("start")], ["stop"])
+    gaps = back.select(key, (F.coalesce("prev_stop", F.lit(-1)) + 1).alias("start"), (F.col("start") - 1).alias("stop"))
     last = inside.groupBy(key).agg(F.max("stop").alias("last"))
     tail = clips.join(last, key, "left").select(
         key, (F.coalesce("last", F.lit(-1)) + 1).alias("start"), (F.col("num_frames") - 1).alias("stop")
@@ -153,6 +153,26 @@ def clip_status(clips: DataFrame, issues: DataFrame, keys: Sequence[str] = ("cli
     ).drop("bad")
 
 
+def validation_lines(status: DataFrame, issues: DataFrame, stats: DataFrame, keys: Sequence[str] = ("clip_id",)) -> DataFrame:
+    """One JSON line a clip: location, clip_name, status, quarantine_reasons, issues in order of code, stats or null.
+
+    A clip has one issue per code, so a line is bounded by the codes.
+    """
+    keys = list(keys)
+    entry = F.struct("code", "severity", "count", *[c for c in ("message", "examples") if c in issues.columns])
+    per = issues.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("issues"))
+    of = stats.select(*keys, F.struct(*[c for c in stats.columns if c not in keys]).alias("stats"))
+    j = status.join(per, keys, "left").join(of, keys, "left")
+    none = F.array().cast(per.schema["issues"].dataType)
+    line = F.struct("location", "clip_name", "status", "quarantine_reasons", F.coalesce("issues", none).alias("issues"), "stats")
+    return j.select(*keys, F.to_json(line, {"ignoreNullFields": "false"}).alias("line"))
+
+
+def write_validation_report(lines: DataFrame, path: str, keys: Sequence[str] = ("clip_id",)) -> None:
+    """Report lines in order of the clips over files of even size."""
+    lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("line").write.mode("errorifexists").text(path)
+
+
 def status_summary(status: DataFrame) -> DataFrame:
     """Clips per status by location and overall."""
     n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)

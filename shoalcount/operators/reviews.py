@@ -184,7 +184,8 @@ def latest_revision(revisions: DataFrame, values: Sequence[str], at: int | None
     )
 
 
-def counts_now(outcomes: DataFrame) -> Column:
+def counts_now() -> Column:
+    """Whether a track of :func:`track_outcomes` adds to the counts."""
     return (F.col("review_state") != "unresolved") & F.col("final_direction").isNotNull()
 
 

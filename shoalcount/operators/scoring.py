@@ -188,6 +188,12 @@ def page(tracks: DataFrame, order: Sequence[Column], offset: int, limit: int) ->
     return tracks.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(tracks: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """:func:`page` with ``total``, the number of tracks of all pages; no row beyond the last page."""
+    total = tracks.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return page(tracks, order, offset, limit).join(F.broadcast(total))
+
+
 def next_unreviewed(ranked: DataFrame, current: DataFrame, keys: Sequence[str] = ("clip_id",)) -> DataFrame:
     """The first unreviewed track after the current one, circularly in queue order.
 

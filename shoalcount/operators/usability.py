@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalcount import schemas
 from shoalcount.functions.hashing import drawn, hash32
 from shoalcount.operators.counting import ratio
 from shoalcount.operators.stats import DRAWS, dense_index, draw_sums, interval, numbered, packed, resample
@@ -18,9 +19,14 @@ CONDITIONS = ("manual", "assisted")
 
 
 def scored_trials(trials: DataFrame, plan: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Trials without practice and exclusions, with the plan's counts and per-trial errors."""
+    """Trials without practice and exclusions, with the plan's counts and per-trial errors.
+
+    A trial whose clip is not in the plan raises while the job runs.
+    """
     kept = trials.where(~F.col("practice")).join(excluded.select("participant", "clip"), ["participant", "clip"], "left_anti")
-    t = kept.join(plan, "clip")
+    t = kept.join(plan.withColumn("__planned", F.lit(True)), "clip", "left")
+    lost = F.raise_error(F.concat(F.lit("no clip "), F.col("clip"), F.lit(" in the plan")))
+    t = t.withColumn("clip", F.when(F.col("__planned"), F.col("clip")).otherwise(lost.cast("string"))).drop("__planned")
     dist = lambda p, side: F.abs(F.col(f"{p}_{side}") - F.col(f"ref_{side}"))
     change = [dist("auto", s) - dist("final", s) for s in ("right", "left")]
     zero = F.lit(0)
@@ -136,6 +142,19 @@ def group_intervals(trials: DataFrame, resamples: int, seed: int = 0) -> DataFra
     return sample.agg(*interval("ratio", "time_ratio"), *interval("diff", "nmae_difference"))
 
 
+def review_action_rows(trials: DataFrame, history: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The accepted review events behind each assisted trial's result, one row each, with the automatic track.
+
+    ``trials`` has participant, clip, practice, condition, job_id and revision; events after that
+    revision are left out. ``tracks``: job_id, track_id, outcome, direction, triage.
+    """
+    asked = trials.where("condition = 'assisted'").select("participant", "clip", "practice", "job_id", F.col("revision").alias("__last"))
+    events = history.select("job_id", "event_id", "action", "track_id", "direction", "frame_index", "resulting_revision")
+    auto = tracks.select("job_id", "track_id", *[F.col(c).alias(f"automatic_{c}") for c in ("outcome", "direction", "triage")])
+    rows = asked.join(events, "job_id").where(F.col("resulting_revision") <= F.col("__last")).join(auto, ["job_id", "track_id"], "left")
+    return rows.select(*schemas.REVIEW_ACTIONS.fieldNames())
+
+
 ACTIONS = ("accept", "reject", "set_direction", "mark_unresolved", "add_passage", "mark_audited")
 
 

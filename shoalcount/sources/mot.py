@@ -73,8 +73,27 @@ def format_line() -> Column:
 
 
 def write_mot(boxes: DataFrame, path: str) -> None:
-    """One folder per clip, rows in (frame, track) order."""
-    from shoalcount.operators.boxes import internal_to_mot
+    """Tracker text: a folder per clip, as the lines do not name it, rows in (frame, track) order over its files.
 
-    rows = internal_to_mot(boxes).repartition("clip_id").sortWithinPartitions("clip_id", "frame", "track_id")
+    Rows are dealt by ranges of (clip, frame), so a hot recording is written by many tasks.
+    """
+    rows = _in_ranges(boxes)
     rows.select("clip_id", format_line().alias("value")).write.partitionBy("clip_id").text(path)
+
+
+def _in_ranges(boxes: DataFrame) -> DataFrame:
+    from shoalcount.operators.boxes import internal_to_mot
+
+    order = ("clip_id", "frame", "track_id")
+    return internal_to_mot(boxes).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_mot_lines(boxes: DataFrame, path: str) -> None:
+    """Lines of many recordings as Parquet (clip_id, frame, track_id, line) in order: files carry statistics, no folders."""
+    _in_ranges(boxes).select("clip_id", "frame", "track_id", format_line().alias("line")).write.mode("append").parquet(path)
+
+
+def read_mot_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of stored lines, parsed like text; a filter on clip_id reaches the scan."""
+    lines = spark.read.parquet(path).select("clip_id", "line")
+    return good_rows(parse_lines(lines))

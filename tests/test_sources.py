@@ -191,3 +191,48 @@ def test_digests_see_boxes(spark):
     renumbered = files.detection_digests(spark.createDataFrame([r[:2] + (9 - r[2],) + r[3:] for r in rows], schema), 2)[1].first()["sha256"]
     moved = files.detection_digests(spark.createDataFrame([rows[0], rows[1][:3] + (2.0,) + rows[1][4:]], schema), 2)[1].first()["sha256"]
     assert one == renumbered and one != moved
+
+
+def test_a_scan_by_recording_prunes_and_a_hot_recording_is_many_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 40).cast("long").alias("clip_id"), F.col("id").alias("track_id"),
+        F.lit(0).cast("long").alias("start_frame"), F.lit(9).cast("long").alias("end_frame"), F.lit(10.0).alias("framerate"),
+    )
+    path = str(tmp_path / "tracks")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        artifacts.write_tracks(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f for f in (tmp_path / "tracks").iterdir() if f.suffix == ".parquet"]
+    ranges = [(s.min, s.max) for f in files for s in [pq.ParquetFile(f).metadata.row_group(0).column(0).statistics]]
+    assert sum(a <= 7 <= b for a, b in ranges) > 1 and sum(a <= 30 <= b for a, b in ranges) == 1 < len(files)
+    one = artifacts.read_tracks(spark, path).where("clip_id = 30")
+    assert one.count() == rows.where("clip_id = 30").count()
+    assert "EqualTo(clip_id,30)" in spark.read.parquet(path).where("clip_id = 30")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audit_windows_keep_recordings_without_any(spark, tmp_path):
+    w = spark.createDataFrame([(1, 0, 5, 9, 0.5, 0.9)], "clip_id long, window_index int, start_frame long, stop_frame long, start_time_s double, stop_time_s double")
+    artifacts.write_audit_windows(w, spark.createDataFrame([(1, 90), (2, 0)], "clip_id long, unflagged_frames long"), "v1", str(tmp_path / "a"))
+    windows, of = artifacts.read_audit_windows(spark, str(tmp_path / "a"))
+    assert [tuple(r) for r in windows.collect()] == [(1, 0, 5, 9, 0.5, 0.9)] and sorted(map(tuple, of.collect())) == [(1, "v1", 90), (2, "v1", 0)]
+
+
+def test_guards_refuse(spark, tmp_path):
+    from shoalcount.operators import counting, ops, usability
+
+    with pytest.raises(ValueError, match="1 to 500"):
+        artifacts.observation_window(spark, str(tmp_path), 10, 511)
+    with pytest.raises(ValueError, match="workers.worker_id"):
+        ops.table_violations(spark.range(1), "workers")
+    box = spark.createDataFrame([(9, 1, 0, 0.0, 0.0, 1.0, 1.0)], "clip_id long, track_id long, frame_index long, x_min double, y_min double, x_max double, y_max double")
+    clips = spark.createDataFrame([(1, 5, 10, 10)], "clip_id long, num_frames long, width int, height int")
+    with pytest.raises(Exception, match="clip 9"):
+        counting.count_clips(box, clips).collect()
+    trials = spark.createDataFrame([("P1", "x", False, "manual", 5, 1, 1)], "participant string, clip string, practice boolean, condition string, active_ms long, final_right long, final_left long")
+    plan = spark.createDataFrame([("y", 1, 1, 1, 1)], "clip string, ref_right long, ref_left long, auto_right long, auto_left long")
+    with pytest.raises(Exception, match="no clip x"):
+        usability.scored_trials(trials, plan, trials.select("participant", "clip").where("false")).collect()
