@@ -103,7 +103,8 @@ class LanguageFilter:
             else:
                 for i in range(len(here)):
                     found[64 * p + i] = np.count_nonzero(mask & np.uint64(1 << i))
-        return np.maximum(found - len(grams) * self.false_rate, 0) / (1 - self.false_rate)
+        # those missed, freed of the false ones that hide others: whole counts stay whole where nothing was missed
+        return np.maximum(len(grams) - (len(grams) - found) / (1 - self.false_rate), 0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and the corrected share of the text's n-grams that it contains."""
