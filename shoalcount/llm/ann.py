@@ -22,8 +22,8 @@ from shoalcount.session import materialize
 #: Vectors in a block; pairs recomputed at a time.
 BLOCK, PAIRS = 2048, 1 << 15
 
-_PARTS = ("block", "size", "ids", "vectors", "codes", "steps", "losses")
-_BLOCK_SCHEMA = "dim int, block int, size int, ids binary, vectors binary, codes binary, steps binary, losses binary"
+_PARTS = ("block", "size", "ids", "copies", "vectors", "codes", "steps", "losses")
+_BLOCK_SCHEMA = "dim int, block int, size int, ids binary, copies binary, vectors binary, codes binary, steps binary, losses binary"
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,33 +36,33 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (dim, block) into one row per block."""
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[int, int, np.ndarray]] = []
     key = None
 
     def row():
-        ids = np.array([i for i, _ in held], np.int64)
-        vectors = np.stack([v for _, v in held])
+        ids, copies = (np.array([r[k] for r in held], np.int64) for k in range(2))
+        vectors = np.stack([r[2] for r in held])
         unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
         codes, steps, losses = quantised(unit)
-        data = [key[0], key[1], len(held), *(x.tobytes() for x in (ids, vectors, codes, steps, losses))]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(data, kinds)], names=["dim", "block", "size", "ids", "vectors", "codes", "steps", "losses"])
+        data = [key[0], key[1], len(held), *(x.tobytes() for x in (ids, copies, vectors, codes, steps, losses))]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(data, kinds)], names=["dim", *_PARTS])
 
     for b in batches:
-        for d, block, i, v in zip(b.column("dim").to_pylist(), b.column("block").to_pylist(), b.column("vec_id").to_pylist(), b.column("vector")):
+        for d, block, i, n, v in zip(*[b.column(c).to_pylist() for c in ("dim", "block", "vec_id", "copies")], b.column("vector")):
             if (d, block) != key or len(held) == BLOCK:
                 if held:
                     yield row()
                 held, key = [], (d, block)
-            held.append((i, np.asarray(v.values, np.float64)))
+            held.append((i, n, np.asarray(v.values, np.float64)))
     if held:
         yield row()
 
 
 def _packed(rows: DataFrame, n: int, side: str) -> DataFrame:
-    """n vectors (vec_id, vector) in rows of up to BLOCK, by dimension and hash of vec_id."""
+    """n vectors (vec_id, vector, copies) in rows of up to BLOCK, by dimension and hash of both."""
     into = max(1, -(-2 * n // BLOCK))
-    dealt = rows.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(into)).cast("int").alias("block"), "vec_id", "vector")
+    dealt = rows.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(into)).cast("int").alias("block"), "vec_id", "copies", "vector")
     packed = dealt.repartition("dim", "block").sortWithinPartitions("dim", "block", "vec_id").mapInArrow(_pack, _BLOCK_SCHEMA)
     return packed.select("dim", *[F.col(name).alias(f"{side}_{name}") for name in _PARTS])
 
@@ -72,14 +72,15 @@ def _tile(row: dict, side: str) -> tuple[np.ndarray, ...]:
     ids = np.frombuffer(row[f"{side}_ids"], np.int64)
     return (
         ids, np.frombuffer(row[f"{side}_vectors"], np.float64).reshape(n, d), np.frombuffer(row[f"{side}_codes"], np.int8).reshape(n, d),
-        np.frombuffer(row[f"{side}_steps"], np.float64), np.frombuffer(row[f"{side}_losses"], np.float64),
+        np.frombuffer(row[f"{side}_steps"], np.float64), np.frombuffer(row[f"{side}_losses"], np.float64), np.frombuffer(row[f"{side}_copies"], np.int64),
     )
 
 
 def survivors(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query row, candidate row) of a tile that may be among the query's k nearest.
 
-    ``floor`` holds a cosine per query that k others are known to reach.
+    ``floor`` holds a cosine per query that k others are known to reach. A query's own row, of
+    the same id and vector and without further copies, is left out.
     """
     # products of int8 codes are whole numbers below 2^24 up to 1,040 dimensions: exact in float32
     kind = np.float32 if q[2].shape[1] <= 1000 else np.float64
@@ -87,6 +88,8 @@ def survivors(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int, floo
     # cos = (q' + dq)(c' + dc); |q'| and |c'| are at most 1 + loss
     room = q[4][:, None] * (1 + c[4]) + c[4] * (1 + q[4][:, None]) + q[4][:, None] * c[4] + 1e-12
     own = q[0][:, None] == c[0]
+    qi, ci = np.nonzero(own)
+    own[qi, ci] = (q[1][qi] == c[1][ci]).all(axis=1) & (c[5][ci] == 1)
     low = np.where(own, -np.inf, about - room)
     kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf)
     return np.nonzero(~own & (about + room >= np.maximum(kth, floor)[:, None]))
@@ -111,9 +114,10 @@ def _search(k: int):
         heaps: dict[int, list[tuple[float, int]]] = {}
 
         def found() -> pa.RecordBatch:
-            rows = [(int(q[0][i]), -v, s) for i, heap in heaps.items() for s, v in heap]
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["query_id", "vec_id", "score"])
+            rows = [(at[1], i, int(q[0][i]), int(q[5][i]), -v, s) for i, heap in heaps.items() for s, v in heap]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            names = ["block", "at", "query_id", "copies", "vec_id", "score"]
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -128,12 +132,15 @@ def _search(k: int):
                     a, e = qi[s : s + PAIRS], ci[s : s + PAIRS]
                     score = exact_cosines(q[1][a], c[1][e])
                     top = _best(a, score, c[0][e], k)
-                    for i, x, v in zip(a[top].tolist(), score[top].tolist(), c[0][e[top]].tolist()):
+                    same = (q[0][a[top]] == c[0][e[top]]) & (q[1][a[top]] == c[1][e[top]]).all(axis=1)
+                    times = np.minimum(c[5][e[top]] - same, k)  # of a row's own copies one is the query itself
+                    for i, x, v, n in zip(a[top].tolist(), score[top].tolist(), c[0][e[top]].tolist(), times.tolist()):
                         heap = heaps.setdefault(i, [])
-                        if len(heap) < k:
-                            heapq.heappush(heap, (x, -v))
-                        elif (x, -v) > heap[0]:
-                            heapq.heapreplace(heap, (x, -v))
+                        for _ in range(n):
+                            if len(heap) < k:
+                                heapq.heappush(heap, (x, -v))
+                            elif (x, -v) > heap[0]:
+                                heapq.heapreplace(heap, (x, -v))
                 for i, heap in heaps.items():
                     if len(heap) == k:
                         floor[i] = heap[0][0] - 1e-12
@@ -149,13 +156,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     ``vectors`` has vec_id and embedding; rows for which ``is_query`` (over vec_id) holds are
     the queries, all rows the candidates. Vectors that are null, empty, all zero, or hold null
     or non-finite components take no part, nor do rows without a vec_id; vectors of different
-    lengths are not compared. A query with fewer than k candidates gets them all. A repeated
-    vec_id is taken once (its lexically smallest vector). Other columns are ignored.
+    lengths are not compared. A query with fewer than k candidates gets them all. Every row is a
+    candidate but the query's own: rows that repeat a vec_id, with the same vector or another, are
+    rows of their own, as queries too. Other columns are ignored.
     """
     x = F.col("vector")
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     fit = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
-    rows = materialize(rows.where(fit).groupBy("vec_id").agg(F.min("vector").alias("vector")))
+    rows = materialize(rows.where(fit).groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies")))
     asking = rows.where(is_query)
     everyone = materialize(_packed(rows, rows.count(), "c"))
     queries = materialize(_packed(asking, asking.count(), "q"))
@@ -164,6 +172,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     c = everyone.withColumn("q_at", F.explode(F.sequence(F.lit(0), F.lit(last["q"]))))
     q = queries.withColumnRenamed("dim", "q_dim").withColumn("c_at", F.explode(F.sequence(F.lit(0), F.lit(last["c"]))))
     tiles = q.join(c.hint("merge"), (F.col("q_dim") == F.col("dim")) & (F.col("q_block") == F.col("q_at")) & (F.col("c_block") == F.col("c_at")))
-    found = tiles.select("dim", *[f"{side}_{name}" for side in "qc" for name in _PARTS]).mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = tiles.select("dim", *[f"{side}_{name}" for side in "qc" for name in _PARTS]).mapInArrow(
+        _search(k), "block int, at int, query_id bigint, copies bigint, vec_id bigint, score double"
+    )
+    w = Window.partitionBy("query_id", "block", "at").orderBy(F.col("score").desc(), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("query_id", "rank", "vec_id", "score")

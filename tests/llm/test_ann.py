@@ -1,5 +1,7 @@
 """Neighbour search beside brute force, the error bound, ties and odd vectors."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,17 +13,17 @@ VECTORS = "vec_id bigint, embedding array<float>, score string, block string"
 
 def brute(rows, k=5):
     rows = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    out = set()
-    for q, a in rows:
+    out = Counter()
+    for at, (q, a) in enumerate(rows):
         if q % 50:
             continue
-        near = sorted((-float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))), i) for i, b in rows if i != q and len(b) == len(a))
-        out |= {(q, r + 1, i, round(-s, 12)) for r, (s, i) in enumerate(near[:k])}
+        near = sorted((-float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))), i) for n, (i, b) in enumerate(rows) if n != at and len(b) == len(a))
+        out.update((q, r + 1, i, round(-s, 12)) for r, (s, i) in enumerate(near[:k]))
     return out
 
 
 def got(df):
-    return {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in df.collect()}
+    return Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in df.collect())
 
 
 def test_query_matches_brute_force(spark, sf):
@@ -33,7 +35,7 @@ def test_survivors_hold_the_true_neighbours():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 32)) * 10.0 ** rng.integers(-20, 20, (400, 1))
     unit = x / np.linalg.norm(x, axis=1)[:, None]
-    side = (np.arange(400), x, *ann.quantised(unit))
+    side = (np.arange(400), x, *ann.quantised(unit), np.ones(400, int))
     qi, ci = ann.survivors(side, side, 3, np.full(400, -np.inf))
     pairs = set(zip(qi.tolist(), ci.tolist()))
     cos = unit @ unit.T
@@ -47,14 +49,11 @@ def test_ties_and_odd_vectors(spark, monkeypatch):
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
     rows += [(i, [1.0, 2.0, 0.0, 0.0, 0.0, 0.0]) for i in range(300, 460)]
     rows += [(500, None), (550, []), (600, [0.0] * 6), (650, [1.0, None] + [1.0] * 4), (700, [float("nan")] + [1.0] * 5), (750, [float("inf")] + [1.0] * 5)]
+    rows += [rows[50]] * 3 + [rows[51]] * 7 + [(100, [2.0, 1.0, 0.0, 0.0, 0.0, 1.0]), (101, rows[100][1])]
     rows += [(None, [1.0] * 6), (800, [1.0, 2.0, 3.0]), (801, [1.0, 2.0, 2.0]), (850, [1.0] * 7), (900, [1e-30] * 6), (900, [1e-30] * 6)]
     vectors = spark.createDataFrame([(*r, "s", "b") for r in rows], VECTORS)
-    seen, once = set(), []
-    for i, v in rows:
-        if i not in seen:
-            seen.add(i)
-            once.append((i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]))
-    want = brute(once)
+    every = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    want = brute(every)
     assert got(ann.nearest(vectors, F.col("vec_id") % 50 == 0)) == want
     monkeypatch.setattr(ann, "BLOCK", 64)
     assert got(ann.nearest(vectors, F.col("vec_id") % 50 == 0)) == want
