@@ -13,10 +13,12 @@ import heapq
 import json
 import math
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalcount.llm.util import hinted
 from shoalcount.operators import ordered
 from shoalcount.session import materialize
 
@@ -48,6 +50,13 @@ def tempered(sizes: Mapping[str, int], power: float = 0.5, slots: int = SLOTS) -
     return {s: max(1, math.floor(slots * n**power / whole + 0.5)) for s, n in sizes.items() if n > 0}
 
 
+def _stored(spark: SparkSession, slots: list[dict], at_once: int = 20_000) -> DataFrame:
+    """One cycle as a stored table, from literals of bounded size."""
+    kind = "array<struct<source: string, turn: int, place: int, weight: int>>"
+    parts = [slots[i : i + at_once] for i in range(0, len(slots), at_once)] or [[]]
+    return materialize(reduce(DataFrame.unionByName, [spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(p)), kind))) for p in parts]))
+
+
 def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
     """One row per document: doc_id, text_key, source, weight, block, slot, position.
 
@@ -56,34 +65,30 @@ def schedule(docs: DataFrame, weights: Mapping[str, int] | None = None, power: f
     document's place, without gaps, among all: when a source has run out, its slots are passed
     over and the others go on in their proportions. A null source is the source ''. Documents
     of a source follow the hash of doc_id, then doc_id and text; rows equal in these are
-    interchangeable, and all stay. More than ``slots`` sources are refused, since the list of
-    sources comes to the driver. An empty table gives no rows.
+    interchangeable, and all stay. With more sources than ``slots`` the cycle has about twice as
+    many slots as there are sources; sources and one cycle pass through the driver, documents
+    never do. An empty table gives no rows.
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix"), key).cast("binary")), 1, 8), 16, 10).cast("bigint")
     rows = materialize(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), source.alias("source"), h.alias("h")))
-    counted = materialize(rows.groupBy("source").count())
-    if counted.count() > slots:
-        raise ValueError(f"more than {slots} sources")
-    sizes = {r["source"]: r["count"] for r in counted.collect()}
-    chosen = dict(weights) if weights is not None else tempered(sizes, power, slots)
+    sizes = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}  # a name and a number a source
+    chosen = dict(weights) if weights is not None else tempered(sizes, power, max(slots, len(sizes)))
     if missing := sorted(s for s in sizes if chosen.get(s, 0) < 1):
         raise ValueError(f"sources without a weight: {missing}")
     chosen = {s: chosen[s] for s in sizes}
     total = sum(chosen.values())
     spark = docs.sparkSession
-    text = json.dumps([{"source": s, "turn": j, "place": i, "weight": chosen[s]} for i, (s, j) in enumerate(cycle(chosen))])
-    kind = "array<struct<source: string, turn: int, place: int, weight: int>>"
-    pattern = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+    pattern = _stored(spark, [{"source": s, "turn": j, "place": i, "weight": chosen[s]} for i, (s, j) in enumerate(cycle(chosen))])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) for c in ("h", "doc_id", "text_key")]
     ranked = ordered.position(rows, ["source"], F.floor(F.col("h") * parts / float(2**32)), order, "__rank")
     block = F.floor(F.col("__rank") / block_rows)
-    blocks = ranked.withColumn("block", block).join(F.broadcast(pattern.select("source", "weight").distinct()), "source")  # one row per source
+    blocks = ranked.withColumn("block", block).join(hinted(materialize(pattern.select("source", "weight").distinct())), "source")  # one row per source
     blocks = blocks.withColumn("turn", (F.col("block") % F.col("weight")).cast("int"))
-    placed = blocks.join(F.broadcast(pattern.drop("weight")), ["source", "turn"])  # one row per slot of a cycle
+    placed = blocks.join(hinted(pattern).drop("weight"), ["source", "turn"])  # one row per slot of a cycle
     placed = materialize(placed.withColumn("slot", F.floor(F.col("block") / F.col("weight")) * total + F.col("place")))
     used = materialize(placed.groupBy("slot").agg(F.count(F.lit(1)).alias("n")))
     before = ordered.running(used, [], F.floor(F.col("slot") / 4096), [F.col("slot")], F.col("n"), "before", exclusive=True)

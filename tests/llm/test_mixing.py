@@ -52,6 +52,17 @@ def test_schedule_and_order(spark):
     assert [position[r["doc_id"]] for r in out.collect()] == list(range(600))
 
 
+def test_more_sources_than_slots(spark):
+    rows = [(i, f"t{i}", f"domain{i % 1500}") for i in range(3200)]
+    plan = mixing.schedule(docs_of(spark, rows), block_rows=1).collect()
+    assert sorted(r["position"] for r in plan) == list(range(3200)) and len({r["source"] for r in plan}) == 1500
+    total = sum({r["source"]: r["weight"] for r in plan}.values())
+    assert total >= 1500
+    for r in plan:  # every block stands in its window
+        turn, cycle = r["block"] % r["weight"], r["block"] // r["weight"]
+        assert turn * total // r["weight"] <= r["slot"] - cycle * total < -(-(turn + 1) * total // r["weight"])
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (None, "x", "a"), (3, "y", "a"), (3, "y", "a"), (4, "z" * 100000, "b")]
     docs = docs_of(spark, rows)
