@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,13 +157,15 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs, sizes = batch.column("langs")[i].as_py(), batch.column("sizes")[i].values.to_numpy()
             raw = np.frombuffer(open_up(batch.column("data")[i].as_py()), np.uint8) if sizes.any() else np.zeros(0, np.uint8)
             high = np.array([codes.get(x, -1) for x in langs], np.int64) << 8 * ORDER
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            keys_of = [xxhash.xxh64_intdigest(raw[a:e].tobytes(), 42) for a, e in zip(ends[:-1], ends[1:])]  # as Spark's xxhash64
             sums = np.zeros(len(langs))
-            for keys, owner in _grams(raw, np.concatenate([[0], np.cumsum(sizes)])):
+            for keys, owner in _grams(raw, ends):
                 found = index.get_indexer(keys | high[owner])
                 if (found < 0).any():
                     raise ValueError("a block's answers lack an n-gram of its texts")
                 sums += np.bincount(owner, held[found], len(langs))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_ids")[i].values), pa.array(langs, pa.string()), pa.array(sizes), pa.array(sums)], names=["doc_id", "lang", "n_bytes", "log_prob"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_ids")[i].values), pa.array(langs, pa.string()), pa.array(sizes), pa.array(sums), pa.array(np.array(keys_of, np.uint64).view(np.int64))], names=["doc_id", "lang", "n_bytes", "log_prob", "text_key"])
 
 
 def model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +193,8 @@ def model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[F.coalesce(F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(LEAST_DISCOUNT), k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")))), F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)],
     )
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    cut = types.join(discounts, ["lang", "n"]).select("lang", "n", "gram", F.shiftright("gram", 8).alias("context"), "c", d.alias("d"))
+    # ORDER rows a language: with them the model's rows stay where they are, not dealt by these few keys
+    cut = types.join(hinted(materialize(discounts)), ["lang", "n"]).select("lang", "n", "gram", F.shiftright("gram", 8).alias("context"), "c", d.alias("d"))
     contexts = materialize(cut.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight")))
     terms = cut.join(contexts, ["lang", "n", "context"]).select("lang", "n", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("term"))
     return terms, contexts.select("lang", "n", "context", "weight")
@@ -209,7 +213,7 @@ def log_probabilities(grams: DataFrame, terms: DataFrame, contexts: DataFrame) -
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, n_bytes, log_prob per document; ``trusted`` (doc_id, stored) names the texts to count.
+    """doc_id, lang, n_bytes, log_prob, text_key (the text's xxhash64) per document; ``trusted`` (doc_id, stored) names the texts to count.
 
     Null and empty texts have 0 bytes. A null lang is the language ''.
     """
@@ -226,7 +230,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     parcels = rows.select("block", "doc_id", "lang", "text").mapInArrow(_parcels, kinds).withColumn("kind", F.lit(1))
     answers = packed.select("block", F.lit(0).alias("kind"), "lang", F.col("g.gram").alias("grams"), F.col("g.value").alias("values"))
     met = answers.unionByName(parcels, allowMissingColumns=True)
-    return met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_scores, "doc_id bigint, lang string, n_bytes bigint, log_prob double")
+    return met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_scores, "doc_id bigint, lang string, n_bytes bigint, log_prob double, text_key bigint")
 
 
 def _quantiles(rows: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
@@ -239,7 +243,7 @@ def _quantiles(rows: DataFrame, value: str, wanted: dict[str, float]) -> DataFra
 
 
 def classify(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per document: doc_id, lang, n_bytes, perplexity, threshold, kept.
+    """One row per document: doc_id, lang, n_bytes, perplexity, threshold, kept, text_key.
 
     Trusted are the documents that ``labels`` (doc_id, quality) gives quality 1 and never 0;
     a quarter of them (by CRC of doc_id) sets the thresholds, the others are counted. A document
@@ -260,14 +264,15 @@ def classify(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> D
     limit = F.exp(F.col("mid") + scale * F.greatest(F.lit(limits.least), limits.slack * F.col("reach")))
     perplexity = F.exp("nats")
     judged = scored.join(ranges, "lang", "left")
-    return judged.select("doc_id", "lang", "n_bytes", perplexity.alias("perplexity"), limit.alias("threshold"), F.coalesce(perplexity <= limit, F.lit(True)).alias("kept"))
+    return judged.select("doc_id", "lang", "n_bytes", perplexity.alias("perplexity"), limit.alias("threshold"), F.coalesce(perplexity <= limit, F.lit(True)).alias("kept"), "text_key")
 
 
 def survivors(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that are not rejected, with their columns as they were.
 
-    A document goes if a rejected row has its doc_id, lang and length in bytes.
+    A document goes if a rejected row has its doc_id, lang and text (by hash and length).
     """
-    key = {"doc_id": F.col("doc_id").cast("bigint"), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "n_bytes": F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint")}
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = {"doc_id": F.col("doc_id").cast("bigint"), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "n_bytes": F.octet_length(text).cast("bigint"), "text_key": F.xxhash64(text)}
     rejected = materialize(classify(docs, labels, limits).where(~F.col("kept")).select(*key).distinct())
     return without(docs, rejected, **key)

@@ -75,6 +75,8 @@ def test_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, "l"), (5, 1, "l"), (6, 1, "l"), (6, 0, "l"), (None, 1, "l"), (99, 1, None), (7, None, None)], LABELS)
     out = quality_lm.classify(docs, labels).collect()
     assert len(out) == len(rows)
+    keys = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()
+    assert sorted(r["text_key"] for r in out) == sorted(r["k"] for r in keys)
     assert all(r["perplexity"] is None and r["kept"] for r in out if r["doc_id"] in (1, 2))
     assert [r["threshold"] for r in out if r["doc_id"] == 3] == [None]
     assert quality_lm.survivors(docs, labels).count() == sum(r["kept"] for r in out)
