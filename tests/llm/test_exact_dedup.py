@@ -38,3 +38,28 @@ def test_index_spans_batches_and_sessions(spark):
     assert second.rows().count() == 3
     plan = second.unseen(second.rows())._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan.split("Physical Plan")[1]
+
+
+def test_a_batch_run_again_gets_its_first_verdict(spark):
+    index = exact_dedup.DigestIndex(spark, scratch_dir(spark, "index-test"), 4)
+    one = docs_of(spark, [(1, "a"), (2, "A"), (3, "b"), (3, "b"), (None, None)])
+    two = docs_of(spark, [(9, "b"), (8, "c")])
+    verdict = lambda docs, name: sorted(map(str, exact_dedup.decide(docs, index, name).collect()))
+    first = verdict(one, "one")
+    assert verdict(one, "one") == first and index.rows().count() == 3
+    second = verdict(two, "two")
+    assert sum("kept=True" in r for r in second) == 1  # c: batch one had b
+    assert verdict(two, "two") == second and verdict(one, "one") == first
+    # an append that broke off after some buckets: the rest follows on the rerun, the verdict stands
+    broken = exact_dedup.DigestIndex(spark, scratch_dir(spark, "index-test"), 4)
+    half = one.where("doc_id = 3").select(exact_dedup.digest(F.col("text")).alias("digest"), F.col("doc_id").alias("keep_id"))
+    broken.append(half.distinct(), "one")
+    assert sorted(map(str, exact_dedup.decide(one, broken, "one").collect())) == first and broken.rows().count() == 3
+
+
+def test_a_row_repeated_over_many_partitions(spark):
+    docs = spark.range(0, 30000, 1, 16).selectExpr("if(id % 3 = 0, id, 5) as doc_id", "if(id % 3 = 0, concat('t', id), 'Same') as text")
+    out = exact_dedup.decide(docs, exact_dedup.fresh_index(spark))
+    assert out.count() == 30000 and out.where("doc_id = 5 and kept").count() == 1
+    assert out.where("doc_id = 5").agg(F.min("group_size"), F.max("group_size")).first() == (20000, 20000)
+    assert exact_dedup.survivors(docs, exact_dedup.fresh_index(spark)).count() == 10001
