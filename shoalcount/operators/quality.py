@@ -197,14 +197,16 @@ def merge_reports(clips: DataFrame, claims: DataFrame) -> DataFrame:
     return j.where(F.col("report") == F.coalesce("claimed", F.lit(0))).drop("claimed")
 
 
-def manifest_rows(status: DataFrame, stats: DataFrame, holdout: DataFrame) -> DataFrame:
+def manifest_rows(status: DataFrame, stats: DataFrame | None, holdout: DataFrame) -> DataFrame:
     """One manifest row per clip: split, partition, status, parsed name, statistics.
 
-    ``status`` has location, clip_name, status, reasons and metadata columns.
+    ``status`` has location, clip_name, status, reasons and metadata columns, and where ``stats``
+    is None the statistics too.
     """
     h = holdout.select("clip_name", F.lit(True).alias("__h")).distinct()
     p = nm.parse_clip_name(F.col("clip_name"))
-    rows = status.join(stats, "clip_name", "left").join(h, "clip_name", "left")
+    rows = status if stats is None else status.join(stats, "clip_name", "left")
+    rows = rows.join(h, "clip_name", "left")
     rows = rows.withColumns({"official_split": nm.official_split(F.col("location")), "__p": p, "__h": F.coalesce("__h", F.lit(False))})
     message = F.concat(F.lit("holdout clip is not a training clip: "), F.col("clip_name"))
     part = F.when(~F.col("__h"), F.col("official_split")).when(F.col("official_split") == "train", "holdout").otherwise(F.raise_error(message).cast("string"))
@@ -221,11 +223,14 @@ def manifest_rows(status: DataFrame, stats: DataFrame, holdout: DataFrame) -> Da
     ).drop("__p", "__h")
 
 
-def name_issues(clips: DataFrame) -> DataFrame:
-    """Clips whose name is invalid or covers another number of frames than the metadata says."""
+def bad_name() -> Column:
+    """Whether the name is invalid or covers another number of frames than the metadata says."""
     p = nm.parse_clip_name(F.col("clip_name"))
-    bad = p.isNull() | (p["stop"] - p["start"] != F.col("num_frames"))
-    return clips.where(bad).select("clip_name", F.lit("invalid_clip_name").alias("code"))
+    return p.isNull() | (p["stop"] - p["start"] != F.col("num_frames"))
+
+
+def name_issues(clips: DataFrame) -> DataFrame:
+    return clips.where(bad_name()).select("clip_name", F.lit("invalid_clip_name").alias("code"))
 
 
 def image_size_issues(frames: DataFrame, clips: DataFrame, tolerance: int = 1, key: str = "clip_id") -> DataFrame:

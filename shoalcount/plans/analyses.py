@@ -26,6 +26,7 @@ from shoalcount.operators import scoring as sc
 from shoalcount.operators import stats as st
 from shoalcount.operators import tracking as tk
 from shoalcount.operators import usability as us
+from shoalcount.operators import validation as vl
 from shoalcount.plans import experiments as ex
 from shoalcount.operators.quantiles import quantiles
 from shoalcount.session import materialize
@@ -244,6 +245,22 @@ def validate_dataset(boxes: DataFrame, clips: DataFrame, on_disk: DataFrame, pre
     }
 
 
+def validate_to_manifest(
+    files: DataFrame, lines: DataFrame, clips: DataFrame, checked: DataFrame, frames: DataFrame, holdout: DataFrame,
+    subset_files: DataFrame | None = None, subset_lines: DataFrame | None = None,
+) -> Tables:
+    """Annotation text, frame files and metadata to issues, report lines and manifest rows; see ``validation.check_clips``."""
+    checks = materialize(vl.check_clips(files, lines, clips, checked, frames, subset_files, subset_lines))
+    issues = vl.issues_of(checks)
+    status = materialize(ql.clip_status(checks.drop(*vl.issue_codes(checks)), issues))
+    rows = ql.manifest_rows(status, None, holdout).withColumn("frames_validated", F.coalesce(F.col("frames_checked") > 0, F.lit(False)))
+    stats = checks.where("checked_boxes").select("clip_id", *vl.STATS)
+    return {
+        "issues": issues, "status": status, "lines": ql.validation_lines(status, issues, stats), "summary": ql.status_summary(status),
+        "totals": ql.issue_totals(issues), "manifest": rows.drop("checked_boxes", "frames_checked"),
+    }
+
+
 def host_parity(a: DataFrame, b: DataFrame, max_px: float = 5.0) -> Tables:
     """Two hosts' detections of the same clips: whether boxes and scores agree to two digits, matches, differences."""
     frames = ["clip_id", "frame_index"]
