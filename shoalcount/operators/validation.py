@@ -16,7 +16,10 @@ from shoalcount.sources import mot
 KEY = "clip_id"
 SHAPES = ("non_positive_box_size", "box_outside_image", "box_partially_outside_image")
 ROW = ("frame", "track_id", "bb_left", "bb_top", "bb_width", "bb_height")
-_n = F.count(F.lit(1))
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def _n_if(condition: Column) -> Column:
@@ -58,7 +61,7 @@ def box_checks(boxes: DataFrame, windows: DataFrame) -> DataFrame:
     index = F.col("frame_index")
     shape = box_issue(F.col("width"), F.col("height"))
     cells = sized.groupBy(KEY, "track_id", "frame_index").agg(
-        _n.alias("n"), F.any_value((index >= F.col("frame_start")) & (index < F.col("frame_stop"))).alias("inside"),
+        _n().alias("n"), F.any_value((index >= F.col("frame_start")) & (index < F.col("frame_stop"))).alias("inside"),
         F.any_value((index < 0) | (index >= F.col("num_frames"))).alias("beyond"), *[_n_if(shape == s).alias(s) for s in SHAPES],
     )
     within = lambda value: F.coalesce(F.sum(F.when(F.col("inside"), value)), F.lit(0))
@@ -74,14 +77,14 @@ def box_checks(boxes: DataFrame, windows: DataFrame) -> DataFrame:
         _n_if(some & (F.col("span") != F.col("frames"))).alias("tracks_with_gaps"), _n_if(F.col("frames") == 1).alias("single_observation_tracks"),
         _n_if(some & (F.col("out") > 0)).alias("tracks_cut_by_window"),
     )
-    seen = cells.where("inside").select(KEY, "frame_index").distinct().groupBy(KEY).agg(_n.alias("annotated_frames"))
+    seen = cells.where("inside").select(KEY, "frame_index").distinct().groupBy(KEY).agg(_n().alias("annotated_frames"))
     return per.join(seen, KEY, "left")
 
 
 def extra_rows(subset: DataFrame, full: DataFrame) -> DataFrame:
     """Rows (parsed text) of the subset file that the full file lacks, counted per recording."""
     known = full.select(KEY, *ROW).distinct()
-    return subset.join(known, [KEY, *ROW], "left_anti").groupBy(KEY).agg(_n.alias("tiny_rows_not_in_gt"))
+    return subset.join(known, [KEY, *ROW], "left_anti").groupBy(KEY).agg(_n().alias("tiny_rows_not_in_gt"))
 
 
 STATS = (

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
-import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from shoalcount.operators import counting as ct
 from shoalcount.operators import matching as mt
 from shoalcount.operators import tracking as tk
 from shoalcount.session import materialize
+from shoalcount.sources.reports import settings
 
 
 def evaluate_trackers(
@@ -43,10 +43,43 @@ def passage_errors(reference: DataFrame, predicted: DataFrame, width: int, heigh
 
 def grid_product(base: Any, vary: Mapping[str, Sequence[Any]]) -> list[Any]:
     """Configurations over the product of values, named after them."""
-    out = []
-    for combo in itertools.product(*vary.values()):
-        values = dict(zip(vary, combo, strict=True))
-        out.append(dataclasses.replace(base, name=",".join(f"{k}={v}" for k, v in values.items()), **values))
+    named = [(",".join(f"{k}={v}" for k, v in values.items()), values) for values in settings({"vary": vary})]
+    return [dataclasses.replace(base, name=name, **values) for name, values in named]
+
+
+Variant = tuple[tk.KalmanConfig, float | None, float | None]
+TRACKER_FIELDS = frozenset(f.name for f in dataclasses.fields(tk.KalmanConfig)) - {"name", "score_threshold"}
+
+
+def _section(where: str, given: Mapping[str, Any] | None, allowed: Collection[str]) -> dict[str, Any]:
+    values = dict(given or {})
+    if unknown := set(values) - set(allowed):
+        raise ValueError(f"{where}: no such setting {sorted(unknown)}")
+    return values
+
+
+def pipeline_variants(plan: Mapping[str, Any]) -> list[Variant]:
+    """Variants of a plan for :func:`analyses.ablation`: tracker, suppression IoU and containment.
+
+    ``base`` has ``score_threshold`` and a ``tracker`` section. A variant may set
+    ``score_threshold``, single fields of ``tracker`` (the others stay the base's) and
+    ``suppression`` (``iou``, ``containment``; what it does not set is off). Anything else, a score
+    threshold outside (0, 1) and a plan that does not begin with ``current`` are refused.
+    """
+    base = _section("base", plan["base"], ("score_threshold", "tracker"))
+    tracker = _section("base tracker", base.get("tracker"), TRACKER_FIELDS)
+    out: list[Variant] = []
+    for name, overrides in plan["variants"].items():
+        own = _section(name, overrides, ("score_threshold", "suppression", "tracker"))
+        threshold = own.get("score_threshold", base["score_threshold"])
+        if not 0 < threshold < 1:
+            raise ValueError(f"{name}: score_threshold must lie between 0 and 1")
+        fields = tracker | _section(f"{name} tracker", own.get("tracker"), TRACKER_FIELDS)
+        suppression = _section(f"{name} suppression", own.get("suppression"), ("iou", "containment"))
+        config = tk.KalmanConfig(name=name, score_threshold=threshold, **fields)
+        out.append((config, suppression.get("iou"), suppression.get("containment")))
+    if not out or out[0][0].name != "current":
+        raise ValueError("variants begin with 'current'")
     return out
 
 

@@ -13,6 +13,7 @@ from shoalcount.checks import quality as qc
 from shoalcount.operators import design as ds
 from shoalcount.operators import intervals as iv
 from shoalcount.plans import analyses as an
+from shoalcount.plans import experiments as ex
 from shoalcount.session import materialize
 
 
@@ -119,3 +120,19 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.scratch_dir(Session, "x")
+
+
+def test_variants_of_a_plan():
+    plan = {
+        "base": {"score_threshold": 0.2, "tracker": {"gate_m": 0.6, "min_hits": 2}},
+        "variants": {"current": None, "loose": {"tracker": {"gate_m": 0.9, "measurement_noise": 0.1}}, "nested": {"score_threshold": 0.3, "suppression": {"containment": 0.7}}},
+    }
+    current, loose, nested = ex.pipeline_variants(plan)
+    assert (current[0].gate_m, current[0].min_hits, current[0].score_threshold, current[1:]) == (0.6, 2, 0.2, (None, None))
+    assert (loose[0].gate_m, loose[0].min_hits, loose[0].measurement_noise) == (0.9, 2, 0.1)
+    assert (nested[0].score_threshold, nested[0].gate_m, nested[1:]) == (0.3, 0.6, (None, 0.7))
+    wrong = [{"current": {"oops": 1}}, {"current": {"tracker": {"oops": 1}}}, {"current": {"suppression": {"oops": 1}}}, {"current": {"score_threshold": 1}}, {"other": {}}, {}]
+    for variants in wrong:
+        with pytest.raises(ValueError):
+            ex.pipeline_variants({**plan, "variants": variants})
+    assert [c.name for c in ex.grid_product(current[0], {"gate_m": [1, 2], "max_age": [3]})] == ["gate_m=1,max_age=3", "gate_m=2,max_age=3"]
