@@ -13,6 +13,7 @@ from shoalcount.checks import review as rc
 from shoalcount.checks import reviewlog as rl
 from shoalcount.operators import tracking as tk
 from shoalcount.plans import analyses as an
+from shoalcount.plans import experiments as ex
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -74,6 +75,30 @@ def pipeline_ablation(s, d):
     return an.ablation(ad.detections(s, d), ad.reference_boxes(s, d), ad.clips(s, d), variants, *SIZE, *METRES)
 
 
+VARIANTS = {
+    "base": {"score_threshold": 0.3, "tracker": {"gate_m": 0.6}},
+    "variants": {"current": {}, "strict": {"score_threshold": 0.6, "tracker": {"min_hits": 5}}, "nested": {"suppression": {"iou": 0.65, "containment": 0.5}}},
+}
+SEEN = cc.SUPPRESS.format(test=f"(({cc.IOU}) > 0.65 OR {cc.CONTAIN} > 0.5)").replace("det a JOIN det b", "dt a JOIN dt b").replace("FROM det GROUP", "FROM dt GROUP")
+SEEN = SEEN.replace("e AS (SELECT a.clip_id", "dt AS (SELECT * FROM det WHERE score>=0.3), e AS (SELECT a.clip_id").replace("SELECT clip_id, frame_index, unnest(kept) AS det_id FROM w WHERE i=len(l)+1", "")
+
+
+@query(SEEN + """SELECT 'current' AS variant, clip_id, count(*) AS detections FROM dt GROUP BY 2 UNION ALL SELECT 'strict', clip_id, count(*) FROM det WHERE score>=0.6 GROUP BY 2
+  UNION ALL SELECT 'nested', clip_id, sum(len(kept)) FROM w WHERE i=len(l)+1 GROUP BY 2""")
+def plan_variant_detections(s, d):
+    out = None
+    for variant in ex.pipeline_variants(VARIANTS):
+        seen = ex.apply_variant(ad.detections(s, d), variant).groupBy("clip_id").agg(F.count(F.lit(1)).alias("detections"))
+        seen = seen.select(F.lit(variant[0].name).alias("variant"), "*")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+@query(ev.ORACLE["paired_bootstrap"])
+def compared_systems(s, d):
+    return an.compare_systems(ev.system(s, d, "a"), ev.system(s, d, "b"), resamples=ev.B)["comparison"]
+
+
 @query(rl.REPLAY + " SELECT job_id, event_id, counted_nearby FROM rpl")
 def same_fish_decisions(s, d):
     groups = ad.review_jobs(s, d).select("job_id", F.lit("g").alias("group"))

@@ -153,7 +153,7 @@ def review_prioritisation(
 
 
 def ablation(
-    detections: DataFrame, reference: DataFrame, clips: DataFrame, variants: Sequence[tuple[tk.KalmanConfig, float | None, float | None]],
+    detections: DataFrame, reference: DataFrame, clips: DataFrame, variants: Sequence[ex.Variant],
     width: int, height: int, mx: float, my: float,
 ) -> DataFrame:
     """Pipeline variants (tracker, suppression IoU, suppression containment) with nMAE and
@@ -162,8 +162,9 @@ def ablation(
         raise ValueError("the first variant must be 'current'")
     ref_tracks = materialize(ct.count_trajectories(reference, width, height))
     rows = None
-    for config, iou, containment in variants:  # a handful of declared variants, one plan each
-        kept = materialize(mt.suppress_overlaps(detections.where(F.col("score") >= config.score_threshold), iou, containment))
+    for variant in variants:  # a handful of declared variants, one plan each
+        config = variant[0]
+        kept = materialize(ex.apply_variant(detections, variant))
         tracks = materialize(tk.track(kept, [config], mx, my).drop("variant"))
         errors = ex.passage_errors(reference, tracks, width, height)
         counts = ct.paired_counts(clips.select("clip_id"), ct.tally(ref_tracks), ct.tally(ct.count_trajectories(tracks, width, height)))

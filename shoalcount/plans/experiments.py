@@ -113,3 +113,9 @@ def tune(
         log.append({"vary": dict(vary), "best": winner.name, "nmae": seen[key(winner)][0], "kept": improved, "grid_edge": edges})
         best = winner if improved else best
     return best, log
+
+
+def apply_variant(detections: DataFrame, variant: Variant) -> DataFrame:
+    """The detections that a variant's tracker sees: above its threshold, without suppressed ones."""
+    config, iou, containment = variant
+    return mt.suppress_overlaps(detections.where(F.col("score") >= config.score_threshold), iou, containment)
