@@ -57,35 +57,41 @@ def path_lengths(boxes: DataFrame, mx: Column | float, my: Column | float, block
 
     A track is cut into blocks of frames. Inside a block (at most one box per frame) the steps
     are added up on a sorted array; between blocks only the first and last centres meet. So
-    the boxes shuffle once, and one endless track is still many small groups.
+    the boxes shuffle once, and one endless track is still many small groups. Doubles are added in
+    order of frames and blocks, so the sums do not hang on the order in which rows arrive. Boxes
+    without a score do not count in the mean.
     """
     cx, cy = g.center_m(g.box(), F.lit(mx), F.lit(my))
-    point = F.struct(F.col("frame_index").alias("f"), cx.alias("x"), cy.alias("y"))
+    point = F.struct(F.col("frame_index").alias("f"), cx.alias("x"), cy.alias("y"), F.col("score").cast("double").alias("s"))
     keys = ["clip_id", "track_id"]
     blocks = boxes.groupBy(*keys, F.floor(F.col("frame_index") / block).alias("blk")).agg(
         F.sort_array(F.collect_list(point)).alias("pts"),
-        F.sum("score").alias("score_sum"),
+        F.count("score").alias("scored"),
         F.min("score").alias("min_score"),
     )
     step = "sqrt((pts[i].x-pts[i-1].x)*(pts[i].x-pts[i-1].x)+(pts[i].y-pts[i-1].y)*(pts[i].y-pts[i-1].y))"
     inner = F.expr(
         f"if(size(pts) < 2, 0D, aggregate(transform(sequence(1, size(pts) - 1), i -> {step}), 0D, (a, v) -> a + v))"
     )
+    score_sum = F.aggregate(F.col("pts"), F.lit(0.0), lambda total, p: total + F.coalesce(p["s"], F.lit(0.0)))
     slim = blocks.select(
         *keys, "blk", inner.alias("inner"), F.element_at("pts", 1).alias("a"), F.element_at("pts", -1).alias("b"),
-        F.size("pts").alias("n"), "score_sum", "min_score",
+        score_sum.alias("score_sum"), "scored", "min_score",
     )
     prev = F.lag("b").over(Window.partitionBy(*keys).orderBy("blk"))
     dist = lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]))
     joined = slim.withColumn("prev", prev).withColumn("seam", F.coalesce(dist(F.col("a"), F.col("prev")), F.lit(0.0)))
+    part = F.struct("blk", "score_sum", (F.col("inner") + F.col("seam")).alias("path"))
+    total = lambda field: F.aggregate(F.col("parts"), F.lit(0.0), lambda t, p: t + p[field])
     out = joined.groupBy(*keys).agg(
-        (F.sum("score_sum") / F.sum("n")).alias("mean_score"),
+        F.sort_array(F.collect_list(part)).alias("parts"),
+        F.sum("scored").alias("scored"),
         F.min("min_score").alias("min_score"),
-        F.sum(F.col("inner") + F.col("seam")).alias("path_m"),
         F.min_by("a", "blk").alias("a"),
         F.max_by("b", "blk").alias("b"),
     )
-    return out.withColumn("net_m", dist(F.col("b"), F.col("a"))).drop("a", "b")
+    mean = total("score_sum") / F.nullif("scored", F.lit(0))
+    return out.select(*keys, mean.alias("mean_score"), "min_score", total("path").alias("path_m"), dist(F.col("b"), F.col("a")).alias("net_m"))
 
 
 def track_features(boxes: DataFrame, counts: DataFrame, mx: Column | float, my: Column | float, line: float = 0.5) -> DataFrame:
