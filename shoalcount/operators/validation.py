@@ -1,7 +1,7 @@
 """Validation of whole recordings: annotation text, frame files and metadata to issues and statistics.
 
-Every check is an aggregate per recording. Boxes are read once into (recording, track, frame)
-cells; what is stored has one row a recording.
+Every check is an aggregate per recording. Text is parsed once and its numbers are stored, for
+the checks that read them; boxes are read once into (recording, track, frame) cells.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shoalcount.operators.boxes import box_issue
 from shoalcount.operators.quality import bad_name, coverage_issues, severity
+from shoalcount.session import materialize
 from shoalcount.sources import mot
 
 KEY = "clip_id"
@@ -81,6 +82,11 @@ def box_checks(boxes: DataFrame, windows: DataFrame) -> DataFrame:
     return per.join(seen, KEY, "left")
 
 
+def parsed_rows(lines: DataFrame) -> DataFrame:
+    """The numbers of a text and the ``error`` of each row, stored: a filter on them parses nothing again."""
+    return materialize(mot.parse_lines(lines).select(KEY, *ROW, "error"))
+
+
 def extra_rows(subset: DataFrame, full: DataFrame) -> DataFrame:
     """Rows (parsed text) of the subset file that the full file lacks, counted per recording."""
     known = full.select(KEY, *ROW).distinct()
@@ -113,7 +119,7 @@ def check_clips(
     without rows has statistics of zeros.
     """
     windowed = subset_lines is not None
-    parsed = mot.parse_lines(lines)
+    parsed = parsed_rows(lines)
     bad = parsed.where("error is not null").select(KEY).distinct().withColumn("bad_text", F.lit(True))
     known = clips.select(KEY, "location", "clip_name", "num_frames", "width", "height", "framerate")
     cover = coverage_issues(files, clips, KEY).withColumnRenamed("code", "cover")
@@ -134,16 +140,16 @@ def check_clips(
     # frames outside the recording are looked for before the window is known
     beyond = F.when(F.col("checked_boxes"), F.col("frame_start")).otherwise(0), F.when(F.col("checked_boxes"), F.col("frame_stop")).otherwise(0)
     windows = base.where("checked_frames").select(KEY, "num_frames", "width", "height", beyond[0].alias("frame_start"), beyond[1].alias("frame_stop"))
-    good = mot.good_rows(parsed)
+    good = parsed.where("error is null").drop("error")
     boxes = good.select(
         KEY, (F.col("frame") - 1).alias("frame_index"), "track_id", (F.col("bb_left") - 1).alias("x_min"), (F.col("bb_top") - 1).alias("y_min"),
         (F.col("bb_left") - 1 + F.col("bb_width")).alias("x_max"), (F.col("bb_top") - 1 + F.col("bb_height")).alias("y_max"),
     )
     out = base.join(box_checks(boxes, windows), KEY, "left")
     if windowed:
-        sub = mot.parse_lines(subset_lines)
+        sub = parsed_rows(subset_lines)
         torn = sub.where("error is not null").select(KEY).distinct().withColumn("bad_subset", F.lit(True))
-        out = out.join(extra_rows(mot.good_rows(sub), good), KEY, "left").join(torn, KEY, "left")
+        out = out.join(extra_rows(sub.where("error is null").drop("error"), good), KEY, "left").join(torn, KEY, "left")
         out = out.join(subset_files.select(KEY, F.lit(True).alias("has_subset")).distinct(), KEY, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     one = lambda condition: F.when(condition, 1).otherwise(0)
