@@ -71,6 +71,11 @@ class ByteTrackConfig:
         return self.min_length
 
 
+#: Allowed pairs a row, on average, beyond which rows of a matrix beat lists of pairs.
+CROWDED = 128
+BIG = 1e6
+
+
 def assign(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
     """Most allowed pairs, then least total cost, one to one.
 
@@ -83,14 +88,65 @@ def assign(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
     i, j = np.nonzero(alone)
     pairs = list(zip(rows[i].tolist(), cols[j].tolist()))
     rows, cols = np.delete(rows, i), np.delete(cols, j)
-    n, m = len(rows), len(cols)
-    if n == 0 or m == 0:
+    if len(rows) == 0 or len(cols) == 0:
         return pairs
+    cost, allowed = cost[np.ix_(rows, cols)], allowed[np.ix_(rows, cols)]
+    solve = _paths_in_matrix if np.count_nonzero(allowed) > CROWDED * len(rows) else _paths_in_lists
+    return pairs + [(int(rows[r]), int(cols[k])) for r, k in solve(cost, allowed)]
+
+
+def _paths_in_lists(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
+    """Paths over each row's allowed columns: work in proportion to what they touch."""
+    n, m = cost.shape
     # one private "stay unmatched" column per row makes every row assignable
-    big = 1e6
-    c = np.full((n, m + n), 2 * big)
-    c[:, :m] = np.where(allowed[np.ix_(rows, cols)], cost[np.ix_(rows, cols)], 2 * big)
-    c[np.arange(n), m + np.arange(n)] = big
+    edges: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    at_row, at_col = np.nonzero(allowed)
+    for r, k, c in zip(at_row.tolist(), at_col.tolist(), cost[at_row, at_col].tolist()):
+        edges[r].append((k, c))
+    price, owner, gain = [0.0] * (m + n), [-1] * (m + n), [0.0] * n
+    for start in range(n):
+        low, at = BIG, m + start
+        for k, c in reversed(edges[start]):
+            if c - price[k] <= low:
+                low, at = c - price[k], k
+        if owner[at] < 0:  # the nearest column is free: the path ends there
+            gain[start], owner[at] = low, start
+            continue
+        dist: dict[int, float] = {}
+        back: dict[int, int] = {}
+        seen: dict[int, float] = {}
+        row, low, at = start, 0.0, -1
+        while True:
+            paid = gain[row]
+            for k, c in (*edges[row], (m + row, BIG)):
+                if k not in seen:
+                    reach = low + c - paid - price[k]
+                    if reach < dist.get(k, np.inf):
+                        dist[k], back[k] = reach, at
+            low = min(dist.values())
+            at = min([k for k, d in dist.items() if d == low])
+            seen[at] = dist.pop(at)
+            if owner[at] < 0:
+                break
+            row = owner[at]
+        gain[start] += low
+        for k, d in seen.items():
+            if owner[k] >= 0:
+                gain[owner[k]] += low - d
+            price[k] -= low - d
+        while at >= 0:
+            prev = back[at]
+            owner[at] = start if prev < 0 else owner[prev]
+            at = prev
+    return [(owner[k], k) for k in range(m) if owner[k] >= 0]
+
+
+def _paths_in_matrix(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
+    """The same paths over whole rows at a time, where most pairs are allowed."""
+    n, m = cost.shape
+    c = np.full((n, m + n), 2 * BIG)
+    c[:, :m] = np.where(allowed, cost, 2 * BIG)
+    c[np.arange(n), m + np.arange(n)] = BIG
     price, owner = np.zeros(m + n), np.full(m + n, -1)
     gain = np.zeros(n)
     for start in range(n):
@@ -114,8 +170,7 @@ def assign(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
             prev = back[at]
             owner[at] = start if prev < 0 else owner[prev]
             at = prev
-    pairs += [(int(rows[owner[k]]), int(cols[k])) for k in range(m) if owner[k] >= 0 and c[owner[k], k] < big]
-    return pairs
+    return [(int(owner[k]), k) for k in range(m) if owner[k] >= 0 and c[owner[k], k] < BIG]
 
 
 class _Tracks:
@@ -166,7 +221,8 @@ class _Kalman:
         z = d[:, :2]
         t.predict(c.process_noise**2, c.process_noise**2)
         label = np.full(len(z), -1, np.int64)
-        dist = np.sqrt(((t.pos[:, None, :] - z[None, :, :]) ** 2).sum(2))
+        dx, dy = t.pos[:, :1] - z[None, :, 0], t.pos[:, 1:] - z[None, :, 1]
+        dist = np.sqrt(dx * dx + dy * dy)
         allowed = dist <= c.gate_m
         if c.gate_sigma is not None:
             allowed &= dist / np.sqrt(t.pp[:, :1] + c.measurement_noise**2) <= c.gate_sigma
@@ -227,10 +283,11 @@ class _ByteTrack:
             if len(ti) == 0 or len(di) == 0:
                 continue
             iou = _overlap(predicted[ti], b[di])
-            for i, j in assign(1 - iou, iou >= least):
-                at = np.array([ti[i]])
-                t.correct(at, z[[di[j]]], self._noise(t.pos[at, 3], 1 / 20, 1e-1))
-                t.misses[at], free[at], label[di[j]] = 0, False, t.id[ti[i]]
+            if pairs := assign(1 - iou, iou >= least):
+                i, j = (np.array(x) for x in zip(*pairs))
+                at, got = ti[i], di[j]
+                t.correct(at, z[got], self._noise(t.pos[at, 3], 1 / 20, 1e-1))
+                t.misses[at], free[at], label[got] = 0, False, t.id[at]
         t.keep(t.misses <= c.max_lost)
         new = np.nonzero(high & (label < 0) & (score >= c.new_track_threshold))[0]
         label[new] = np.arange(self.next_id, self.next_id + len(new))
@@ -240,43 +297,43 @@ class _ByteTrack:
         return label
 
 
-def _frames(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole frames, in order; the last frame of a batch waits for the next batch."""
+def _frames(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Rows of whole frames, in order, with where each frame starts and the last one ends; the
+    last frame of a batch waits for the next batch."""
     rest: pd.DataFrame | None = None
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        key = pdf[[*KEYS, "frame_index"]]
-        cut = np.nonzero((key != key.shift()).any(axis=1).to_numpy())[0].tolist()
-        for a, b in zip(cut[:-1], cut[1:]):
-            yield pdf.iloc[a:b]
+        fresh = np.zeros(len(pdf), bool)
+        fresh[:1] = True
+        for c in (*KEYS, "frame_index"):
+            v = pdf[c].to_numpy()
+            fresh[1:] |= v[1:] != v[:-1]
+        cut = np.nonzero(fresh)[0].tolist()
+        if len(cut) > 1:
+            yield pdf.iloc[: cut[-1]], cut
         rest = pdf.iloc[cut[-1]:] if cut else pdf
     if rest is not None and len(rest):
-        yield rest
+        yield rest, [0, len(rest)]
 
 
 def _runner(configs: dict[str, KalmanConfig | ByteTrackConfig]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tracker, last, out, held = None, None, 0, [], 0
+        current, tracker, last = None, None, 0
         empty = np.empty((0, 7))
-        for f in _frames(batches):
-            head = f.iloc[0]
-            key = (head["variant"], head["clip_id"], head["segment"])
-            frame = int(head["frame_index"])
-            if key != current:
-                config = configs[key[0]]
-                tracker = _Kalman(config) if isinstance(config, KalmanConfig) else _ByteTrack(config)
-                current, last = key, frame - 1
-            for _ in range(frame - last - 1):
-                tracker.step(empty)
-            last = frame
-            label = tracker.step(f[["cx", "cy", *g.EDGES, "score"]].to_numpy(float))
-            out.append(f[[*KEYS, "frame_index", "det_id"]].assign(local_id=label))
-            held += len(f)
-            if held >= 10_000:
-                yield pd.concat(out)
-                out, held = [], 0
-        if out:
-            yield pd.concat(out)
+        for pdf, cut in _frames(batches):
+            variant, clip, segment, frames = (pdf[c].to_numpy() for c in (*KEYS, "frame_index"))
+            rows, label = pdf[["cx", "cy", *g.EDGES, "score"]].to_numpy(float), np.empty(len(pdf), np.int64)
+            for a, b in zip(cut[:-1], cut[1:]):
+                key, frame = (variant[a], clip[a], segment[a]), int(frames[a])
+                if key != current:
+                    config = configs[key[0]]
+                    tracker = _Kalman(config) if isinstance(config, KalmanConfig) else _ByteTrack(config)
+                    current, last = key, frame - 1
+                for _ in range(frame - last - 1):
+                    tracker.step(empty)
+                last = frame
+                label[a:b] = tracker.step(rows[a:b])
+            yield pdf[[*KEYS, "frame_index", "det_id"]].assign(local_id=label)
 
     return run
 

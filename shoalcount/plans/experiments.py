@@ -20,7 +20,7 @@ def evaluate_trackers(
     detections: DataFrame, ref_tracks: DataFrame, clips: DataFrame, configs: Sequence, mx: float, my: float, width: int, height: int,
 ) -> DataFrame:
     """Errors of every configuration in one job: one tracking pass over (variant, clip)."""
-    tracks = tk.track(detections, configs, mx, my)
+    tracks = tk.track(materialize(detections), configs, mx, my)  # read three times
     counts = ct.count_trajectories(tracks, width, height, keys=("variant", "clip_id", "track_id"))
     pred = ct.tally(counts, ["variant", "clip_id"]).select("variant", "clip_id", F.col("right").alias("pred_right"), F.col("left").alias("pred_left"))
     ref = ct.tally(ref_tracks).select("clip_id", F.col("right").alias("ref_right"), F.col("left").alias("ref_left"))
