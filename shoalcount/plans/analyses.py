@@ -160,14 +160,17 @@ def ablation(
     passage errors; ``selected`` marks the winner, ties keeping 'current'."""
     if not variants or variants[0][0].name != "current":
         raise ValueError("the first variant must be 'current'")
+    reference, detections = materialize(reference), materialize(detections)  # read several times by every variant
     ref_tracks = materialize(ct.count_trajectories(reference, width, height))
+    clips = materialize(clips.select("clip_id"))
     rows = None
     for variant in variants:  # a handful of declared variants, one plan each
         config = variant[0]
         kept = materialize(ex.apply_variant(detections, variant))
         tracks = materialize(tk.track(kept, [config], mx, my).drop("variant"))
-        errors = ex.passage_errors(reference, tracks, width, height)
-        counts = ct.paired_counts(clips.select("clip_id"), ct.tally(ref_tracks), ct.tally(ct.count_trajectories(tracks, width, height)))
+        pred_tracks = materialize(ct.count_trajectories(tracks, width, height))
+        errors = ex.passage_errors(reference, tracks, ref_tracks, pred_tracks)
+        counts = ct.paired_counts(clips, ct.tally(ref_tracks), ct.tally(pred_tracks))
         score = counts.agg(
             ct.ratio(F.sum(ct.absolute_error()), F.sum(F.col("ref_right") + F.col("ref_left"))).alias("nmae"), F.sum(ct.absolute_error()).alias("errors")
         )

@@ -32,10 +32,9 @@ def evaluate_trackers(
     )
 
 
-def passage_errors(reference: DataFrame, predicted: DataFrame, width: int, height: int) -> DataFrame:
-    """Passage-level errors on both sides of one variant's tracks; one row."""
-    rc = materialize(ct.count_trajectories(reference, width, height))
-    pc = materialize(ct.count_trajectories(predicted, width, height))
+def passage_errors(reference: DataFrame, predicted: DataFrame, rc: DataFrame, pc: DataFrame) -> DataFrame:
+    """Passage-level errors on both sides of one variant's tracks; one row. ``rc`` and ``pc``: the
+    counted trajectories of both, stored."""
     f = materialize(mt.match_features(mt.match_tracks(reference, predicted), rc, pc))
     both = mt.reference_outcomes(f, rc).select("outcome").unionByName(mt.predicted_outcomes(f, pc).select("outcome"))
     return both.agg(F.count(F.when(F.col("outcome") != "counted", 1)).alias("passage_errors"))
