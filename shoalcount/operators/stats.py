@@ -2,13 +2,15 @@
 
 Resampling draws with a portable integer mixer of (stream, resample, slot), so any engine can
 replay it. A group's values are packed into blocks of arrays by a dense index; a draw reads
-what it takes from an array, and only sums per (group, draw) travel. Each block of slots meets
-each block of values of its group, so a group of any size is many bounded pieces of work.
+what it takes from an array, and only sums per (group, draw) travel. A piece of work streams a
+span of blocks into arrays of the narrowest type and draws all its slots from them; each range of
+slots meets each span of its group, so a group of any size is many bounded pieces of work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from shoalcount.functions.hashing import draw_keys, hash32, hash_bucket, mix32_array
 from shoalcount.operators.counting import ratio
 from shoalcount.operators.ordered import position
-from shoalcount.session import materialize
+from shoalcount.session import materialize, materialize_counted
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], item: str, name: str = "j") -> DataFrame:
@@ -39,46 +41,79 @@ def numbered(rows: DataFrame, name: str, n: int, step: int = 100) -> DataFrame:
 
 #: Values in a block; resamples in one piece of work; cells (resample x slot) drawn at a time.
 BLOCK, DRAWS, CELLS = 1 << 18, 250, 1 << 18
+#: Blocks (of values, and of slots) that one piece of work holds or walks.
+SPAN = 32
 
 
 def packed(df: DataFrame, keys: Sequence[str], item: str, values: Sequence[str]) -> DataFrame:
-    """Blocks of a group's values as arrays: keys, n (of the group), block, values; stored."""
-    indexed = materialize(dense_index(df.select(*keys, item, *values), keys, item))
+    """Blocks of a group's values as arrays: keys, n (of the group), block, values; stored.
+    Whole numbers are stored as short ones where all of them fit."""
+    chosen = df.select(*keys, item, *values)
+    whole = [v for v, kind in chosen.dtypes if v in values and kind in ("bigint", "int", "smallint", "tinyint")]
+    wide = reduce(lambda a, b: a | b, [~F.col(v).between(-(2**15), 2**15 - 1) for v in whole], F.lit(False))
+    indexed, large = materialize_counted(dense_index(chosen, keys, item), wide)
     sizes = indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     rows = F.sort_array(F.collect_list(F.struct("j", *values)))
     blocks = indexed.groupBy(*keys, F.floor(F.col("j") / BLOCK).alias("block")).agg(rows.alias("rows"))  # at most BLOCK rows
-    arrays = [F.col(f"rows.{v}").alias(v) for v in values]
+    short = [] if large else whole
+    arrays = [(F.col(f"rows.{v}").cast("array<smallint>") if v in short else F.col(f"rows.{v}")).alias(v) for v in values]
     return materialize(blocks.join(sizes, list(keys)).select(*keys, "n", "block", *arrays))
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest signed type that holds them."""
+    if a.dtype.kind != "i" or not len(a):
+        return a
+    low, high = int(a.min()), int(a.max())
+    return a.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def _spans(batches: Iterator[pa.RecordBatch], keys: Sequence[str], values: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
+    """Per piece of work: its last row, the index of its first value, and its values."""
+    held, before, b, low = [], None, None, 0
+    for whole in batches:
+        for i in range(whole.num_rows):
+            one = whole.slice(i, 1)
+            block, slots, draws = (one.column(c)[0] for c in ("block", "slots", "draws"))
+            piece = (*[one.column(k)[0].as_py() for k in keys], block.as_py() // SPAN, slots.as_py(), draws.values[0].as_py())
+            if piece != before:
+                if held:
+                    yield b, low, [np.concatenate(a) for a in zip(*held)]
+                held, before, low = [], piece, block.as_py() * BLOCK
+            held.append([_narrow(one.column(v)[0].values.to_numpy(zero_copy_only=False)) for v in values])
+            b = one
+    if held:
+        yield b, low, [np.concatenate(a) for a in zip(*held)]
+
+
 def _sums(keys: Sequence[str], values: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(whole.num_rows):
-                b = whole.slice(i, 1)
-                n, block, slots_of, stream = (b.column(c)[0].as_py() for c in ("n", "block", "slots", "stream"))
-                arrays = [b.column(v)[0].values.to_numpy(zero_copy_only=False) for v in values]
-                draws = b.column("draws")[0].values.to_numpy()
-                held, taken = draw_keys(stream, draws), [np.zeros(len(draws), a.dtype) for a in arrays]
-                count = np.zeros(len(draws), np.int64)
-                for at in range(slots_of * BLOCK, min(n, (slots_of + 1) * BLOCK), CELLS):
-                    slots = mix32_array(np.arange(at, min(n, (slots_of + 1) * BLOCK, at + CELLS), dtype=np.int64).astype(np.uint32))
-                    step = max(1, CELLS // len(slots))
-                    for d in range(0, len(draws), step):
-                        pick = mix32_array(held[d : d + step, None] ^ slots[None, :])
-                        pick = pick % np.uint32(n) if n < 2**32 else pick.astype(np.int64)
-                        if n <= BLOCK:
-                            count[d : d + step] += len(slots)
-                            for out, a in zip(taken, arrays):
-                                out[d : d + step] += a[pick].sum(axis=1)
-                        else:
-                            who, what = np.nonzero((pick >= block * BLOCK) & (pick < block * BLOCK + len(arrays[0])))
-                            at_ = pick[who, what] - block * BLOCK
-                            count[d : d + step] += np.bincount(who, minlength=len(pick))
-                            for out, a in zip(taken, arrays):
-                                np.add.at(out, d + who, a[at_])
-                same = [b.column(k).take(pa.array(np.zeros(len(draws), np.int64))) for k in keys]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(draws), *map(pa.array, taken), pa.array(count)], names=[*keys, "draw", *values, "drawn"])
+        for b, low, arrays in _spans(batches, keys, values):
+            n, slots_of, stream = (b.column(c)[0].as_py() for c in ("n", "slots", "stream"))
+            draws, size = b.column("draws")[0].values.to_numpy(), len(arrays[0])
+            held, taken = draw_keys(stream, draws), [np.zeros(len(draws), np.float64 if a.dtype.kind == "f" else np.int64) for a in arrays]
+            count = np.zeros(len(draws), np.int64)
+            end = min(n, (slots_of + 1) * SPAN * BLOCK)
+            for at in range(slots_of * SPAN * BLOCK, end, CELLS):
+                slots = mix32_array(np.arange(at, min(end, at + CELLS), dtype=np.int64).astype(np.uint32))
+                step = max(1, CELLS // len(slots))
+                for d in range(0, len(draws), step):
+                    pick = mix32_array(held[d : d + step, None] ^ slots[None, :])
+                    if n < 2**32:
+                        pick -= pick // np.uint32(n) * np.uint32(n)
+                    pick = pick.astype(np.int64)
+                    if size == n:
+                        count[d : d + step] += len(slots)
+                        for out, a in zip(taken, arrays):
+                            out[d : d + step] += a.take(pick).sum(axis=1)
+                        continue
+                    for row, p in enumerate(pick, d):
+                        p = p[(p >= low) & (p < low + size)] - low
+                        count[row] += len(p)
+                        for out, a in zip(taken, arrays):
+                            out[row] += a.take(p).sum()
+            same = [b.column(k).take(pa.array(np.zeros(len(draws), np.int64))) for k in keys]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(draws), *map(pa.array, taken), pa.array(count)], names=[*keys, "draw", *values, "drawn"])
 
     return run
 
@@ -90,12 +125,14 @@ def draw_sums(work: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Da
     (keys, draw) must meet all blocks of its keys.
     """
     parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = work.withColumn("slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))))
-    pieces = pieces.repartition(parts, *keys, "block", "slots", F.col("draws")[0])
+    pieces = work.withColumn("slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / (SPAN * BLOCK)).cast("int"))))
+    piece = [*keys, F.floor(F.col("block") / SPAN), "slots", F.col("draws")[0]]
     kinds = dict(work.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["draw bigint"] + [f"`{v}` {'double' if 'double' in kinds[v] else 'bigint'}" for v in values] + ["drawn bigint"])
-    arrays = [F.col(v).cast(f"array<{'double' if 'double' in kinds[v] else 'bigint'}>").alias(v) for v in values]
-    found = pieces.select(*keys, "n", "block", "slots", "stream", "draws", *arrays).mapInArrow(_sums(keys, values), schema)
+    whole = ("array<bigint>", "array<int>", "array<smallint>", "array<tinyint>", "array<double>")
+    arrays = [F.col(v) if kinds[v] in whole else F.col(v).cast("array<bigint>").alias(v) for v in values]
+    dealt = pieces.select(*keys, "n", "block", "slots", "stream", "draws", *arrays).repartition(parts, *piece)
+    found = dealt.sortWithinPartitions(*piece, "block").mapInArrow(_sums(keys, values), schema)
     return found.groupBy(*keys, "draw").agg(*[F.sum(v).alias(v) for v in values], F.sum("drawn").alias("drawn"))
 
 
