@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shoalcount.operators import audit as au
 from shoalcount.operators import intervals as iv
 from shoalcount.operators import ordered as od
+from shoalcount.session import materialize_counted as keep
 from shoalcount.sources import artifacts, files, manifest, metadata, mot, reports
 
 
@@ -170,6 +171,26 @@ def test_config_is_flattened_by_type_to_any_depth(spark):
     }
 
 
+def test_config_of_many_levels_is_stored_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(reports, "materialize_counted", lambda df, open_: stored.append(1) or keep(df, open_), raising=False)
+    monkeypatch.setattr(reports, "materialize", lambda df: stored.append(1) or keep(df, F.lit(False))[0], raising=False)
+    nested = lambda n: '{"k":' * n + "1.5" + "}" * n
+    got = reports.flatten_config(spark.createDataFrame([(1, nested(8))], "id int, text string")).collect()
+    assert [(r["key"], r["value"]) for r in got] == [("k" + ".k" * 7, "1.5")] and len(stored) == 1
+    got = reports.flatten_config(spark.createDataFrame([(1, nested(20))], "id int, text string")).collect()
+    assert [(r["key"], r["value"]) for r in got] == [("k" + ".k" * 19, "1.5")] and len(stored) <= 4
+
+
+def test_config_with_a_repeated_name_or_a_long_object(spark):
+    long = '{"w":{' + ",".join(f'"k{i}":{{"v":"true","n":{{}},"x":[ {i} ]}}' for i in range(500)) + "}}"
+    rows = [(1, '{"a":1,"a":{"b":2}}'), (2, '{"b":{"a":1,"a":2}}'), (3, long), (4, None), (5, '{"a":{"b":1}')]
+    got = reports.flatten_config(spark.createDataFrame(rows, "id int, text string")).collect()
+    assert {r["id"] for r in got} == {1, 3} and [(r["key"], r["value"]) for r in got if r["id"] == 1] == [("a", "1")]
+    want = {(f"w.k{i}.{k}", v) for i in range(500) for k, v in (("v", "true"), ("x", f"[{i}]"))}
+    assert {(r["key"], r["value"]) for r in got if r["id"] == 3} == want
+
+
 def test_metrics_take_numbers_and_booleans_only(spark):
     line = '{"iteration":3,"loss":1.5,"n":2,"b":true,"t":"7","u":"true","z":null,"l":[1]}'
     rows = reports.metric_rows(spark.createDataFrame([(line,)], "line string")).collect()
