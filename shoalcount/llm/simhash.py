@@ -104,13 +104,14 @@ def links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
     calm = without(whole, crowded, seg=F.col("seg"), val=F.col("val"))
     x = calm.select("seg", "val", F.col("fp").alias("a"))
     y = calm.select(F.col("seg").alias("s2"), F.col("val").alias("v2"), F.col("fp").alias("b"))
-    same = x.join(y, (x.seg == y.s2) & (x.val == y.v2) & (F.col("a") < F.col("b")) & close("a", "b")).select("a", "b")
+    # opened rows are many times what the plan takes them for: never broadcast
+    same = x.join(y.hint("merge"), (x.seg == y.s2) & (x.val == y.v2) & (F.col("a") < F.col("b")) & close("a", "b")).select("a", "b")
 
     key = (F.col("seg") * 32 + F.col("pos")).cast("bigint") * 2**32 + F.col("val")
     calm = without(wild, busy, seg=F.col("seg"), pos=F.col("pos"), val=F.col("val"))
     zero = calm.where("side = 0").select(key.alias("k0"), F.col("fp").alias("a"))
     one = calm.where("side = 1").select(key.alias("k1"), F.col("fp").alias("b"))
-    near = zero.join(one, (F.col("k0") == F.col("k1")) & close("a", "b")).select("a", "b")
+    near = zero.join(one.hint("merge"), (F.col("k0") == F.col("k1")) & close("a", "b")).select("a", "b")
 
     # the refined path: what stands in a crowded key gets the other half's variants as well
     other = _half(1 - F.col("seg"))

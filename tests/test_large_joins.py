@@ -1,6 +1,9 @@
 """Tables that are small as files but not in memory are joined by sorting, not broadcast."""
 
+import re
+
 from shoalcount import adapters as ad
+from shoalcount.llm import simhash
 from shoalcount.operators import grid as gr
 from shoalcount.session import materialize
 
@@ -25,3 +28,10 @@ def test_pixels_opened_from_arrays(spark, sf):
     assert "posexplode" in str(plan._jdf.queryExecution().executedPlan())
     text = str(plan._jdf.queryExecution().optimizedPlan())
     assert text.count("strategy=merge") >= 2
+
+
+def test_variants_of_fingerprints(spark):
+    prints = materialize(spark.range(1000).selectExpr("xxhash64(id) as fp"))
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    for opened in (r"\[k0#\d+L\], \[k1#\d+L\]", r"\[seg#\d+, val#\d+L\], \[s2#\d+, v2#\d+L\]"):
+        assert re.findall(rf"(\w+) {opened}", plan) == ["SortMergeJoin"]
