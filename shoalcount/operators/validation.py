@@ -35,7 +35,8 @@ def frame_checks(frames: DataFrame, clips: DataFrame, checked: DataFrame, window
     ``checked`` without rows has no folder. ``windowed``: the frames are one stretch of the
     recording instead of all of it.
     """
-    j = checked.select(KEY).distinct().join(clips.select(KEY, "num_frames", "width", "height"), KEY).join(frames.distinct(), KEY, "left")
+    # frames opened from recordings are many times what the plan takes them for: never broadcast
+    j = checked.select(KEY).distinct().join(clips.select(KEY, "num_frames", "width", "height"), KEY).join(frames.distinct().hint("merge"), KEY, "left")
     index = F.col("frame_index")
     worst = F.greatest(F.abs(F.col("image_width") - F.col("width")), F.abs(F.col("image_height") - F.col("height")))
     unreadable = index.isNotNull() & F.col("image_width").isNull()

@@ -2,9 +2,13 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from shoalcount import adapters as ad
 from shoalcount.llm import simhash
 from shoalcount.operators import grid as gr
+from shoalcount.operators import validation as vl
 from shoalcount.session import materialize
 
 
@@ -35,3 +39,16 @@ def test_variants_of_fingerprints(spark):
     plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
     for opened in (r"\[k0#\d+L\], \[k1#\d+L\]", r"\[seg#\d+, val#\d+L\], \[s2#\d+, v2#\d+L\]"):
         assert re.findall(rf"(\w+) {opened}", plan) == ["SortMergeJoin"]
+
+
+@pytest.mark.parametrize("windowed", [False])
+def test_frames_opened_from_recordings(spark, windowed):
+    clips = materialize(spark.range(50).selectExpr("id as clip_id", "100L as num_frames", "640 as width", "480 as height"))
+    opened = clips.where("clip_id <> 3").select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(104))).alias("frame_index"), F.lit(640).alias("image_width"), F.lit(480).alias("image_height"))
+    empty = clips.where("clip_id = 3").selectExpr("clip_id", "null as frame_index", "null as image_width", "null as image_height")
+    frames = opened.unionByName(empty).withColumn("empty_folder", F.col("frame_index").isNull())
+    checks = vl.frame_checks(frames, clips, clips, windowed)
+    plan = checks._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+) \[clip_id#\d+L\], \[clip_id#\d+L\], LeftOuter", plan) == ["SortMergeJoin"]
+    found = {r["clip_id"]: (r["folder"], r["files"], r["frame_window_out_of_range"]) for r in checks.collect()}
+    assert found == {k: (True, 0, 0) if k == 3 else (True, 105, 5) for k in range(50)}
