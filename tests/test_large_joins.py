@@ -41,7 +41,7 @@ def test_variants_of_fingerprints(spark):
         assert re.findall(rf"(\w+) {opened}", plan) == ["SortMergeJoin"]
 
 
-@pytest.mark.parametrize("windowed", [False])
+@pytest.mark.parametrize("windowed", [False, True])
 def test_frames_opened_from_recordings(spark, windowed):
     clips = materialize(spark.range(50).selectExpr("id as clip_id", "100L as num_frames", "640 as width", "480 as height"))
     opened = clips.where("clip_id <> 3").select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(104))).alias("frame_index"), F.lit(640).alias("image_width"), F.lit(480).alias("image_height"))
