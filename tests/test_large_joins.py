@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalcount import adapters as ad
+from shoalcount.checks.validation import QUERIES
 from shoalcount.llm import simhash
 from shoalcount.operators import grid as gr
 from shoalcount.operators import validation as vl
@@ -52,3 +53,16 @@ def test_frames_opened_from_recordings(spark, windowed):
     assert re.findall(r"(\w+) \[clip_id#\d+L\], \[clip_id#\d+L\], LeftOuter", plan) == ["SortMergeJoin"]
     found = {r["clip_id"]: (r["folder"], r["files"], r["frame_window_out_of_range"]) for r in checks.collect()}
     assert found == {k: (True, 0, 0) if k == 3 else (True, 105, 5) for k in range(50)}
+
+
+def test_frames_of_the_manifest(spark, sf, monkeypatch):
+    plans, frame_checks = [], vl.frame_checks
+
+    def seen(*args):
+        plans.append(frame_checks(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(vl, "frame_checks", seen)
+    assert QUERIES["recording_manifest"](spark, sf).count() > 0
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+) \[clip_id#\d+L\], \[clip_id#\d+L\], LeftOuter", plan) == ["SortMergeJoin"]
